@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import runtime
+from framelake.llm import mixing, packing, rules, runtime, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,22 +15,32 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from framelake.llm import packing
-
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from framelake.llm import token_output
-
     out = runtime.new_path(spark, "tokens")
     manifest = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out, end_id=0)
     return token_output.read_tokens(manifest)
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.by_position(mixing.plan(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rules.apply_rules(_table(spark, sf_dir, "documents")).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_tokens": op3_tokens,
+    "op9_mix": op9_mix,
+    "op10_rules": op10_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_mix": mixing.ORACLE_SQL,
+    "op10_rules": rules.ORACLE_SQL,
+}
