@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import mixing, packing, rules, runtime, token_output
+from framelake.llm import mixing, packing, rules, runtime, simhash, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(manifest)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixing.plan(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,6 +40,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op3_tokens": op3_tokens,
+    "op4_simhash": op4_simhash,
     "op9_mix": op9_mix,
     "op10_rules": op10_rules,
 }
