@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import mixing, packing, rules, runtime, simhash, token_output
+from framelake.llm import media, mixing, packing, quality, rules, runtime, simhash, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 4096, 1)
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+    return media.media_columns(_table(spark, sf_dir, "documents"), runtime.new_path(spark, "media")).select(*columns)
+
+
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = runtime.new_path(spark, "tokens")
     manifest = token_output.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), out, end_id=0)
@@ -28,6 +33,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_position(mixing.plan(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,8 +52,11 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_media": op2_media,
     "op3_tokens": op3_tokens,
     "op4_simhash": op4_simhash,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_mix": op9_mix,
     "op10_rules": op10_rules,
 }
