@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import media, mixing, packing, quality, rules, runtime, simhash, token_output, toxicity
+from framelake.llm import html_text, licenses, media, mixing, packing, quality, rules, runtime, simhash, token_output, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
@@ -55,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_tokens": op3_tokens,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
+    "op6_html": op6_html,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_mix": op9_mix,
@@ -62,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": licenses.ORACLE_SQL,
     "op9_mix": mixing.ORACLE_SQL,
     "op10_rules": rules.ORACLE_SQL,
 }
