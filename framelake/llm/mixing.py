@@ -109,7 +109,7 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     """
     spark = docs.sparkSession
     text = F.col("text").cast("string")
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
     sized = runtime.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(text).alias("size")), "sizes")
     # one row a source
     per_source = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
@@ -146,18 +146,23 @@ def by_position(planned: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
-    """``docs`` as the mix takes them: a row for each copy, range-sorted by training position, with ``mix_position``.
+    """``docs`` as the mix takes them: a row for each copy, range-sorted by training position, with ``mix_position``
+    (under a longer name if ``docs`` has that one).
 
-    A row is found again by its key, the hash of id and text; rows equal in both
-    get the largest number of copies that any of them has been given.
+    A row is found again by its key, the hash of id and text.  Rows that are
+    equal in both stand for one document there: all copies the mix takes of any
+    of them are made from one.
     """
-    planned = plan(docs, seed=seed, **options)
-    copies = runtime.stage(planned.filter("copies > 0").groupBy("key").agg(F.max_by("positions", F.struct("copies", F.negative(F.get("positions", F.lit(0))))).alias("positions")), "copies")
+    planned = runtime.stage(plan(docs, seed=seed, **options).select("key", "positions"), "plan")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), text).cast("binary"))
-    out = docs.withColumn("mix_key__", key).join(copies.withColumnRenamed("key", "mix_key__").withColumnRenamed("positions", "mix_positions__"), "mix_key__")
-    rows = out.withColumn("mix_position", F.explode("mix_positions__")).drop("mix_positions__")
-    return rows.repartitionByRange("mix_position", "mix_key__").sortWithinPartitions("mix_position", "mix_key__").drop("mix_key__")
+    name, places, place = (runtime.fresh(docs, n) for n in ("mix_key", "mix_positions", "mix_position"))
+    keyed = docs.withColumn(name, key)
+    if not planned.groupBy("key").count().filter("count > 1").isEmpty():
+        keyed = keyed.dropDuplicates([name])
+    out = keyed.join(planned.filter(F.size("positions") > 0).select(F.col("key").alias(name), F.col("positions").alias(places)), name)
+    rows = out.withColumn(place, F.explode(places)).drop(places)
+    return rows.repartitionByRange(place, name).sortWithinPartitions(place, name).drop(name)
 
 
 ORACLE_SQL = r"""

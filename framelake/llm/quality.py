@@ -44,7 +44,7 @@ def _dictionary(texts: list[str]) -> bytes:
     size = min(DICTIONARY, total // 8)
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
-    except (zstandard.ZstdError, ValueError):  # too little: the text itself
+    except (zstandard.ZstdError, ValueError, TypeError):  # too little: the text itself
         return b"".join(pieces)[-DICTIONARY:]
 
 
@@ -57,7 +57,7 @@ class Sizes:
     """Compressed sizes of texts with both dictionaries."""
 
     def __init__(self, model: Model):
-        self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False) for d in (model.good, model.bad)]
+        self.by = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_checksum=False) for d in (model.good, model.bad)]
 
     def __call__(self, text: str) -> tuple[int, int, int]:
         raw = text.encode("utf-8", "surrogatepass")
@@ -86,6 +86,8 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
     sizes = np.zeros((len(texts), 3))
     for fold in range(FOLDS):
         inside = np.arange(len(texts)) % FOLDS == fold
+        if not inside.any():
+            continue
         measure = Sizes(Model(*_dictionaries([t for t, i in zip(texts, inside, strict=True) if not i], labels[~inside])))
         sizes[inside] = [measure(t) for t, i in zip(texts, inside, strict=True) if i]
     curve = fitting.logistic(features(sizes), labels, l2=0.1)
@@ -129,6 +131,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: i
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows that aren't rejected, as they are."""
-    clear = runtime.free_columns(docs, "score__quality")
-    scored = score(clear, fit(docs, labels), "score__quality")
-    return scored.filter(F.col("score__quality") >= threshold).drop("score__quality")
+    column = runtime.fresh(docs, "quality_score")
+    return score(docs, fit(docs, labels), column).filter(F.col(column) >= threshold).select(*docs.columns)

@@ -79,11 +79,9 @@ def filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
-def free_columns(df: DataFrame, *wanted: str) -> DataFrame:
-    """``df`` with any column named like one of ``wanted`` renamed, so that results can use those names."""
-    lower = {w.lower() for w in wanted}
-    out = df
-    for c in df.columns:
-        if c.lower() in lower:
-            out = out.withColumnRenamed(c, f"{c}__input")
-    return out
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -334,10 +334,10 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
 def keep_one(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The rows of ``docs``, one of each component: the one with the smallest doc_id (nulls last)."""
-    columns = docs.columns
-    printed = runtime.stage(with_fingerprints(docs, "fp__"), "printed-docs")
-    ids = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("fp__").alias("fp"))
-    keepers = component_ids(ids, bucket_rows).select(F.col("keeper_fp").alias("fp__"), F.col("component_id").alias("keep__")).distinct()
-    same = (F.col("d.fp__") == F.col("k.fp__")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.keep__"))
+    columns, fp = docs.columns, runtime.fresh(docs, "fp")
+    printed = runtime.stage(with_fingerprints(docs, fp), "printed-docs")
+    ids = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
+    keepers = component_ids(ids, bucket_rows).select(F.col("keeper_fp").alias("of_fp"), F.col("component_id").alias("of_id")).distinct()
+    same = (F.col(f"d.{fp}") == F.col("k.of_fp")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.of_id"))
     kept = printed.alias("d").join(keepers.alias("k"), same, "left_semi")
-    return kept.dropDuplicates(["fp__", "doc_id"]).select(*columns)
+    return kept.dropDuplicates([fp, "doc_id"]).select(*columns)

@@ -185,6 +185,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, rows: i
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows that aren't rejected, as they are."""
-    clear = runtime.free_columns(docs, "score__toxic")
-    scored = score(clear, fit(docs, labels), "score__toxic")
-    return scored.filter(F.col("score__toxic") < threshold).drop("score__toxic")
+    column = runtime.fresh(docs, "toxic_score")
+    return score(docs, fit(docs, labels), column).filter(F.col(column) < threshold).select(*docs.columns)
