@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from framelake.functions import codec, scalars
 from framelake.operators import components, edge, metrics, plane, relational, sequence
 from framelake.plans import lenses, track
+from framelake.sources import scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -422,6 +423,65 @@ def model_pick(spark, sf_dir):
     return relational.best(rows, ["source"], -F.col("preference"), "doc_id").select("source", "lang", "doc_id")
 
 
+@query("""WITH t AS (SELECT user_id AS clip, event_id, event_id % 40 + 10 AS w, event_id % 70 + 20 AS h, (event_id * 7 % 20) / 10.0::DOUBLE AS weight FROM events)
+  SELECT clip, event_id, round(w * h * greatest(weight, 0.1::DOUBLE), 6) AS score FROM t QUALIFY row_number() OVER (PARTITION BY clip ORDER BY w * h * greatest(weight, 0.1::DOUBLE) DESC, event_id) = 1""")
+def detector_pick(spark, sf_dir):
+    e = F.col("event_id")
+    found = _table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "event_id", (e % 40 + 10).alias("w"), (e % 70 + 20).alias("h"), ((e * 7 % 20) / 10.0).alias("weight"))
+    picked = relational.detector_pick(found, ["clip"], "event_id")
+    return picked.select("clip", "event_id", F.round(F.col("w") * F.col("h") * F.greatest("weight", F.lit(0.1)), 6).alias("score"))
+
+
+@query("SELECT user_id AS clip, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 2654435761 + 12345) % 4294967296, event_id) <= 20")
+def sampled(spark, sf_dir):
+    """A sampling operator: 20 rows a clip."""
+    rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "event_id")
+    return relational.sample_without_replacement(rows, ["clip"], F.col("event_id"), 20)
+
+
+@query("""WITH b AS (SELECT event_id, (event_id % 50)::DOUBLE AS x0, (event_id % 30)::DOUBLE AS y0, (event_id % 50 + event_id % 17 + 4)::DOUBLE AS x1, (event_id % 30 + event_id % 23 + 4)::DOUBLE AS y1 FROM events)
+  SELECT event_id, round(x0 + 0.08::DOUBLE * (x1 - x0), 6) AS person_x0, round(y1 - 0.04::DOUBLE * (y1 - y0), 6) AS person_y1, round(y0 - 0.30::DOUBLE * (y1 - y0), 6) AS head_y0, round(x1 + 0.15::DOUBLE * (x1 - x0), 6) AS head_x1 FROM b""")
+def detector_boxes(spark, sf_dir):
+    e = F.col("event_id")
+    box = {"x0": e % 50, "y0": e % 30, "x1": e % 50 + e % 17 + 4, "y1": e % 30 + e % 23 + 4}
+    box = {k: v.cast("double") for k, v in box.items()}
+    person, head = scalars.person_box(box), scalars.head_box(box)
+    out = _table(spark, sf_dir, "events").select("event_id", person["x0"].alias("person_x0"), person["y1"].alias("person_y1"), head["y0"].alias("head_y0"), head["x1"].alias("head_x1"))
+    return six(out, "person_x0", "person_y1", "head_y0", "head_x1")
+
+
+@query("SELECT event_id, round((event_id % 100) / 100.0::DOUBLE * 640, 6) AS x, round((event_id % 90) / 90.0::DOUBLE * 360, 6) AS y, CASE WHEN event_id % 3 = 0 THEN 1 ELSE (event_id % 2)::INT END AS label FROM events")
+def prompt_points(spark, sf_dir):
+    e = F.col("event_id")
+    label = F.when(e % 3 != 0, (e % 2).cast("int"))
+    points = F.array(F.struct((e % 100 / 100.0).alias("x"), (e % 90 / 90.0).alias("y"), label.alias("label")))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.explode(scalars.to_pixels(points, F.lit(640), F.lit(360))).alias("p"))
+    return six(rows.select("event_id", "p.x", "p.y", "p.label"), "x", "y")
+
+
+@query("""WITH m AS (SELECT event_id, 1 + (event_id % 5) / 10.0::DOUBLE AS a, (event_id % 7) / 10.0::DOUBLE AS b, 1 - (event_id % 3) / 2.0::DOUBLE AS d, value AS x, value / 2 AS y FROM events)
+  SELECT event_id, round(a * x + b * y + 3, 6) AS px, round(-b * x + d * y - 1, 6) AS py, round(CASE WHEN a * d + b * b > 0.3 AND a * d + b * b < 3 THEN a * d + b * b ELSE 1 END, 6) AS det FROM m""")
+def affine_points(spark, sf_dir):
+    e = F.col("event_id")
+    b = e % 7 / 10.0
+    model = {"a": 1 + e % 5 / 10.0, "b": b, "tx": F.lit(3.0), "c": -b, "d": 1 - e % 3 / 2.0, "ty": F.lit(-1.0)}
+    px, py = scalars.affine(model, F.col("value"), F.col("value") / 2)
+    return six(_table(spark, sf_dir, "events").select("event_id", px.alias("px"), py.alias("py"), scalars.determinant(model).alias("det")), "px", "py", "det")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 50 > 0 THEN round(value / (event_id % 50) * (100 - event_id % 50), 6) END AS eta FROM events")
+def progress_eta(spark, sf_dir):
+    done = F.col("event_id") % 50
+    return six(_table(spark, sf_dir, "events").select("event_id", scalars.eta(F.col("value"), done, F.lit(100)).alias("eta")), "eta")
+
+
+@query(PX + """, f AS (SELECT clip, idx, count(*) FILTER (v > 0) AS area FROM px GROUP BY ALL), s AS (SELECT clip, round(avg(area), 6) AS mean_area, count(*) AS frames FROM f GROUP BY ALL) SELECT * FROM s""")
+def bench_means(spark, sf_dir):
+    """Mean over a clip's frames, the frames counted."""
+    out = metrics.area(lenses.planes(spark, sf_dir)).groupBy("clip").agg(F.avg("area").alias("mean_area"), F.count("*").alias("frames"))
+    return six(out, "mean_area")
+
+
 # ---- sequences ----------------------------------------------------------------
 
 
@@ -591,6 +651,23 @@ def edge_pipeline(spark, sf_dir):
     return track.edge_frames(track.blobs(lenses.disc(spark), 80, 60), scale=2)
 
 
+@query()
+def scenarios(spark, sf_dir):
+    """Area and mean value of each frame of the synthetic scenarios."""
+    out = None
+    for s in scenes.SCENARIOS:
+        px = scenes.render(spark, s)
+        one = px.groupBy("clip", "idx").agg(F.sum("m").alias("area"), F.round(F.avg("v"), 6).alias("mean"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query()
+def interior_points(spark, sf_dir):
+    """Up to three points deep in the disc of each frame."""
+    return track.points(track.blobs(lenses.disc(spark), 80, 60), 3)
+
+
 @query()
 def stabilized(spark, sf_dir):
     """The temporal stabilizer over each clip's planes."""

@@ -121,3 +121,15 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """Frames after a write: a manual keyframe stays, else the new one counts (clip, idx, manual, version, value)."""
     order = Window.partitionBy("clip", "idx").orderBy(F.col("manual").desc(), F.col("version").desc())
     return old.unionByName(new).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def detector_pick(found: DataFrame, keys: list[str], tie: str) -> DataFrame:
+    """Of a people detector's boxes the one of the largest area times weight (at least .1)."""
+    return best(found, keys, F.col("w") * F.col("h") * F.greatest("weight", F.lit(0.1)), tie)
+
+
+def sample_without_replacement(rows: DataFrame, keys: list[str], number: Column, most: int) -> DataFrame:
+    """At most ``most`` rows of each key, drawn by a modular hash of ``number``; a sampling operator, reruns agree."""
+    hashed = (number * 2654435761 + 12345) % 4294967296
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(hashed, number))
+    return rows.withColumn("_n", rank).filter(F.col("_n") <= most).drop("_n")

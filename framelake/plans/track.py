@@ -65,6 +65,21 @@ def edge_frames(frames: DataFrame, scale: int = 2, params: kernels.EdgeParams =
     return frames.mapInArrow(run, "clip int, idx long, area long, mean double, digest string")
 
 
+def points(frames: DataFrame, n: int) -> DataFrame:
+    """(clip, idx, n, x, y) of up to ``n`` points deep in each frame's mask (over 127)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                mask = (np.asarray(r["plane"]).reshape(r["h"], r["w"]) > 127).astype(float)
+                out += [{"clip": r["clip"], "idx": r["idx"], "n": k, "x": x, "y": y} for k, (x, y, _) in enumerate(kernels.interior_points(mask, n))]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    schema = pa.schema([("clip", pa.int32()), ("idx", pa.int64()), ("n", pa.int32()), ("x", pa.float64()), ("y", pa.float64())])
+    return frames.mapInArrow(run, "clip int, idx long, n int, x double, y double")
+
+
 def stabilized(frames: DataFrame, params: kernels.StabilizerParams = kernels.StabilizerParams(least_area=2)) -> DataFrame:
     """(clip, idx, area, total) after the stabilizer, without motion, each frame held by the one before."""
 

@@ -1,0 +1,69 @@
+"""Synthetic clips with exact ground truth, from expressions alone.
+
+A sprite (an ellipse with a round head) moves over a hashed texture under a
+camera that pans; a bar may pass in front, the exposure may be low, and motion
+may be blurred over sub-steps.  Rows are made by ``range``, so a clip of any size
+is made in parallel.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.plans import lenses
+
+
+@dataclass(frozen=True)
+class Scenario:
+    name: str = "static"
+    frames: int = 40
+    width: int = 160
+    height: int = 90
+    pan: float = 0.0
+    speed: float = 3.0
+    blur: int = 1
+    occluder: bool = False
+    exposure: float = 1.0
+
+
+#: By name, what differs from a scenario's defaults.
+SCENARIOS = (
+    Scenario("static", speed=2.5), Scenario("pan", pan=4.0, speed=2.0), Scenario("fast", speed=11.0), Scenario("blur", speed=9.0, blur=6),
+    Scenario("occlusion", occluder=True, speed=2.0, frames=50), Scenario("lowlight", exposure=0.30, speed=2.5),
+)
+
+
+def hashed(*parts: Column, most: int) -> Column:
+    """0 .. most - 1 from whole numbers."""
+    out = F.lit(17).cast("long")
+    for p in parts:
+        out = (out * 31 + p.cast("long")) % 2147483647 * 48271 % 2147483647
+    return F.pmod(out, F.lit(most))
+
+
+def truth(x: Column, y: Column, t: Column, s: Scenario) -> Column:
+    """Whether a pixel is the sprite's at time t."""
+    cx = s.width / 2 + s.speed * (t - s.frames / 2) / 4 + 5 * F.sin(0.3 * t) - s.pan * t / 4
+    cy = s.height / 2 + 2 * F.sin(0.45 * t)
+    body = F.pow((x - cx) / (s.height / 7), F.lit(2)) + F.pow((y - cy) / (s.height / 4), F.lit(2)) < 1
+    head = F.pow(x - cx, F.lit(2)) + F.pow(y - (cy - s.height / 3.2), F.lit(2)) < (s.height / 10) ** 2
+    return body | head
+
+
+def render(spark: SparkSession, s: Scenario) -> DataFrame:
+    """(clip, idx, y, x, v, m): grey value and truth of each pixel."""
+    px = lenses.grid(spark, s.frames, s.width, s.height)
+    x, y, t = F.col("x"), F.col("y"), F.col("f")
+    texture = 40 + hashed(F.floor((x + s.pan * t / 4) / 3), F.floor(y / 3), most=50)
+    inside = truth(x, y, t, s)
+    share = sum((truth(x, y, t + k / s.blur, s).cast("double") for k in range(s.blur)), F.lit(0.0)) / s.blur
+    value = share * (200 + hashed(x, y, most=10)) + (1 - share) * texture
+    if s.occluder:
+        bar = (x >= s.width / 2 - 50 + 2.25 * t) & (x < s.width / 2 - 42 + 2.25 * t)
+        value, inside = F.when(bar, F.lit(120.0)).otherwise(value), inside & ~bar
+    value = value * s.exposure + (hashed(x, y, t, most=7) - 3 if s.exposure < 0.5 else 0)
+    clamped = F.least(F.greatest(F.round(value), F.lit(0.0)), F.lit(255.0)).cast("int")
+    return px.select(F.lit(s.name).alias("clip"), F.col("f").cast("long").alias("idx"), "y", "x", clamped.alias("v"), inside.cast("int").alias("m"))

@@ -61,3 +61,40 @@ def test_report_has_every_frame(spark, width, height):
     rep = track.report(px)
     assert rep.count() == px.select("clip", "idx").distinct().count()
     assert rep.filter("iou is null").count() == px.select("clip").distinct().count()
+
+
+def test_robust_flow():
+    from framelake.operators import flow
+
+    rng = np.random.default_rng(0)
+    region = np.zeros((60, 80))
+    region[15:45, 20:60] = 1
+    yy, xx = np.mgrid[:60, :80]
+    dx, dy = 0.02 * xx + 1.5, -0.01 * yy + 0.5
+    broken = rng.random(region.shape) < 0.2
+    bx, by, model = flow.robust_flow(np.where(broken, 30.0, dx), np.where(broken, -30.0, dy), region)
+    inside = region > 0
+    assert np.abs(bx - dx)[inside].max() < 0.1 and np.abs(by - dy)[inside].max() < 0.1
+    assert abs(flow.determinant(model) - 1.02 * 0.99) < 0.01
+    assert flow.robust_flow(dx, dy, np.zeros_like(region))[2] is None
+    prior = np.array([[1.0, 0, 2], [0, 1.0, 0]])
+    assert flow.robust_flow(np.full(region.shape, 50.0), dy * 0, region, prior)[0][30, 40] == 2.0
+
+
+def test_scenarios(spark):
+    from framelake.sources import scenes
+
+    still = scenes.render(spark, scenes.Scenario("a", frames=4, width=80, height=60))
+    rows = still.groupBy("idx").agg(F.sum("m").alias("n"), F.avg(F.when(F.col("m") == 1, F.col("v"))).alias("inside"), F.avg(F.when(F.col("m") == 0, F.col("v"))).alias("outside")).collect()
+    assert len(rows) == 4 and all(r.n > 100 and r.inside > r.outside + 50 for r in rows)
+
+
+def test_png_sequence(spark, tmp_path):
+    from framelake.sources import images
+
+    rows = [(0, k, 3, 2, [0.0, 0.5, 1.0, 0.25, 0.75, 1.0]) for k in range(2)]
+    written = images.write_sequence(spark.createDataFrame(rows, "clip int, idx long, w int, h int, plane array<double>"), str(tmp_path / "out"))
+    got = written.collect()
+    assert sorted(r.path.rsplit("/", 2)[-1] for r in got) == ["000000.png", "000001.png"]
+    data = (tmp_path / "out" / "0" / "000001.png").read_bytes()
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and data[24] == 16
