@@ -257,6 +257,13 @@ def set_name(spark, sf_dir):
     return docs.select("doc_id", scalars.set_name(F.col("source"), F.col("lang"), F.concat("lang", F.lit("/m "), "source"), F.lit("1.0+b")).alias("name"))
 
 
+@query("SELECT event_id, coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.k') AS INT), -1) AS k, coalesce(TRY_CAST(json_extract_string(CASE WHEN json_valid(props) THEN props END, '$.none') AS INT), 0) AS none FROM events")
+def sidecar_json(spark, sf_dir):
+    """Fields of a JSON sidecar, defaults where it is missing or broken."""
+    read = F.from_json("props", "k int, none int")
+    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(read["k"], F.lit(-1)).alias("k"), F.coalesce(read["none"], F.lit(0)).alias("none"))
+
+
 @query("SELECT event_id, CASE WHEN length((event_id * 997)::VARCHAR) >= 6 THEN (event_id * 997)::VARCHAR ELSE lpad((event_id * 997)::VARCHAR, 6, '0') END AS name, greatest(0, least(99, event_id - 50)) AS clamped FROM events")
 def frame_names(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", scalars.frame_name(F.col("event_id") * 997).alias("name"), scalars.clamped_index(F.col("event_id") - 50, F.lit(100)).alias("clamped"))
@@ -668,7 +675,15 @@ def interior_points(spark, sf_dir):
     return track.points(track.blobs(lenses.disc(spark), 80, 60), 3)
 
 
-@query()
+@query("""WITH RECURSIVE """ + lenses.PLANES_SQL + """,
+fr AS (SELECT clip, idx, row_number() OVER (PARTITION BY clip ORDER BY idx) AS k, list(greatest(least(v / 255.0::DOUBLE, 1), 0) ORDER BY y, x) AS a FROM px GROUP BY clip, idx),
+st(clip, k, idx, s) AS (
+  SELECT clip, k, idx, a FROM fr WHERE k = 1 UNION ALL
+  SELECT clip, k, idx, list_transform(range(1, 65), lambda i: 0.6::DOUBLE * s[i] + 0.4::DOUBLE * (pull * s[i] + (1 - pull) * a[i])) FROM (
+    SELECT *, CASE WHEN old <= 2 THEN 0 WHEN ratio > 1.45 THEN least(0.9, greatest(0.3, 1 - 1.45::DOUBLE / ratio)) WHEN ratio < 0.65 THEN least(0.9, greatest(0.3, 1 - greatest(ratio, 1e-3::DOUBLE) / 0.65::DOUBLE)) ELSE 0 END::DOUBLE AS pull FROM (
+      SELECT f.clip, f.k, f.idx, f.a, st.s, len(list_filter(st.s, lambda x: x > 0.5)) AS old, len(list_filter(f.a, lambda x: x > 0.5))::DOUBLE / greatest(len(list_filter(st.s, lambda x: x > 0.5)), 1) AS ratio
+      FROM st JOIN fr f ON f.clip = st.clip AND f.k = st.k + 1)))
+SELECT clip, idx, len(list_filter(s, lambda x: x > 0.5)) AS area, round(list_sum(s), 6) AS total FROM st""")
 def stabilized(spark, sf_dir):
     """The temporal stabilizer over each clip's planes."""
     return track.stabilized(track.blobs(lenses.planes(spark, sf_dir), 8, 8))
