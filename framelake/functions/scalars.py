@@ -49,16 +49,20 @@ def set_name(clip: Column, settings: Column, model: Column, version: Column) ->
 
 
 def settings_hash(settings: Column) -> Column:
-    """First eight hex digits of the SHA-256 of a map's sorted key=value parts; values are given as they are to be written."""
-    parts = F.array_sort(F.transform(F.map_entries(settings), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    """First eight hex digits of the SHA-256 of a map's key=value parts in the order of the keys; values are given as they are to be written."""
+    parts = F.transform(F.array_sort(F.map_entries(settings)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return F.substring(F.sha2(F.array_join(parts, "|"), 256), 1, 8)
 
 
+def _little64(n: Column) -> Column:
+    digits = F.lpad(F.hex(n.cast("long")), 16, "0")
+    return F.unhex(F.concat(*(F.substring(digits, k, 2) for k in range(15, 0, -2))))
+
+
 def fingerprint(path: Column, size: Column, mtime: Column, head: Column, middle: Column, tail: Column, large: int = 2 << 20) -> Column:
-    """Identity of a file: of its path, size, time and first, middle and last bytes (the latter two of large files)."""
+    """Identity of a file: 16 hex digits of the SHA-256 of its path in lower case, size and time (u64) and first MiB, of large files also one in the middle and the last."""
     ends = F.when(size > large, F.concat(middle, tail)).otherwise(F.lit(b""))
-    told = F.concat_ws("|", F.lower(path), size.cast("string"), mtime.cast("string"))
-    return F.substring(F.sha2(F.concat(F.encode(told, "UTF-8"), head, ends), 256), 1, 16)
+    return F.substring(F.sha2(F.concat(F.encode(F.lower(path), "UTF-8"), _little64(size), _little64(mtime), head, ends), 256), 1, 16)
 
 
 def sigmoid(x: Column) -> Column:

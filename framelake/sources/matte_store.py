@@ -113,6 +113,6 @@ def damaged(files: DataFrame) -> DataFrame:
 
 def set_properties(lines: DataFrame) -> DataFrame:
     """A map of a meta file's key=value lines (column ``value``); only the first = parts them."""
-    parts = F.split(F.trim("value"), "=", 2)
-    pairs = lines.filter(F.instr("value", "=") > 0).select(F.struct(F.trim(F.get(parts, F.lit(0))).alias("k"), F.trim(F.get(parts, F.lit(1))).alias("v")).alias("e"))
+    parts = F.split("value", "=", 2)
+    pairs = lines.filter(F.instr("value", "=") > 0).select(F.struct(F.get(parts, F.lit(0)).alias("k"), F.get(parts, F.lit(1)).alias("v")).alias("e"))
     return pairs.agg(F.map_from_entries(F.collect_list("e")).alias("properties"))

@@ -1,28 +1,41 @@
 """Proxy frames: an index beside a blob of encoded images.
 
-Fixed values, the index's format, little-endian: width, height, source width and
-source height u32, frames a second f32, two u32 (frames, reserved), then an
-offset u64 and a size u32 for each frame.
+Fixed values, the index's format, little-endian: frames, width, height and 0 as
+u32, frames a second f32, source width and height u32, then an offset u64 and a
+size u32 for each frame.
 """
 
 from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEAD, ENTRY = struct.Struct("<IIIIfII"), struct.Struct("<QI")
 
 
 def write_index(width: int, height: int, source_width: int, source_height: int, fps: float, entries: list[tuple[int, int]]) -> bytes:
-    return HEAD.pack(width, height, source_width, source_height, fps, len(entries), 0) + b"".join(ENTRY.pack(*e) for e in entries)
+    return HEAD.pack(len(entries), width, height, 0, fps, source_width, source_height) + b"".join(ENTRY.pack(*e) for e in entries)
+
+
+def _little(start: Column, size: int) -> Column:
+    """A number of ``size`` bytes of ``content`` from byte ``start`` (from 1) on."""
+    parts = (F.hex(F.substring(F.col("content"), start + size - 1 - k, F.lit(1))) for k in range(size))
+    return F.conv(F.concat(*parts), 16, 10).cast("long")
+
+
+def clips(index_files: DataFrame) -> DataFrame:
+    """(path, frames, width, height, source_width, source_height) of ``binaryFile`` rows of index files."""
+    at = {"frames": 0, "width": 4, "height": 8, "source_width": 20, "source_height": 24}
+    return index_files.select("path", *(_little(F.lit(k + 1), 4).cast("int").alias(n) for n, k in at.items()))
 
 
 def entries(index_files: DataFrame) -> DataFrame:
-    """(path, idx, offset, size) from ``binaryFile`` rows of index files, by built-in expressions."""
-    n = F.expr(f"cast((length(content) - {HEAD.size}) div {ENTRY.size} as int)")
-    rows = index_files.select("path", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("idx")).filter(n > 0)
-    little = lambda start, size: F.conv(F.concat(*(F.hex(F.substring(F.col("content"), start + size - 1 - k, F.lit(1))) for k in range(size))), 16, 10).cast("long")
+    """(path, idx, offset, size) of ``binaryFile`` rows of index files, by built-in expressions; entries that are cut off are left out."""
+    held = F.expr(f"cast((length(content) - {HEAD.size}) div {ENTRY.size} as int)")
+    n = F.least(_little(F.lit(1), 4).cast("int"), held)
+    rows = index_files.filter(F.length("content") >= HEAD.size).select("path", "content", n.alias("n")).filter("n > 0")
+    rows = rows.select("path", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
     at = F.lit(HEAD.size + 1) + F.col("idx") * ENTRY.size
-    return rows.select("path", "idx", little(at, 8).alias("offset"), little(at + 8, 4).alias("size"))
+    return rows.select("path", "idx", _little(at, 8).alias("offset"), _little(at + 8, 4).alias("size"))

@@ -58,7 +58,7 @@ def test_data_source(spark, tmp_path):
 
 
 def test_properties(spark):
-    lines = spark.createDataFrame([("name=a=b",), ("fps = 24.0",), ("no pair",)], "value string")
+    lines = spark.createDataFrame([("name=a=b",), ("fps=24.0",), ("no pair",)], "value string")
     assert matte_store.set_properties(lines).first()[0] == {"name": "a=b", "fps": "24.0"}
 
 
@@ -66,6 +66,18 @@ def test_proxy_index(spark, tmp_path):
     (tmp_path / "proxy.idx").write_bytes(proxy.write_index(768, 432, 1920, 1080, 24.0, [(0, 100), (2**33, 7)]))
     rows = proxy.entries(spark.read.format("binaryFile").load(str(tmp_path))).orderBy("idx").collect()
     assert [(r.idx, r.offset, r.size) for r in rows] == [(0, 0, 100), (1, 2**33, 7)]
+    clip = proxy.clips(spark.read.format("binaryFile").load(str(tmp_path))).first()
+    assert (clip.frames, clip.width, clip.height, clip.source_width, clip.source_height) == (2, 768, 432, 1920, 1080)
+
+
+def test_fingerprint(spark):
+    import hashlib
+    import struct
+
+    row = spark.createDataFrame([("/A/b.MP4", 5, 77, b"hello", b"mm", b"tt"), ("/A/b.MP4", 3 << 20, 77, b"hello", b"mm", b"tt")], "path string, size long, mtime long, head binary, middle binary, tail binary")
+    got = [r.f for r in row.select(scalars.fingerprint(*(F.col(c) for c in row.columns)).alias("f")).collect()]
+    want = [hashlib.sha256(b"/a/b.mp4" + struct.pack("<QQ", n, 77) + data).hexdigest()[:16] for n, data in ((5, b"hello"), (3 << 20, b"hellommtt"))]
+    assert got == want
 
 
 def test_registered(spark):
@@ -83,3 +95,8 @@ def test_names(spark):
     h = lambda m: scalars.settings_hash(F.create_map(*(F.lit(x) for kv in m for x in kv)))
     row = spark.range(1).select(h([("a", "1"), ("b", "2")]).alias("x"), h([("b", "2"), ("a", "1")]).alias("y"), h([("a", "1"), ("b", "3")]).alias("z")).first()
     assert row.x == row.y != row.z
+    # by key, not by the written part: "a" comes before "a1"
+    import hashlib
+
+    two = spark.range(1).select(h([("a1", "2"), ("a", "1")]).alias("x")).first()
+    assert two.x == hashlib.sha256(b"a=1|a1=2").hexdigest()[:8]
