@@ -124,16 +124,24 @@ def sample(a: np.ndarray, fy: np.ndarray, fx: np.ndarray, border: str = "edge")
     return top * (1 - ty) + (at(y0 + 1, x0) * (1 - tx) + at(y0 + 1, x0 + 1) * tx) * ty
 
 
+def resample(a: np.ndarray, fy: np.ndarray, fx: np.ndarray) -> np.ndarray:
+    """Bilinear samples on the grid of rows fy and columns fx, a direction after the other; outside is the border's value."""
+    for axis, at in ((0, fy), (1, fx)):
+        low = np.floor(at)
+        t = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        near, far = (np.clip(low.astype(int) + d, 0, a.shape[axis] - 1) for d in (0, 1))
+        first = a.take(near, axis=axis)
+        a = first + (a.take(far, axis=axis) - first) * t
+    return a
+
+
 def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
     """Bilinear with centres at half pixels."""
-    fy = (np.arange(height) + 0.5) * a.shape[0] / height - 0.5
-    fx = (np.arange(width) + 0.5) * a.shape[1] / width - 0.5
-    return sample(a, *np.meshgrid(fy, fx, indexing="ij"))
+    return resample(a, (np.arange(height) + 0.5) * a.shape[0] / height - 0.5, (np.arange(width) + 0.5) * a.shape[1] / width - 0.5)
 
 
 def upsample(a: np.ndarray, factor: int, height: int, width: int) -> np.ndarray:
-    fy, fx = (np.arange(height) + 0.5) / factor - 0.5, (np.arange(width) + 0.5) / factor - 0.5
-    return sample(a, *np.meshgrid(fy, fx, indexing="ij"))
+    return resample(a, (np.arange(height) + 0.5) / factor - 0.5, (np.arange(width) + 0.5) / factor - 0.5)
 
 
 def warp(a: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
@@ -293,32 +301,51 @@ def refine(alpha: np.ndarray, guide: np.ndarray, p: EdgeParams, long_edge: int)
     return alpha * (1 - weight) + clamp01((q - 0.5) * (1 + 3 * p.refine) + 0.5) * weight
 
 
+def region(matte: np.ndarray, height: int, width: int, p: EdgeParams) -> tuple[slice, slice] | None:
+    """Rows and columns of the image that the matte and the edge stages reach; None for an empty matte."""
+    from framelake.operators.edge import margin
+
+    rows, columns = np.flatnonzero((matte > 2).any(axis=1)), np.flatnonzero((matte > 2).any(axis=0))
+    if not len(rows):
+        return None
+    around = margin(max(height, width), p.shift, p.feather, p.smooth, p.quality, p.decontaminate > 0 or p.spill > 0)
+    out = []
+    for hit, size, full in ((rows, matte.shape[0], height), (columns, matte.shape[1], width)):
+        scale = full / size
+        out.append(slice(max(0, math.floor(hit[0] * scale - around)), min(full, math.ceil((hit[-1] + 1) * scale + around))))
+    return out[0], out[1]
+
+
 def edge_alpha(matte: np.ndarray, image: np.ndarray, p: EdgeParams = EdgeParams()) -> np.ndarray:
     """Alpha (h, w) at the image's size from an 8-bit matte; 0 where the matte's surroundings don't reach."""
     height, width = image.shape[:2]
-    ys, xs = np.nonzero(matte > 2)
     out = np.zeros((height, width))
-    if not len(xs):
+    inside = region(matte, height, width, p)
+    if inside is None:
         return out
-    from framelake.operators.edge import margin
-
-    around = margin(max(height, width), p.shift, p.feather, p.smooth, p.quality, p.decontaminate > 0 or p.spill > 0)
-    sy, sx = height / matte.shape[0], width / matte.shape[1]
-    y0, y1 = max(0, math.floor(ys.min() * sy - around)), min(height, math.ceil((ys.max() + 1) * sy + around))
-    x0, x1 = max(0, math.floor(xs.min() * sx - around)), min(width, math.ceil((xs.max() + 1) * sx + around))
-    fy, fx = (np.arange(y0, y1) + 0.5) / sy - 0.5, (np.arange(x0, x1) + 0.5) / sx - 0.5
-    a = sample(matte / 255.0, *np.meshgrid(fy, fx, indexing="ij"))
+    fy, fx = ((np.arange(s.start, s.stop) + 0.5) * size / full - 0.5 for s, size, full in zip(inside, matte.shape, (height, width), strict=True))
+    a = resample(matte / 255.0, fy, fx)
     a = clamp01((a - p.black) / (max(p.white, p.black + 1e-3) - p.black))
     a = edge_shift(a, p.shift)
     if p.refine > 0.01:
-        part = image[y0:y1, x0:x1]
+        part = image[inside]
         guide = clamp01(0.299 * part[..., 0] + 0.587 * part[..., 1] + 0.114 * part[..., 2])
         a = refine(a, guide, p, max(height, width))
     if p.smooth > 0.3:
         a = 0.85 * clamp01((gaussian(a, p.smooth) - 0.5) * 2.5 + 0.5) + 0.15 * a
     if p.feather > 0.3:
         a = gaussian(a, p.feather)
-    out[y0:y1, x0:x1] = a
+    out[inside] = a
+    return out
+
+
+def cutout(matte: np.ndarray, image: np.ndarray, p: EdgeParams = EdgeParams()) -> np.ndarray:
+    """RGBA (h, w, 4): the image's colours, decontaminated where the matte reaches, and the alpha."""
+    alpha = edge_alpha(matte, image, p)
+    out = np.concatenate([image, alpha[..., None]], axis=-1)
+    inside = region(matte, *image.shape[:2], p)
+    if inside is not None and (p.decontaminate > 0 or p.spill > 0):
+        out[inside][..., :3] = decontaminate(image[inside], alpha[inside], p)
     return out
 
 

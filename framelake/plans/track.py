@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.operators import kernels
@@ -65,6 +65,23 @@ def edge_frames(frames: DataFrame, scale: int = 2, params: kernels.EdgeParams =
     return frames.mapInArrow(run, "clip int, idx long, area long, mean double, digest string")
 
 
+def cutout_frames(spark: SparkSession, frames: int, width: int, height: int, params: kernels.EdgeParams = kernels.EdgeParams(), tasks: int | None = None) -> DataFrame:
+    """(idx, area) of cutouts of an analytic disc that moves over a plain ground: the edge pipeline at any size."""
+
+    def run(batches):
+        yy, xx = np.mgrid[:height, :width]
+        for batch in batches:
+            areas = []
+            for idx in batch.column(0).to_pylist():
+                alpha = np.clip((height / 3 - np.hypot(yy - height / 2, xx - width / 2 - idx % 50)) / 3 + 0.5, 0, 1)
+                image = alpha[..., None] * np.array([0.8, 0.2, 0.2]) + (1 - alpha[..., None]) * np.array([0.1, 0.7, 0.1])
+                matte = np.floor(kernels.downsample(alpha, 2) * 255 + 0.5)
+                areas.append(int((kernels.cutout(matte, image, params)[..., 3] > 0.5).sum()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(areas, pa.int64())], names=["idx", "area"])
+
+    return spark.range(frames, numPartitions=tasks or frames).withColumnRenamed("id", "idx").mapInArrow(run, "idx long, area long")
+
+
 def points(frames: DataFrame, n: int) -> DataFrame:
     """(clip, idx, n, x, y) of up to ``n`` points deep in each frame's mask (over 127)."""
 

@@ -152,3 +152,16 @@ def test_distance_and_points():
 
 def test_disc_lens_is_integer(spark):
     assert lenses.disc(spark, 2, 20, 10).agg(F.count("*"), F.max("v")).first()[0] == 400
+
+
+def test_cutout_keeps_the_colours_outside():
+    _, image, matte = scene()
+    out = kernels.cutout(matte, image, kernels.EdgeParams(decontaminate=1.0, spill=0.5))
+    assert out.shape == (*image.shape[:2], 4) and (out[0, 0, :3] == image[0, 0]).all() and out[0, 0, 3] == 0
+    assert (kernels.cutout(np.zeros_like(matte), image)[..., 3] == 0).all()
+
+
+def test_resample_is_sample_on_a_grid():
+    a = np.random.default_rng(0).random((7, 9))
+    fy, fx = np.linspace(-1, 8, 13), np.linspace(-2, 10, 17)
+    np.testing.assert_allclose(kernels.resample(a, fy, fx), kernels.sample(a, *np.meshgrid(fy, fx, indexing="ij")), atol=1e-12)
