@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a model is fitted on, at most; longer texts than the second bound aren't drawn.
-FIT_ROWS, FIT_CHARS = 6000, 100_000
+FIT_ROWS, FIT_CHARS = 12_000, 100_000
 
 
 def crc_of_id() -> Column:

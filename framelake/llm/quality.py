@@ -21,7 +21,7 @@ from framelake.llm import fitting, runtime
 
 LEVEL, PIECE, DICTIONARY, FOLDS = 3, 4096, 112_640, 4
 #: For the dictionaries: texts of a label, pieces of a text, bytes of a piece.
-SAMPLE_TEXTS, SAMPLE_PIECES, SAMPLE_PIECE = 1500, 8, 2048
+SAMPLE_TEXTS, SAMPLE_PIECES, SAMPLE_PIECE = 3000, 8, 2048
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def train(texts: list[str], labels: np.ndarray) -> Model:
             continue
         measure = Sizes(Model(*_dictionaries([t for t, i in zip(texts, inside, strict=True) if not i], labels[~inside])))
         sizes[inside] = [measure(t) for t, i in zip(texts, inside, strict=True) if i]
-    curve = fitting.logistic(features(sizes), labels, l2=0.1)
+    curve = fitting.logistic(features(sizes), labels, l2=0.01)
     return Model(*_dictionaries(texts, labels), tuple(curve.tolist()))
 
 
