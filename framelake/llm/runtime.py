@@ -7,6 +7,7 @@ executor loses none of them, and reading one back cuts the lineage.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -20,17 +21,38 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is named (tests) a folder of our own is set."""
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder as a full URI; only where none is named (tests) a folder of our own is set."""
+    context = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not told:
-        told = "file://" + os.path.join(tempfile.gettempdir(), "framelake-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", told)
-    return told.rstrip("/")
+        context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
+        told = context.getCheckpointDir()
+    # a path without a scheme is one of the cluster's default file system, as Spark takes it
+    path = context._jvm.org.apache.hadoop.fs.Path(told)
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+
+
+#: Paths that this driver made in the shared folder.
+_made: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/framelake/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/framelake/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete what this driver wrote to the shared folder; results that are still to be read from it are lost.
+
+    For a job that has written its results elsewhere.  Returns how many paths
+    were deleted.
+    """
+    context, gone = spark.sparkContext, 0
+    while _made:
+        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -41,9 +63,23 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep the Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Keep the Arrow batches of long texts small, from now on: a plan asks for the setting when it runs."""
+    spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextlib.contextmanager
+def large_batches(spark: SparkSession, rows: int = 1 << 16):
+    """Larger batches for what runs inside: rows of a few numbers."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def regrouped(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -72,10 +108,10 @@ def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI in the shared folder; a bare path is a local one."""
     from pyarrow import fs
 
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri[5:]
     return fs.LocalFileSystem(), uri
 
 
