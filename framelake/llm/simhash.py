@@ -245,7 +245,8 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     keyed = fps.select("fp").mapInArrow(expand, "key long, fp long")
     spark = fps.sparkSession
-    found = runtime.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, LINKS), "links")
+    with runtime.large_batches(spark):
+        found = runtime.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, LINKS), "links")
     edges = found.filter(F.col("too_large").isNull()).select("a", "b")
     if found.filter(F.col("too_large").isNotNull()).isEmpty():
         return edges
@@ -263,7 +264,6 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         return pa.Table.from_batches([_links_batch(a, b, np.zeros(0, np.int64))])
 
     more = paired.select("key", "i", "j", "fp").groupBy("key", "i", "j").applyInArrow(block_pair, LINKS)
-    runtime.small_batches(spark)
     return edges.unionByName(runtime.stage(more.select("a", "b"), "large-links"))
 
 
