@@ -68,7 +68,7 @@ def blend(forward: DataFrame, backward: DataFrame, a: str = "a", b: str = "b") -
     """Frames tracked from both ends: (clip, idx, value, conf, low, lost), weighted by distance and confidence.
 
     Inputs are (clip, idx, a, b, value, conf, low, lost) with the ends of the job.
-    A frame that one side has is taken from it.
+    A value is a number or a plane as an array.  A frame that one side has is taken from it.
     """
     f, g = forward.alias("f"), backward.alias("g")
     both = f.join(g, [F.col("f.clip") == F.col("g.clip"), F.col("f.idx") == F.col("g.idx")], "full_outer")
@@ -76,7 +76,13 @@ def blend(forward: DataFrame, backward: DataFrame, a: str = "a", b: str = "b") -
     wf = (end - i) / (end - start) * F.greatest(F.col("f.conf"), F.lit(0.05))
     wg = (i - start) / (end - start) * F.greatest(F.col("g.conf"), F.lit(0.05))
     total = wf + wg
-    mixed = lambda c: F.when(F.col("f.idx").isNull(), F.col(f"g.{c}")).when(F.col("g.idx").isNull(), F.col(f"f.{c}")).otherwise((wf * F.col(f"f.{c}") + wg * F.col(f"g.{c}")) / total)
+    planes = dict(forward.dtypes)["value"].startswith("array")
+
+    def mixed(c: str) -> Column:
+        x, y = F.col(f"f.{c}"), F.col(f"g.{c}")
+        both_ways = F.zip_with(x, y, lambda p, q: (wf * p + wg * q) / total) if c == "value" and planes else (wf * x + wg * y) / total
+        return F.when(F.col("f.idx").isNull(), y).when(F.col("g.idx").isNull(), x).otherwise(both_ways)
+
     flag = lambda c: F.coalesce(F.col(f"f.{c}"), F.lit(True)) & F.coalesce(F.col(f"g.{c}"), F.lit(True))
     return both.select(F.coalesce("f.clip", "g.clip").alias("clip"), i.alias("idx"), mixed("value").alias("value"), mixed("conf").alias("conf"), flag("low").alias("low"), flag("lost").alias("lost"))
 

@@ -98,3 +98,39 @@ def test_png_sequence(spark, tmp_path):
     assert sorted(r.path.rsplit("/", 2)[-1] for r in got) == ["000000.png", "000001.png"]
     data = (tmp_path / "out" / "0" / "000001.png").read_bytes()
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and data[24] == 16
+
+
+def test_session(spark):
+    from framelake.plans import session
+
+    rows = frames(spark, 12)
+    truth = lenses.disc(spark, frames=12).withColumn("v", F.when(F.col("v") == 255, 255).otherwise(0))
+    mattes = track.blobs(truth, 80, 60).select("clip", "idx", F.transform("plane", lambda v: (v / 255).cast("double")).alias("alpha"))
+    keys = mattes.filter("idx in (3, 8)")
+    got = {r["idx"]: r for r in session.run(rows, keys).collect()}
+    assert sorted(got) == list(range(12))
+    assert [i for i, r in sorted(got.items()) if r["flags"] == 1] == [3, 8]
+    want = {r["idx"]: np.array(r["alpha"]) for r in mattes.collect()}
+    for i, r in got.items():
+        assert track.iou(np.array(r["alpha"]), want[i]) > 0.85, i
+    kinds = {r["kind"] for r in session.plan(rows, keys, changed=keys.filter("idx = 8")).collect()}
+    assert kinds == {"between", "forward"}
+    with pytest.raises(Exception, match="without a matte"):
+        session.plan(rows, keys.withColumn("alpha", F.lit(None).cast("array<double>"))).collect()
+    assert session.signature(a=1, b=2) == session.signature(b=2, a=1) != session.signature(a=1, b=3)
+
+
+def test_video_boundary(spark, tmp_path):
+    from framelake.sources import video
+
+    (tmp_path / "a.bin").write_bytes(bytes(range(2)))
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    out = video.proxy_frames(files, lambda raw: [np.full((20, 40), b) for b in raw], most=16).orderBy("idx").collect()
+    assert [(r.idx, r.w, r.h, r.plane[0]) for r in out] == [(0, 16, 8, 0.0), (1, 16, 8, 1.0)]
+    import hashlib
+
+    manifest = spark.createDataFrame([("a.bin", hashlib.sha256(bytes(range(2))).hexdigest()), ("b.bin", "00")], "name string, sha256 string")
+    assert {r["name"]: r.state for r in video.verified_models(manifest, files).collect()} == {"a.bin": "ok", "b.bin": "missing"}
+    assert video.preview(np.ones((2, 2))).startswith("iVBOR")
+    names = spark.createDataFrame([("000012.acm",), ("x.acm",), ("12.txt",)], "n string").select(video.frame_number(F.col("n")).alias("i"))
+    assert [r.i for r in names.collect()] == [12, None, None]
