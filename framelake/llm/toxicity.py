@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -102,22 +103,23 @@ def learn_entries(folded: list[str], labels: np.ndarray) -> tuple[tuple[str, flo
     """Entries and weights from folded labelled texts.
 
     An entry's support is the number of different words it follows in toxic
-    texts, so that copies of one text don't make its words toxic.  Of a
+    texts, so that copies of one text don't make its words toxic; it is counted
+    by the bits that hashes of those words set in 64.  Of a
     beginning and a longer one with nearly its support the longer stays.
     """
-    contexts: dict[str, set[int]] = defaultdict(set)
+    contexts: dict[str, int] = defaultdict(int)
     toxic: Counter[str] = Counter()
     for text, y in zip(folded, labels, strict=True):
         if y:
             words = text.split()
             here = set()
             for before, word in zip(["", *words], words, strict=False):
+                bit = 1 << (zlib.crc32(before.encode()) & 63)
                 for term in {word[:k] for k in STEMS if len(word) >= k} | {word + " "}:
-                    if len(contexts[term]) < 200:
-                        contexts[term].add(hash(before))
+                    contexts[term] |= bit
                     here.add(term)
             toxic.update(here)
-    candidates = {t for t, c in contexts.items() if len(c) >= SUPPORT and toxic[t] >= SUPPORT and len(t) > 3}
+    candidates = {t for t, c in contexts.items() if c.bit_count() >= SUPPORT and toxic[t] >= SUPPORT and len(t) > 3}
     clean: Counter[str] = Counter()
     for text, y in zip(folded, labels, strict=True):
         if not y:
