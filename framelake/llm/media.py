@@ -156,7 +156,8 @@ def store(docs: DataFrame, out_dir: str) -> DataFrame:
 def places(rows: DataFrame) -> DataFrame:
     """The place of each digest, dealt by ranges so that a task reads few shards, front to back."""
     least = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
-    return least.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    # by a hash of the path: the range bounds, and the sample they come from, stay small
+    return least.repartitionByRange(F.xxhash64("shard"), "offset").sortWithinPartitions("shard", "offset")
 
 
 def read_headers(found: DataFrame) -> DataFrame:
