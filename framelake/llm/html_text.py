@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -95,6 +95,13 @@ def blocks(page: str) -> list[Block]:
     stack = [_Open("", 0, 0, False)]
     pieces: list[str] = []
     linked = counter = at = 0
+    held: Counter[str] = Counter()  # open tags by name, so that a name that isn't open is not looked for
+
+    def last(names: set[str]) -> int:
+        """Place in the stack of the innermost of these tags, 0 if none is open."""
+        if not any(held[n] for n in names):
+            return 0
+        return next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in names), 0)
 
     def flush() -> None:
         nonlocal linked
@@ -109,6 +116,7 @@ def blocks(page: str) -> list[Block]:
     def close(k: int) -> None:
         if any(o.tag not in INLINE for o in stack[k:]):
             flush()
+        held.subtract(o.tag for o in stack[k:])
         del stack[k:]
 
     def add(raw: str) -> None:
@@ -131,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, attributes = name.lower(), m[3] or m[6] or ""
         if m[1] or m[4]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+            k = last({tag})
             # an inline tag's end doesn't reach out of its block
             if k and not (tag in INLINE and any(o.tag not in INLINE for o in stack[k:])):
                 close(k)
@@ -142,10 +150,10 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             flush()
         if tag in ENDS_P:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == "p"), 0)
+            k = last({"p"})
             if k:
                 close(k)
-        if tag in CLOSES:
+        if tag in CLOSES and last(CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSES[tag]:
                     close(k)
@@ -155,6 +163,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         counter += 1
+        held[tag] += 1
         top = stack[-1]
         hidden = top.hidden or tag in HIDDEN or bool(attributes and HIDING.search(attributes))
         stack.append(_Open(tag, _polarity(tag, attributes, top.polarity), counter, hidden))
