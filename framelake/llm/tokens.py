@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units (words of letters, punctuation) that a worker remembers, about 40 bytes each; beyond it the pool starts anew.
-POOL_WORDS = 1_000_000
+POOL_WORDS = 600_000
 #: Punctuation after a word of letters is a token run of its own; the apostrophe isn't here, it can begin a contraction.
 TAIL = ".,;:!?"
 
