@@ -134,3 +134,13 @@ def test_video_boundary(spark, tmp_path):
     assert video.preview(np.ones((2, 2))).startswith("iVBOR")
     names = spark.createDataFrame([("000012.acm",), ("x.acm",), ("12.txt",)], "n string").select(video.frame_number(F.col("n")).alias("i"))
     assert [r.i for r in names.collect()] == [12, None, None]
+
+
+def test_modes():
+    image = np.zeros((100, 200))
+    boxes = lambda _: [(10, 10, 50, 50, 0.05), (100, 20, 40, 60, 0.9)]
+    assert models.starting_prompts("person", image, boxes).box == pytest.approx((103.2, 22.4, 136.8, 77.6))
+    assert models.starting_prompts("face", image, boxes).box == pytest.approx((2.5, 0.0, 67.5, 65.0))
+    assert models.starting_prompts("person", image, lambda _: []).box == (50, 25, 150, 75) == models.starting_prompts("object", image).box
+    with pytest.raises(ValueError):
+        models.starting_prompts("cloud", image)
