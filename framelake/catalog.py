@@ -81,7 +81,8 @@ BEFORE = ", bf AS (SELECT *, lag(v) OVER (PARTITION BY clip, y, x ORDER BY idx)
 @query(PX + BEFORE + """ SELECT clip, idx, round(coalesce((count(*) FILTER (v > 0 AND before > 0))::DOUBLE / nullif(count(*) FILTER (v > 0 OR before > 0), 0), 1), 6) AS iou
   FROM bf WHERE before IS NOT NULL GROUP BY ALL""")
 def frame_iou(spark, sf_dir):
-    return six(metrics.consecutive_iou(lenses.planes(spark, sf_dir)), "iou")
+    """From whole planes; ``metrics.consecutive_iou`` is its pixel form."""
+    return track.report(lenses.plane_blobs(spark, sf_dir)).filter("iou IS NOT NULL").select("clip", "idx", "iou")
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
@@ -704,4 +705,4 @@ def tracked(spark, sf_dir):
   SELECT *, coalesce(iou < 0.55, false) OR coalesce(jump > 0.3, false) AS low FROM rep""")
 def track_report(spark, sf_dir):
     """Flagship: area, box, centroid, IoU with the frame before, area jump and a low-confidence flag for each frame."""
-    return track.report(lenses.planes(spark, sf_dir))
+    return track.report(lenses.plane_blobs(spark, sf_dir))

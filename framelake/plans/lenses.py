@@ -25,6 +25,12 @@ def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plane_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, idx, plane, w): the same planes, one row a frame, as arrays of 64 whole numbers."""
+    plane = F.transform("embedding", lambda e: F.floor(e.cast("double") * 255).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("label").alias("clip"), F.col("vec_id").alias("idx"), plane.alias("plane"), F.lit(SIDE).alias("w"))
+
+
 PLANES_SQL = """px AS (
   SELECT clip, idx, (p // 8)::INT AS y, (p % 8)::INT AS x, floor(e::DOUBLE * 255)::INT AS v
   FROM (SELECT label AS clip, vec_id AS idx, unnest(range(64)) AS p, unnest(embedding) AS e FROM embeddings))"""

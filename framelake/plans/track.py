@@ -17,21 +17,27 @@ from pyspark.sql import functions as F
 from framelake.operators import kernels
 
 
-def report(px: DataFrame) -> DataFrame:
-    """One pass over the pixels: a window for the frame before, a group by frame, a window by clip."""
-    inside = F.col("v") > 0
-    before = F.lag("v").over(Window.partitionBy("clip", "y", "x").orderBy("idx"))
-    rows = px.withColumn("before", before)
-    count = lambda c: F.sum(c.cast("int")).cast("long")
-    edge = lambda f, c: f(F.when(inside, F.col(c)))
-    either = count(inside | F.coalesce(F.col("before") > 0, F.lit(False)))
-    overlap = F.coalesce(count(inside & F.coalesce(F.col("before") > 0, F.lit(False))) / F.nullif(either, F.lit(0)), F.lit(1.0))
-    per = rows.groupBy("clip", "idx").agg(
-        count(inside).alias("area"), edge(F.min, "x").alias("x0"), edge(F.min, "y").alias("y0"), (edge(F.max, "x") + 1).alias("x1"), (edge(F.max, "y") + 1).alias("y1"),
-        F.round(edge(F.avg, "x"), 6).alias("cx"), F.round(edge(F.avg, "y"), 6).alias("cy"), F.round(F.when(F.count("before") > 0, overlap), 6).alias("iou"),
+def report(frames: DataFrame) -> DataFrame:
+    """Area, box, centroid, IoU with the frame before, area jump and a low flag of frames (clip, idx, plane, w).
+
+    Arrays stay whole: one shuffle of a row a frame, for the frame before, and
+    expressions over the arrays; no row a pixel.
+    """
+    before = F.lag("plane").over(Window.partitionBy("clip").orderBy("idx"))
+    inside = F.filter(F.sequence(F.lit(0), F.size("plane") - 1), lambda i: F.get("plane", i) > 0)
+    rows = frames.withColumn("before", before).withColumn("on", inside)
+    x, y = (F.transform("on", f) for f in (lambda i: i % F.col("w"), lambda i: F.floor(i / F.col("w")).cast("int")))
+    rows = rows.withColumn("x", x).withColumn("y", y).withColumn("area", F.size("on").cast("long"))
+    # a pixel of the frame before counts if this frame has it too
+    held = F.filter("on", lambda i: F.get("before", i) > 0)
+    rows = rows.withColumn("old", F.size(F.filter("before", lambda v: v > 0)).cast("long")).withColumn("both", F.size(held).cast("long"))
+    mean = lambda c: F.round(F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v) / F.nullif(F.col("area"), F.lit(0)), 6)
+    overlap = F.coalesce(F.col("both") / F.nullif(F.col("area") + F.col("old") - F.col("both"), F.lit(0)), F.lit(1.0))
+    out = rows.select(
+        "clip", "idx", "area", F.array_min("x").alias("x0"), F.array_min("y").alias("y0"), (F.array_max("x") + 1).alias("x1"), (F.array_max("y") + 1).alias("y1"),
+        mean("x").alias("cx"), mean("y").alias("cy"), F.when(F.col("before").isNotNull(), F.round(overlap, 6)).alias("iou"),
+        F.when(F.col("before").isNotNull(), F.round(F.abs(F.col("area") - F.col("old")) / (F.col("old") + 1), 6)).alias("jump"),
     )
-    last = F.lag("area").over(Window.partitionBy("clip").orderBy("idx"))
-    out = per.withColumn("jump", F.round(F.abs(F.col("area") - last) / (last + 1), 6))
     return out.withColumn("low", F.coalesce(F.col("iou") < 0.55, F.lit(False)) | F.coalesce(F.col("jump") > 0.3, F.lit(False)))
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import models
+from framelake.operators import metrics, models
 from framelake.plans import lenses, track
 from framelake.streaming import tracker
 
@@ -55,12 +55,17 @@ def test_segment(spark):
     assert len(rows) == 2 and all(r["confidence"] == 0.55 for r in rows)
 
 
-@pytest.mark.parametrize("width, height", [(8, 8)])
-def test_report_has_every_frame(spark, width, height):
-    px = lenses.planes(spark, "/root/testdata/sf0.001")
-    rep = track.report(px)
-    assert rep.count() == px.select("clip", "idx").distinct().count()
-    assert rep.filter("iou is null").count() == px.select("clip").distinct().count()
+def test_report_equals_the_pixel_forms(spark):
+    data = "/root/testdata/sf0.001"
+    px, rep = lenses.planes(spark, data), track.report(lenses.plane_blobs(spark, data))
+    rows = {(r["clip"], r["idx"]): r for r in rep.collect()}
+    for r in metrics.area(px).join(metrics.bounding_box(px), ["clip", "idx"]).join(metrics.centroid(px), ["clip", "idx"]).collect():
+        got = rows[r["clip"], r["idx"]]
+        assert all(got[c] == r[c] for c in ("area", "x0", "y0", "x1", "y1", "cx", "cy"))
+    for r in metrics.consecutive_iou(px).collect():
+        assert rows[r["clip"], r["idx"]]["iou"] == pytest.approx(r["iou"], abs=1e-6)
+    fresh = track.report(lenses.plane_blobs(spark, data))
+    assert fresh._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
 def test_robust_flow():
