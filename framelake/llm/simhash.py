@@ -221,9 +221,12 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.column(0).slice(i, 4096).to_numpy().view(np.uint64)
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.column(0).slice(i, 1024).to_numpy().view(np.uint64)
                 row, key = bucket_keys(part)
+                # a fingerprint's rows side by side compress well in the shuffle
+                order = np.argsort(row, kind="stable")
+                row, key = row[order], key[order]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "fp"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
