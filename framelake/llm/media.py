@@ -150,7 +150,7 @@ def store(docs: DataFrame, out_dir: str) -> DataFrame:
             sink.close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return runtime.stage(texts.mapInArrow(write, "doc_id long, n_bytes long, " + PLACES), "media-rows")
+    return runtime.stage(texts.mapInArrow(runtime.frugal(write), "doc_id long, n_bytes long, " + PLACES), "media-rows")
 
 
 def places(rows: DataFrame) -> DataFrame:
@@ -169,7 +169,7 @@ def read_headers(found: DataFrame) -> DataFrame:
             w, h, d = zip(*heads, strict=True) if heads else ((), (), ())
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int32()) for c in (w, h, d))], names=[*batch.schema.names, "width", "height", "bit_depth"])
 
-    return found.mapInArrow(read, PLACES + ", width int, height int, bit_depth int")
+    return found.mapInArrow(runtime.frugal(read), PLACES + ", width int, height int, bit_depth int")
 
 
 def read_features(headed: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def read_features(headed: DataFrame) -> DataFrame:
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, _TYPES[f.split()[1]]) for c, f in zip(out, FEATURES.split(", "), strict=True)], names=[f.split()[0] for f in FEATURES.split(", ")])
 
-    return headed.mapInArrow(read, FEATURES)
+    return headed.mapInArrow(runtime.frugal(read), FEATURES)
 
 
 _TYPES = {"string": pa.string(), "binary": pa.binary(), "long": pa.int64(), "int": pa.int32()}

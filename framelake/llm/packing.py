@@ -26,7 +26,7 @@ from framelake.llm.tokens import encoder
 #: Rows of a group at first, and when open bins are exchanged.
 GROUP_ROWS, EXCHANGE_ROWS = 4096, 16384
 MAX_ROUNDS = 12
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long, home long, open boolean"
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(cut, PIECES)
+    return texts.mapInArrow(runtime.frugal(cut), PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

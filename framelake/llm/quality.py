@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], names=[*names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(runtime.frugal(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, rows: int = fitting.FIT_ROWS) -> DataFrame:

@@ -8,6 +8,7 @@ executor loses none of them, and reading one back cuts the lineage.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -82,6 +83,36 @@ def large_batches(spark: SparkSession, rows: int = 1 << 16):
         spark.conf.set(_BATCH, before)
 
 
+def release() -> None:
+    """Give memory that is free but held by the allocators back; a worker otherwise keeps the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:  # another C library
+        return None
+
+
+_LIBC = _libc()
+
+
+def frugal(f):
+    """A function of Arrow batches that releases memory when a task is over: idle workers count in an executor's memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def regrouped(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` of ``column``; a longer single value stays whole."""
     held: list[pa.RecordBatch] = []
@@ -94,6 +125,7 @@ def regrouped(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int) ->
         if size >= max_bytes:
             yield _joined(held)
             held, size = [], 0
+            release()
     if held:
         yield _joined(held)
 

@@ -73,7 +73,7 @@ def with_fingerprints(docs: DataFrame, column: str = "fp") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, fp], names=[*names, column])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` long"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(runtime.frugal(run), schema)
 
 
 def hex_of(fp: Column) -> Column:
@@ -246,10 +246,10 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         if held_k:
             yield _links_batch(*bucket_links(np.concatenate(held_k), np.concatenate(held_f), bucket_rows))
 
-    keyed = fps.select("fp").mapInArrow(expand, "key long, fp long")
+    keyed = fps.select("fp").mapInArrow(runtime.frugal(expand), "key long, fp long")
     spark = fps.sparkSession
     with runtime.large_batches(spark):
-        found = runtime.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, LINKS), "links")
+        found = runtime.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(runtime.frugal(compare), LINKS), "links")
     edges = found.filter(F.col("too_large").isNull()).select("a", "b")
     if found.filter(F.col("too_large").isNotNull()).isEmpty():
         return edges

@@ -35,7 +35,7 @@ from framelake.llm.tokens import encoder
 MAGIC, END = b"FLTK", b"KTLF"
 #: Ids of a block, ids after which a task begins another file.
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Files that one row of the upper level of the running sum stands for.
 FILES_PER_BUCKET = 1024
 
@@ -221,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out_dir: str, end_id: int
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.withColumn("tie", F.xxhash64("text"))
     ordered = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
-    return runtime.stage(ordered.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-manifest")
+    return runtime.stage(ordered.select("doc_id", "text").mapInArrow(runtime.frugal(write), MANIFEST), "token-manifest")
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:
@@ -253,4 +253,4 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
     spread = max(1, min(manifest.count(), 100_000))
     files = with_starts(manifest).select("path", "n_bytes", "file_start").repartition(spread, "path")
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(runtime.frugal(read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -70,8 +70,8 @@ class WordEncoder:
     def _reset(self) -> None:
         """Unit 0 has no ids."""
         self.units = pa.array([""], pa.large_string())
-        self.lens = np.zeros(1, np.int64)
-        self.starts = np.zeros(1, np.int64)
+        self.lens = np.zeros(1, np.int32)
+        self.starts = np.zeros(1, np.int32)
         self.pool = np.zeros(1 << 15, np.uint32)
         self.used = 0
 
@@ -102,8 +102,8 @@ class WordEncoder:
         while len(self.pool) < self.used + len(flat):
             self.pool = np.resize(self.pool, 2 * len(self.pool))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
-        self.lens = np.concatenate([self.lens, counts])
+        self.starts = np.concatenate([self.starts, (self.used + np.cumsum(counts) - counts).astype(np.int32)])
+        self.lens = np.concatenate([self.lens, counts.astype(np.int32)])
         self.units = pa.concat_arrays([self.units, units])
         self.used += len(flat)
 
@@ -140,7 +140,7 @@ class WordEncoder:
             self._reset()
         both = pc.dictionary_encode(pa.concat_arrays([first, second]))
         units = both.dictionary
-        place = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy().astype(np.int64)
+        place = pc.fill_null(pc.index_in(units, value_set=self.units), -1).to_numpy().copy()
         unknown = place < 0
         if unknown.any():
             letters = pc.utf8_is_alpha(units).to_numpy(zero_copy_only=False)
@@ -194,7 +194,7 @@ class WordEncoder:
         coded = pc.dictionary_encode(split.flatten())
         word_at = word_at - word_at[0]
         index = coded.indices.to_numpy()
-        place = np.empty(2 * len(index), np.int64)
+        place = np.empty(2 * len(index), np.int32)  # a batch has less than 2^31 ids, as each takes a byte of text at least
         for k, unit in enumerate(self._units(coded.dictionary)):
             place[k::2] = unit[index]
         lens, starts = self.lens[place], self.starts[place]
@@ -202,10 +202,12 @@ class WordEncoder:
             firsts = 2 * word_at[:-1]
             lens[firsts] -= lead
             starts[firsts] += lead
-        ends = np.cumsum(lens)
+        del place, index
+        ends = np.cumsum(lens, dtype=np.int32)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(starts - (ends - lens), lens)]
-        return ids, np.concatenate([[0], ends])[2 * word_at]
+        at = np.repeat(starts - (ends - lens), lens)
+        at += np.arange(total, dtype=np.int32)
+        return self.pool[at], np.concatenate([[0], ends])[2 * word_at].astype(np.int64)
 
 
 @functools.lru_cache(maxsize=4)
