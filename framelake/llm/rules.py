@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: The white space that parts words, and the symbols, of the contract.
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[^#*$%&|<>]+"
+#: What is trimmed from a word before it is compared with the function words.
+AROUND = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 PLACE_BITS = 24
 
 #: Frequent function words of the languages of the corpus.
@@ -38,18 +40,20 @@ class Rule:
     most: float | None = None
 
 
-#: ``base`` rules are the contract's; the others are the method's own.
+#: ``base`` rules are the contract's; the others are the method's own.  The query's SQL
+#: judges by ``SQL_RULES``; the method's table has the rule on function words as well.
 BASE_RULES = (
     Rule("few_words", "n_words", least=50),
     Rule("repeated_windows", "100 * n_repeat_words - 50 * n_words", most=0),
 )
-RULES = (
+SQL_RULES = (
     Rule("word_length", "mean_word_chars", least=1.5, most=25.0),
     Rule("symbols", "symbol_ratio", most=0.1),
     Rule("duplicate_lines", "dup_line_ratio", most=0.5),
     Rule("upper_case", "upper_ratio", most=0.6),
     Rule("too_long", "n_words", most=10_000_000),
 )
+RULES = (*SQL_RULES, Rule("stop_words", "stop_word_ratio", least=0.02))
 
 
 def _sum_of_gaps(places: Column) -> Column:
@@ -105,7 +109,7 @@ def measures(text: str = "text") -> list[dict[str, Column]]:
             "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, _sum_of_gaps(F.col("q_exact"))).otherwise(F.lit(0)),
             "n_upper": F.length(F.regexp_replace("q_text", r"[^\p{Lu}]+", "")).cast("long"),
             "n_lines": F.size("q_lines").cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long"),
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(F.regexp_replace(w, AROUND, "")).isin(*STOP_WORDS))).cast("long"),
         },
         {
             "mean_word_chars": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),

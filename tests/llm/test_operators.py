@@ -249,6 +249,15 @@ def test_rules(spark):
     assert rules.apply_rules(table(spark, [])).count() == 0
 
 
+def test_stop_words(spark):
+    names = [a + b + c for a in ("bar", "kol", "lim", "mut") for b in ("do", "fi", "ga") for c in ("sel", "tor", "nim", "pak", "rud")]
+    listed = " ".join(names)
+    texts = [(1, listed), (2, listed + " \u201cThe, (of) una."), (3, listed + " thesis often")]
+    got = {r.doc_id: r for r in rules.apply_rules(table(spark, texts)).collect()}
+    assert [(got[i].failed, got[i].kept) for i in (1, 2, 3)] == [(["stop_words"], False), ([], True), (["stop_words"], False)]
+    assert [round(got[i].stop_word_ratio * got[i].n_words) for i in (1, 2, 3)] == [0, 3, 0]
+
+
 def test_rules_are_one_projection(spark):
     plan = rules.apply_rules(table(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
