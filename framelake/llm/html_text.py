@@ -36,6 +36,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video map head title textarea select option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
+#: What a head can hold; anything else ends one whose end tag is left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 #: A new one of these closes an open one of the same set.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Block tags that a paragraph can't hold.
@@ -44,7 +46,10 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 # Words in tags, classes and ids that tell what a container is for.
 AGAINST = frozenset("nav navbar navigation menu header masthead footer aside sidebar sidenav ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register form search button share sharing social related recommended recommendation recommendations trending popular comment comments reply replies disqus respond discussion breadcrumb breadcrumbs pagination pager copyright legal disclaimer toolbar widget skip tags rail teaser outbrain taboola contentinfo complementary".split())
 FOR = frozenset("article main content post entry story articlebody body text prose".split())
-HIDING = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Attributes with one of these words are looked at one by one.
+MAYBE_HIDING = re.compile(r"hidden|display", re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*hidden)\b", re.I)
 
 #: Weights of the classifier: log-odds of content.
 WEIGHTS = {"start": -0.5, "against": -9.0, "for": 5.0, "linked": -4.0, "paragraph": 1.0, "heading": 0.5, "long": 1.2, "sentence": 0.6, "list": -0.4}
@@ -89,6 +94,18 @@ def _polarity(tag: str, attributes: str, inside: int) -> int:
     return inside
 
 
+def _hides(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: hidden, aria-hidden=true, or a style that does."""
+    if not MAYBE_HIDING.search(attributes):
+        return False
+    values: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # of repeated ones the first counts
+    if values.get("hidden", "false").strip().lower() != "false" or values.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return bool(HIDING_STYLE.search(html.unescape(values.get("style", ""))))
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup errors are read leniently, a tag cut off at the end is dropped."""
     out: list[Block] = []
@@ -119,8 +136,16 @@ def blocks(page: str) -> list[Block]:
         held.subtract(o.tag for o in stack[k:])
         del stack[k:]
 
+    def end_head() -> None:
+        """Close an open head, unless its open part can hold anything."""
+        k = last({"head"})
+        if k and not any(o.tag in ("template", "noframes") for o in stack[k:]):
+            close(k)
+
     def add(raw: str) -> None:
         nonlocal linked
+        if stack[-1].tag == "head" and not raw.isspace() and raw:
+            end_head()
         if raw and not stack[-1].hidden:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
@@ -144,6 +169,8 @@ def blocks(page: str) -> list[Block]:
             if k and not (tag in INLINE and any(o.tag not in INLINE for o in stack[k:])):
                 close(k)
             continue
+        if held["head"] and tag not in IN_HEAD:
+            end_head()
         if tag == "br":
             pieces.append(" ")
             continue
@@ -165,7 +192,7 @@ def blocks(page: str) -> list[Block]:
         counter += 1
         held[tag] += 1
         top = stack[-1]
-        hidden = top.hidden or tag in HIDDEN or bool(attributes and HIDING.search(attributes))
+        hidden = top.hidden or tag in HIDDEN or bool(attributes and _hides(attributes))
         stack.append(_Open(tag, _polarity(tag, attributes, top.polarity), counter, hidden))
         if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)

@@ -284,6 +284,33 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<div>" * 3000 + "deep text inside of it") == "deep text inside of it"
 
 
+TEXT = "A first sentence of the text, long enough to be taken for content."
+
+
+@pytest.mark.parametrize("tag", ["body style='overflow-x:hidden'", "div class=\"overflow-hidden\"", "a href=/hidden-valley", "a href='/x?display:none'", "div data-x='is hidden'",
+                                 "div style='backface-visibility: hidden'", "div aria-hidden=false", "p title=\"a\"hidden\" b\"", "div data-hidden"])
+def test_attributes_that_do_not_hide(tag):
+    assert html_text.main_text(f"<html><article><{tag}>{TEXT}") == TEXT
+
+
+@pytest.mark.parametrize("tag", ["div hidden", "div HIDDEN=''", "div class=x hidden=until-found", "div aria-hidden='true'", "div aria-hidden=true", "p style='color:red; Display : none'",
+                                 "p style=display:none!important", "p style='visibility:hidden'"])
+def test_attributes_that_hide(tag):
+    assert html_text.main_text(f"<html><article><{tag}>{TEXT}") == ""
+
+
+HEAD = "<html><head><meta charset=utf-8><title>T</title><style>p{}</style>\n<template><div>unseen text</div></template>"
+
+
+@pytest.mark.parametrize("rest", [f"<body><article><p>{TEXT}", f"<article><p>{TEXT}", f"<main>{TEXT}</main>", f"<script src=x /><body><article>{TEXT}", f"</head><body><article><p>{TEXT}"])
+def test_head_without_its_end(rest):
+    assert html_text.main_text(HEAD + rest) == TEXT
+
+
+def test_text_ends_a_head():
+    assert [b.text for b in html_text.blocks(HEAD + TEXT + "<br>More of it.")] == [TEXT + " More of it."]
+
+
 def brute_cut(odds, edges):
     best = None
     n = len(odds)
