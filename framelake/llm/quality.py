@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from framelake.llm import fitting, runtime
 
 LEVEL, PIECE, DICTIONARY, FOLDS = 3, 4096, 112_640, 4
-#: For the dictionaries: texts of a label, pieces of a text, bytes of a piece.
-SAMPLE_TEXTS, SAMPLE_PIECES, SAMPLE_PIECE = 3000, 8, 2048
+#: For the dictionaries, of every text drawn: pieces at most, evenly spread over all of it, and bytes of a piece.
+SAMPLE_PIECES, SAMPLE_PIECE = 8, 2048
 
 
 @dataclass(frozen=True)
@@ -37,9 +37,13 @@ class Model:
 def _dictionary(texts: list[str]) -> bytes:
     """A trained dictionary, smaller where there is little to train on."""
     pieces = []
-    for text in texts[:SAMPLE_TEXTS]:
+    for text in texts:
         raw = text.encode("utf-8", "surrogatepass")
-        pieces += [raw[i : i + SAMPLE_PIECE] for i in range(0, min(len(raw), SAMPLE_PIECES * SAMPLE_PIECE), SAMPLE_PIECE)]
+        n = -(-len(raw) // SAMPLE_PIECE)
+        most = min(n, SAMPLE_PIECES)
+        # the first and the last piece are among them
+        starts = [k * (n - 1) // max(1, most - 1) * SAMPLE_PIECE for k in range(most)]
+        pieces += [raw[i : i + SAMPLE_PIECE] for i in starts]
     total = sum(map(len, pieces))
     size = min(DICTIONARY, total // 8)
     try:

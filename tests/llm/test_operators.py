@@ -375,6 +375,17 @@ def test_toxicity_learns_words_and_beginnings():
     assert quiet.measure("an idiot proof plan") == 0 < quiet.measure("an idiot plan")
 
 
+def test_dictionary_sees_all_texts_to_their_ends(monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, pieces: seen.extend(pieces) or quality.zstandard.ZstdCompressionDict(b"x" * 8))
+    texts = [f"text number {k}" for k in range(5000)] + ["", "b" * 5000 + "end"]
+    long = "".join(chr(97 + k // 2048 % 26) for k in range(40 * 2048)) + "end"
+    quality._dictionary([*texts, long])
+    assert b"".join(seen[:-8]) == "".join(texts).encode()
+    starts = [long.encode().index(p) // 2048 for p in seen[-8:]]
+    assert starts[0] == 0 and seen[-1].endswith(b"end") and len({p[:1] for p in seen[-8:]}) >= 6
+
+
 def test_quality_on_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.classify(docs, labels).join(labels, "doc_id").filter("held_out").collect()
