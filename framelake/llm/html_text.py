@@ -1,11 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into text blocks at block-level tags.  A linear classifier of a
-block's surroundings (names and classes of its ancestors, share of linked text,
-length) gives each block a cost for being called content and one for being
-called boilerplate: the capacities of its edges to the two terminals.  Blocks
-next to each other, and blocks of one container, are joined by smoothness edges.
-The minimum cut separates content from boilerplate.
+A page is cut into text blocks at block-level tags.  A linear classifier reads
+each block's own text (length, punctuation, linked share, its tag) and each
+container's role (its tag, and the word in its class or id that says what it is);
+their log-odds are the capacities of the edges to the two terminals.  Smoothness
+edges join blocks that follow each other, blocks with their container, and
+containers that are near in the tree, the weaker the further.  The minimum cut
+separates content from boilerplate.  No single cost settles a label: what a
+block's text says is often overruled by its surroundings, and a container's name
+by its text and what it stands in (``agreement`` counts how often).
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^>]*\Z",
     re.S,
 )
-NAMES = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+LEGAL = re.compile(r"^(?:©|\(c\)|copyright\b)|\ball rights reserved\b", re.I)
+PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
+NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=", re.I)
 
 # Tags of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video map head title textarea select option".split())
+MATHEMATICS = frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd".split())
+HIDDEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video map head title textarea select option".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 #: What a head can hold; anything else ends one whose end tag is left out.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
@@ -43,18 +48,44 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 #: Block tags that a paragraph can't hold.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
-# Words in tags, classes and ids that tell what a container is for.
-AGAINST = frozenset("nav navbar navigation menu header masthead footer aside sidebar sidenav ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register form search button share sharing social related recommended recommendation recommendations trending popular comment comments reply replies disqus respond discussion breadcrumb breadcrumbs pagination pager copyright legal disclaimer toolbar widget skip tags rail teaser outbrain taboola contentinfo complementary".split())
-FOR = frozenset("article main content post entry story articlebody body text prose".split())
+# Tags, ARIA roles and words of classes and ids that tell what a container is for.
+BOILERPLATE_TAGS = frozenset("nav header footer aside form menu dialog button".split())
+CONTENT_TAGS = frozenset("article main".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+CONTENT_ROLES = frozenset("main article".split())
+AGAINST = frozenset("nav navbar navigation menu header masthead footer aside sidebar sidenav ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register form search share sharing social related recommended recommendation recommendations trending popular comment comments reply replies disqus respond discussion breadcrumb breadcrumbs pagination pager copyright legal disclaimer toolbar widget skip tags rail teaser outbrain taboola contentinfo complementary".split())
+FOR = frozenset("article main content post entry story articlebody prose".split())
+READERS = frozenset("comment comments reply replies".split())
+#: Words that say nothing of their own at the end of a compound: the word before them names the role.
+VAGUE = frozenset("area bar block body box button buttons col column container content div group holder inner item items left links list module outer panel posts right row section slot text top bottom unit widget wrap wrapper stories articles banner".split())
+#: A compound that begins with one of these tells of a state or a layout.
+STATES = frozenset("has with without no is not overflow hide show hidden js".split())
+#: Tags that hold the text of one block, and parts of tables: blocks belong to what they are in.
+LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th tr tbody thead tfoot pre caption figcaption summary".split())
 #: Attributes with one of these words are looked at one by one.
 MAYBE_HIDING = re.compile(r"hidden|display", re.I)
 ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 HIDING_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|(?:content-)?visibility\s*:\s*hidden)\b", re.I)
 
-#: Weights of the classifier: log-odds of content.
-WEIGHTS = {"start": -0.5, "against": -9.0, "for": 5.0, "linked": -4.0, "paragraph": 1.0, "heading": 0.5, "long": 1.2, "sentence": 0.6, "list": -0.4}
-#: Capacities of the edges between neighbours, and inside a container.
-NEXT, SHARED = 0.4, 0.3
+#: Weights of a block's own text, and of its container's role; log-odds of content.  Set by hand: no labels of pages exist.
+TEXT = {"start": -0.3, "linked": -1.6, "paragraph": 0.7, "heading": 0.1, "long": 1.0, "sentence": 0.5, "legal": -1.5}
+ROLE = {"tag for": 3.0, "tag against": -4.0, "name for": 1.5, "name against": -3.0, "part against": -2.5, "inherited": 0.3}
+#: Capacities of the edges from a block to the next, to its container (one with a role, one without), and from a container to the next ones.
+NEXT, INSIDE, LOOSE, NEAR = 0.4, 2.4, 1.2, 0.8
+
+
+#: Tags that don't end a block.
+FLOWING = INLINE | MATHEMATICS | HIDDEN
+
+
+@dataclass
+class Container:
+    """An element that holds blocks; ``role`` is its log-odds for each block that is directly in it."""
+
+    number: int
+    depth: int
+    role: float
+    above: Container | None
 
 
 @dataclass
@@ -62,8 +93,7 @@ class Block:
     """A run of text without a block-level tag inside."""
 
     text: str
-    polarity: int
-    container: int
+    container: Container
     tag: str
     linked: int
     size: int
@@ -72,26 +102,53 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    polarity: int
-    number: int
+    container: Container
     hidden: bool
 
 
-def _polarity(tag: str, attributes: str, inside: int) -> int:
-    """1 for content, -1 for boilerplate, else what the tag is in."""
-    words = {tag}
-    for m in NAMES.finditer(attributes):
-        words.update(w.lower() for w in PART.findall(m[1] or m[2] or m[3] or ""))
-    against = words & AGAINST
-    if tag == "header" and against == {"header"} and inside > 0:
-        return inside  # an article's own heading
-    if tag == "body":
-        words.discard("body")
-    if against:
-        return -1
-    if words & FOR and (inside >= 0 or tag in ("article", "main")):
-        return 1
-    return inside
+def _named_role(name: str, inside: float) -> float:
+    """What one class or id says: its last word that isn't vague counts, less in a compound."""
+    words = [w.lower() for w in PART.findall(name)]
+    if not words or words[0] in STATES:
+        return 0.0
+    told = list(words)
+    while len(told) > 1 and told[-1] in VAGUE:
+        told.pop()
+    if told[-1] in AGAINST:
+        if told[-1] == "header" and inside > 0:
+            return 0.0  # an article's own heading
+        return ROLE["name against"] if len(words) == 1 else ROLE["part against"]
+    return ROLE["name for"] if told[-1] in FOR else 0.0
+
+
+def _role(tag: str, attributes: str, inside: float) -> float:
+    """A container's role from its tag, its ARIA role and its names; ``inside`` is that of what it is in."""
+    told = 0.0
+    if tag in CONTENT_TAGS:
+        told = ROLE["tag for"]
+    elif tag in BOILERPLATE_TAGS and not (tag == "header" and inside > 0):
+        told = ROLE["tag against"]
+    if attributes and NAMED.search(attributes):
+        values: dict[str, str] = {}
+        for m in ATTRIBUTE.finditer(attributes):
+            values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        aria = values.get("role", "").strip().lower()
+        if aria in BOILERPLATE_ROLES:
+            told = ROLE["tag against"]
+        elif aria in CONTENT_ROLES and not told:
+            told = ROLE["tag for"]
+        names = values.get("class", "").split() + values.get("id", "").split() + values.get("itemprop", "").split()
+        each = [_named_role(n, inside) for n in names]
+        against = min((x for x in each if x < 0), default=0.0)
+        if tag == "article" and any(n.lower() in READERS for n in names):
+            told = ROLE["part against"]  # an article in an article is how comments are marked up
+        elif told > 0 and against:
+            return inside  # tag and name disagree: as what it is in
+        elif tag != "body" and not told:
+            told = against or max(each, default=0.0)
+    if not told:
+        return inside
+    return max(-4.0, min(4.0, told + ROLE["inherited"] * (inside if told > 0 else min(0.0, inside))))
 
 
 def _hides(attributes: str) -> bool:
@@ -109,7 +166,7 @@ def _hides(attributes: str) -> bool:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; markup errors are read leniently, a tag cut off at the end is dropped."""
     out: list[Block] = []
-    stack = [_Open("", 0, 0, False)]
+    stack = [_Open("", Container(0, 0, 0.0, None), False)]
     pieces: list[str] = []
     linked = counter = at = 0
     held: Counter[str] = Counter()  # open tags by name, so that a name that isn't open is not looked for
@@ -124,14 +181,13 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(pieces).split())
         if text:
-            top = next(o for o in reversed(stack) if o.tag not in INLINE)
-            parent = next((o for o in reversed(stack[: stack.index(top)]) if o.tag not in INLINE), top)
-            out.append(Block(text, stack[-1].polarity, parent.number, top.tag, linked, max(1, len(text))))
+            tag = next(o.tag for o in reversed(stack) if o.tag not in FLOWING)
+            out.append(Block(text, stack[-1].container, tag, linked, len(text)))
         pieces.clear()
         linked = 0
 
     def close(k: int) -> None:
-        if any(o.tag not in INLINE for o in stack[k:]):
+        if not stack[k - 1].hidden and any(o.tag not in FLOWING for o in stack[k:]):
             flush()
         held.subtract(o.tag for o in stack[k:])
         del stack[k:]
@@ -149,7 +205,7 @@ def blocks(page: str) -> list[Block]:
         if raw and not stack[-1].hidden:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
-            if any(o.tag == "a" for o in stack[-6:]):
+            if held["a"] > 0:
                 linked += len(text.strip())
 
     while True:
@@ -174,9 +230,10 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag not in INLINE:
+        unseen = stack[-1].hidden
+        if tag not in FLOWING and not unseen:
             flush()
-        if tag in ENDS_P:
+        if tag in ENDS_P and not unseen:
             k = last({"p"})
             if k:
                 close(k)
@@ -193,7 +250,12 @@ def blocks(page: str) -> list[Block]:
         held[tag] += 1
         top = stack[-1]
         hidden = top.hidden or tag in HIDDEN or bool(attributes and _hides(attributes))
-        stack.append(_Open(tag, _polarity(tag, attributes, top.polarity), counter, hidden))
+        within = top.container
+        if tag not in FLOWING:
+            role = _role(tag, attributes, within.role)
+            if tag not in LEAVES or role != within.role:
+                within = Container(counter, within.depth + 1, role, within)
+        stack.append(_Open(tag, within, hidden))
         if tag in RAW and not attributes.rstrip().endswith("/"):
             end = re.compile(rf"</{re.escape(tag)}\s*>?", re.I).search(page, at)
             if end is None:
@@ -205,13 +267,66 @@ def blocks(page: str) -> list[Block]:
 
 
 def log_odds(block: Block) -> float:
-    """The classifier: log-odds that the block is content."""
-    w = WEIGHTS
-    x = w["start"] + (w["for"] if block.polarity > 0 else w["against"] if block.polarity < 0 else 0.0)
-    x += w["linked"] * min(1.0, block.linked / block.size)
-    x += w["paragraph"] * (block.tag in ("p", "blockquote", "pre")) + w["heading"] * (block.tag in ("h1", "h2", "h3", "h4")) + w["list"] * (block.tag == "li")
-    x += w["long"] * min(1.0, block.size / 120) + w["sentence"] * block.text.endswith((".", "!", "?", "…", ":"))
-    return x
+    """The classifier's log-odds that a block is content, from its own text alone."""
+    w = TEXT
+    x = w["start"] + w["linked"] * min(1.0, block.linked / block.size)
+    x += w["paragraph"] * (block.tag in ("p", "blockquote", "pre")) + w["heading"] * (block.tag in ("h1", "h2", "h3", "h4")) + w["legal"] * bool(LEGAL.search(block.text))
+    return x + w["long"] * min(1.0, block.size / 120) + w["sentence"] * block.text.endswith((".", "!", "?", "…", ":"))
+
+
+def _apart(a: Container, b: Container) -> int:
+    """Steps in the tree from one container to another."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        steps += 1
+    return steps
+
+
+def graph(found: list[Block]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal costs and smoothness edges; the blocks' nodes come first, then those of containers that hold blocks.
+
+    A container has its role's cost once for each of its blocks.  Across the border of
+    containers whose roles disagree an edge holds a quarter.
+    """
+    odds = [log_odds(b) for b in found]
+    edges: list[tuple[int, int, float]] = []
+    node: dict[int, int] = {}
+    before: Container | None = None
+    for k, b in enumerate(found):
+        here = b.container
+        if here.number not in node:
+            node[here.number] = len(found) + len(node)
+            odds.append(0.0)
+            up = here.above
+            while up is not None and up.number not in node:
+                up = up.above
+            for other in {c.number: c for c in (before, up) if c is not None}.values():
+                far = _apart(here, other)
+                edges.append((node[other.number], node[here.number], NEAR / max(1, far) * (1.0 if here.role * other.role > 0 or here.role == other.role else 0.25)))
+        odds[node[here.number]] += here.role
+        edges.append((k, node[here.number], INSIDE if here.role else LOOSE))
+        if before is not None:
+            far = _apart(before, here)
+            edges.append((k - 1, k, NEXT / (1 + far) * (1.0 if before.role * here.role > 0 or before.role == here.role else 0.25)))
+        before = here
+    return odds, edges
+
+
+def labels(found: list[Block]) -> list[bool]:
+    """Whether each block is content, by the minimum cut."""
+    return minimum_cut(*graph(found))[: len(found)]
+
+
+def agreement(page: str) -> tuple[int, int, int]:
+    """Blocks of a page, and for how many the cut overrules the block's own text, or its container's role (0: undecided)."""
+    found = blocks(page)
+    side = labels(found)
+    by_text = sum(content != (log_odds(b) > 0) for b, content in zip(found, side, strict=True))
+    return len(found), by_text, sum(content != (b.container.role > 0) for b, content in zip(found, side, strict=True))
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -285,17 +400,7 @@ def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[
 def main_text(page: str) -> str:
     """The content blocks in page order, joined by line breaks."""
     found = blocks(page)
-    edges: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
-    for k, b in enumerate(found):
-        # an edge across a border between content and boilerplate containers holds less
-        if k:
-            edges.append((k - 1, k, NEXT if found[k - 1].polarity == b.polarity else NEXT / 4))
-        if b.container in last:
-            edges.append((last[b.container], k, SHARED))
-        last[b.container] = k
-    side = minimum_cut([log_odds(b) for b in found], edges)
-    return "\n".join(b.text for b, content in zip(found, side, strict=True) if content)
+    return "\n".join(b.text for b, content in zip(found, labels(found), strict=True) if content)
 
 
 def extract(pages: DataFrame) -> DataFrame:

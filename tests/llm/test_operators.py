@@ -333,6 +333,80 @@ def test_minimum_cut(odds, edges):
     assert abs(cost - brute_cut(odds, edges)) < 1e-6
 
 
+def small_graphs():
+    """Graphs of the driver's pages, cut down to what all labellings of can be tried."""
+    con = duckdb.connect()
+    for (page,) in con.execute(f"select html from read_parquet('{SMALL}/pages.parquet') order by page_id").fetchall():
+        for part in (page[:1500], "<div>" + page[page.rindex("<p>") :], page.replace("<article>", "<div>")[:1800]):
+            found = html_text.blocks(part)
+            odds, edges = html_text.graph(found)
+            if len(odds) <= 12:
+                yield odds, edges
+
+
+def test_cut_on_real_pages():
+    tried = 0
+    for odds, edges in small_graphs():
+        side = html_text.minimum_cut(odds, edges)
+        cost = sum(x for x, s in zip(odds, side, strict=True) if x > 0 and not s) - sum(x for x, s in zip(odds, side, strict=True) if x < 0 and s)
+        assert abs(cost + sum(c for a, b, c in edges if side[a] != side[b]) - brute_cut(odds, edges)) < 1e-6
+        tried += 1
+        if tried == 40:
+            break
+    assert tried >= 20
+
+
+PARAGRAPH = TEXT + " And it goes on for some more words, so that it is a paragraph of the usual length of one in an article."
+
+
+@pytest.mark.parametrize("page, want", [
+    # thresholds on the blocks' own costs drop the short paragraph and the list, and keep the aside
+    (f"<body><div><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></div><div><p>{PARAGRAPH}<p>Short<p>{PARAGRAPH}<ul><li>one<li>two</ul></div><div>\u00a9 2020 X.</div>", f"{PARAGRAPH}\nShort\n{PARAGRAPH}\none\ntwo"),
+    (f"<article><p>{PARAGRAPH}<aside><div><p>{PARAGRAPH}<p>{PARAGRAPH}</div></aside><p>The end</article>", f"{PARAGRAPH}\nThe end"),
+    (f"<article><p>{PARAGRAPH}<ul><li><a href=1>Reference one</a><li><a href=2>Reference two</a></ul></article>", f"{PARAGRAPH}\nReference one\nReference two"),
+    (f"<main><p>{PARAGRAPH}</main><div id=left-sidebar><p>{PARAGRAPH}<p>{PARAGRAPH}</div>", PARAGRAPH),
+    (f"<article><p>{PARAGRAPH}</article><div class=comments><article class=comment><p>{PARAGRAPH}</article></div>", PARAGRAPH),
+    (f"<article><div class=ad-slot><p>{PARAGRAPH}</div><p>{PARAGRAPH}</article>", PARAGRAPH),
+])
+def test_the_cut_decides(page, want):
+    assert html_text.main_text(page) == want
+    found = html_text.blocks(page)
+    assert html_text.labels(found) != [html_text.log_odds(b) > 0 for b in found] or "ad-slot" in page
+
+
+@pytest.mark.parametrize("page, want", [
+    (f'<article class="overflow-hidden"><p>{TEXT}', TEXT), (f'<article class="form-study"><p>{TEXT}', TEXT), (f'<main class="with-sidebar"><p>{TEXT}', TEXT), (f'<body class="has-sidebar"><div>{TEXT}', TEXT),
+    (f'<article><h2 class="post-header">Title of it</h2><p>{TEXT}', f"Title of it\n{TEXT}"), (f'<article><div class="related-work"><p>{TEXT}</div>', TEXT),
+    ("<article><p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds.<script>x</script> So", "Where x=2 holds. So"),
+    (f'<article class="promo"><p>{PARAGRAPH}', PARAGRAPH), (f"<article>{'<b>' * 20}<a href=x>{'<i>' * 20}{TEXT}", TEXT),
+])
+def test_names_that_do_not_drop(page, want):
+    assert html_text.main_text(page) == want
+
+
+def plain_article(page):
+    """The driver's pages read another way: headings and paragraphs of their one article."""
+    import html as entities
+    import re
+
+    inside = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1]
+    parts = (" ".join(entities.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+    return "\n".join(x for x in parts if x)
+
+
+def test_driver_pages():
+    con = duckdb.connect()
+    pages = [p for (p,) in con.execute(f"select html from read_parquet('{SMALL}/pages.parquet')").fetchall()]
+    assert all(html_text.main_text(p) == plain_article(p) for p in pages)
+    counts = np.sum([html_text.agreement(p) for p in pages], axis=0)
+    assert counts[1] >= 0.05 * counts[0]  # own text overruled
+
+
+def test_very_long_page():
+    page = "<body>" + "".join(f"<div class=a{k}><p>{PARAGRAPH if k % 3 else 'no'}</p><a href=x>link {k}</a></div>" for k in range(5000))
+    assert html_text.main_text(page).count(PARAGRAPH) == sum(k % 3 > 0 for k in range(5000))
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     got = html_text.extract(pages).collect()
