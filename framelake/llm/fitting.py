@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and logistic calibration."""
+"""Samples of labelled documents, bounded in rows, and logistic calibration."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that a model is fitted on, at most; longer texts than the second bound aren't drawn.
-FIT_ROWS, FIT_CHARS = 12_000, 100_000
+from framelake.llm import runtime
+
+#: Labelled documents that a model is fitted on, at most.
+FIT_ROWS = 12_000
 
 
 def crc_of_id() -> Column:
@@ -15,21 +17,23 @@ def crc_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most ``rows`` training documents, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, whole text and label of at most ``rows`` training documents, drawn by a hash of the id; a written table.
 
-    ``train`` is a condition on doc_id.  Null labels and ids aren't drawn; a
-    repeated id is drawn once.
+    ``train`` is a condition on doc_id.  Null labels and ids aren't drawn; of a
+    repeated id's labels the largest counts, and of its texts the one with the
+    least hash, so that fits agree.  Texts of any length are drawn, and stay on
+    the executors.
     """
     draw = F.xxhash64(F.lit("fit"), F.col("doc_id"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("label").isin(0, 1) & train).groupBy("doc_id").agg(F.max("label").alias("label"))
-    drawn = known.withColumn("draw", draw).orderBy("draw", "doc_id").limit(rows).select("doc_id", "label")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # the sample's size is bounded by ``rows``
-    found = texts.filter(F.length("text") <= FIT_CHARS).join(F.broadcast(drawn), "doc_id")
-    out = sorted({r["doc_id"]: (r["text"], r["label"]) for r in found.limit(2 * rows).collect()}.items())
-    return [t for _, (t, _) in out], np.array([y for _, (_, y) in out], float)
+    drawn = known.withColumn("draw", draw).orderBy("draw", "doc_id").limit(rows).select("doc_id", "label")
+    # what is broadcast is bounded by ``rows``
+    found = texts.join(F.broadcast(drawn), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text"))).alias("least"))
+    return runtime.stage(one.select("doc_id", F.col("least.text").alias("text"), "label"), "fit-sample")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 60) -> np.ndarray:

@@ -1,9 +1,9 @@
 """A compression classifier of text quality.
 
 Two zstandard dictionaries are trained, one on pieces of good and one on pieces
-of bad labelled texts.  A text is compressed with each, piece by piece; how much
-better it fits the good one, relative to its size, is calibrated by a logistic
-curve to the probability that it is good.
+of bad labelled texts.  A text is compressed with each, piece by piece; the
+difference of the two sizes, normalised, is calibrated by a logistic curve to the
+probability that the text is good.  Nothing else is read off a text.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from framelake.llm import fitting, runtime
 
-LEVEL, PIECE, DICTIONARY, FOLDS = 3, 4096, 112_640, 4
+LEVEL, PIECE, DICTIONARY, FOLDS = 3, 1024, 112_640, 4
 #: For the dictionaries, of every text drawn: pieces at most, evenly spread over all of it, and bytes of a piece.
 SAMPLE_PIECES, SAMPLE_PIECE = 8, 2048
+#: Bytes of text by which differences are shrunk: those of a few words say little.
+SHRINK = 250
 
 
 @dataclass(frozen=True)
@@ -34,27 +36,26 @@ class Model:
     constant: float = 0.5
 
 
-def _dictionary(texts: list[str]) -> bytes:
+def pieces_of(text: str) -> list[bytes]:
+    """What of a text its dictionary is trained on; the first and the last piece are among them."""
+    raw = text.encode("utf-8", "surrogatepass")
+    n = -(-len(raw) // SAMPLE_PIECE)
+    most = min(n, SAMPLE_PIECES)
+    starts = [k * (n - 1) // max(1, most - 1) * SAMPLE_PIECE for k in range(most)]
+    return [raw[i : i + SAMPLE_PIECE] for i in starts]
+
+
+def _dictionary(pieces: list[bytes]) -> bytes:
     """A trained dictionary, smaller where there is little to train on."""
-    pieces = []
-    for text in texts:
-        raw = text.encode("utf-8", "surrogatepass")
-        n = -(-len(raw) // SAMPLE_PIECE)
-        most = min(n, SAMPLE_PIECES)
-        # the first and the last piece are among them
-        starts = [k * (n - 1) // max(1, most - 1) * SAMPLE_PIECE for k in range(most)]
-        pieces += [raw[i : i + SAMPLE_PIECE] for i in starts]
-    total = sum(map(len, pieces))
-    size = min(DICTIONARY, total // 8)
+    size = min(DICTIONARY, sum(map(len, pieces)) // 8)
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except (zstandard.ZstdError, ValueError, TypeError):  # too little: the text itself
         return b"".join(pieces)[-DICTIONARY:]
 
 
-def _dictionaries(texts: list[str], labels: np.ndarray) -> tuple[bytes, bytes]:
-    good, bad = ([t for t, y in zip(texts, labels, strict=True) if y == k] for k in (1, 0))
-    return _dictionary(good), _dictionary(bad)
+def dictionaries(good: list[bytes], bad: list[bytes]) -> Model:
+    return Model(_dictionary(good), _dictionary(bad))
 
 
 class Sizes:
@@ -74,33 +75,54 @@ class Sizes:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """The size difference relative to the text and to both sizes, the compressed share, and the length's scale."""
-    good, bad, n = sizes[:, 0], sizes[:, 1], np.maximum(sizes[:, 2], 1.0)
-    by_text, by_both, share = (bad - good) / n, (bad - good) / (good + bad), (good + bad) / (2 * n)
-    share = np.minimum(share, 4.0)
-    scale = np.log(n) / 10
-    return np.stack([np.ones(len(n)), 20 * by_text, 10 * by_both, share, share**2, scale, 20 * by_text * scale], axis=1)
-
-
-def train(texts: list[str], labels: np.ndarray) -> Model:
-    """A model of labelled texts; without both labels its score is constant."""
-    if len(texts) == 0 or labels.min() == labels.max():
-        return Model(constant=float(labels.mean()) if len(texts) else 0.5)
-    # the curve is fitted on sizes with dictionaries that have not seen the text
-    sizes = np.zeros((len(texts), 3))
-    for fold in range(FOLDS):
-        inside = np.arange(len(texts)) % FOLDS == fold
-        if not inside.any():
-            continue
-        measure = Sizes(Model(*_dictionaries([t for t, i in zip(texts, inside, strict=True) if not i], labels[~inside])))
-        sizes[inside] = [measure(t) for t, i in zip(texts, inside, strict=True) if i]
-    curve = fitting.logistic(features(sizes), labels, l2=0.01)
-    return Model(*_dictionaries(texts, labels), tuple(curve.tolist()))
+    """The size difference normalised by the text's length and by both sizes, each shrunk; then what is to be
+    expected of a difference at that length, so that none at all speaks against a long text and not against a short one.
+    """
+    good, bad, n = sizes[:, 0], sizes[:, 1], sizes[:, 2]
+    more = bad - good
+    return np.stack([np.ones(len(n)), 20 * more / (n + SHRINK), 10 * more / (good + bad + SHRINK / 2), 4 * n / (n + SHRINK)], axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = fitting.FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents whose crc32(doc_id) mod 5 is not 0."""
-    return train(*fitting.labelled_sample(docs, labels, "quality", fitting.crc_of_id() % 5 != 0, rows))
+    """Fit on at most ``rows`` labelled documents whose crc32(doc_id) mod 5 is not 0; without both labels the score is constant.
+
+    The driver gets pieces of the drawn texts (``SAMPLE_PIECES`` of
+    ``SAMPLE_PIECE`` bytes each, at most) for the dictionaries, and three sizes of
+    each whole text for the curve, which is fitted on sizes by dictionaries that
+    have not seen the text.
+    """
+    sample = fitting.labelled_sample(docs, labels, "quality", fitting.crc_of_id() % 5 != 0, rows)
+    sample = sample.withColumn("fold", F.expr(f"cast(pmod(xxhash64(doc_id), {FOLDS}) as int)"))
+    runtime.small_batches(docs.sparkSession)
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pieces_of(t) for t in batch.column("text").to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            parts = pa.array([p for f in found for p in f], pa.binary())
+            place = pa.array([k for f in found for k in range(len(f))], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of)) for c in ("doc_id", "label", "fold")), place, parts], names=["doc_id", "label", "fold", "place", "piece"])
+
+    schema = "doc_id long, label int, fold int, place int, piece binary"
+    pieces = sample.mapInArrow(runtime.frugal(cut), schema).toArrow().sort_by([("doc_id", "ascending"), ("place", "ascending")])
+    label, fold, piece = pieces["label"].to_numpy(), pieces["fold"].to_numpy(), pieces["piece"]
+    take = lambda mask: piece.filter(pa.array(mask)).to_pylist()
+    models = [dictionaries(take((label == 1) & (fold != f)), take((label == 0) & (fold != f))) for f in range(FOLDS)]
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = [Sizes(m) for m in models]
+        for batch in batches:
+            got = [sizes[f](t) for t, f in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*got, strict=True)] if got else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], names=["doc_id", "label", "good", "bad", "n"])
+
+    known = sample.mapInArrow(runtime.frugal(measured), "doc_id long, label int, good long, bad long, n long").toArrow().sort_by("doc_id")
+    y = known["label"].to_numpy().astype(float)
+    if len(y) == 0 or y.min() == y.max():
+        return Model(constant=float(y.mean()) if len(y) else 0.5)
+    curve = fitting.logistic(features(np.stack([known[c].to_numpy() for c in ("good", "bad", "n")], axis=1).astype(float)), y, l2=0.01)
+    whole = dictionaries(take(label == 1), take(label == 0))
+    return Model(whole.good, whole.bad, tuple(curve.tolist()))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -4,8 +4,7 @@ Folding lower-cases, maps look-alike letters of other scripts to Latin ones,
 undoes digits written for letters inside words, and leaves words parted by one
 space.  The lexicon's entries are words and word beginnings, weighted by their
 log-odds in labelled documents; matches inside exception phrases don't count.
-The matched weight, normalised by the text's length, is calibrated by a logistic
-curve.
+The matched weight a thousand words is calibrated by a logistic curve.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import math
 import re
 import unicodedata
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,9 +33,11 @@ INVISIBLE = "­​‌‍⁠﻿"
 #: Phrases in which lexicon words are harmless.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "clown car", "idiot proof", "scum line", "pond scum", "stupid simple")
 
-#: Labelled documents of a fit, at most.  Lengths of word beginnings that can be entries; distinct contexts an entry needs; least log-odds; entries at most.
+#: Labelled documents of a fit, at most.  Lengths of word beginnings that can be entries; distinct contexts an entry needs; least log-odds.
 FIT_ROWS = 4000
-STEMS, SUPPORT, LEAST_ODDS, MOST_ENTRIES = range(4, 9), 4, 3.0, 5000
+STEMS, SUPPORT, LEAST_ODDS = range(4, 9), 4, 3.0
+#: Densities are some tens or hundreds; the curve is fitted on them in this unit.
+SCALE = 100.0
 
 _TABLE = str.maketrans({**LOOK_ALIKES, **dict.fromkeys(INVISIBLE)})
 _SUBSTITUTED = str.maketrans(SUBSTITUTES)
@@ -81,79 +82,129 @@ class Matcher:
     def matches(self, folded: str) -> dict[int, tuple[int, float]]:
         """(end, weight) by where an entry begins, without those inside exceptions."""
         found: dict[int, tuple[int, float]] = {}
-        spans = []
+        spans: list[tuple[int, int]] = []  # exceptions by where they end, without those inside a later one
         for end, (size, weight) in () if self.empty else self.machine.iter(folded):
             begin = end - size + 1
             if weight is None:
+                while spans and spans[-1][0] >= begin:
+                    spans.pop()
                 spans.append((begin, end))
             else:
                 found[begin] = (end, weight)
-        for a, b in spans:
-            for begin in [x for x in found if a <= x and found[x][0] <= b]:
-                del found[begin]
-        return found
+        if not spans:
+            return found
+        # spans now ascend in both ends: of those that begin before a match the last reaches furthest
+        kept, k = {}, 0
+        for begin in sorted(found):
+            while k + 1 < len(spans) and spans[k + 1][0] <= begin:
+                k += 1
+            if not spans[k][0] <= begin or found[begin][0] > spans[k][1]:
+                kept[begin] = found[begin]
+        return kept
 
     def measure(self, text: str) -> float:
+        """Matched weight a thousand words."""
         folded = fold(text)
         weight = sum(w for _, w in self.matches(folded).values())
-        return weight / math.log(math.e + folded.count(" ")) if weight else 0.0
+        return 1000 * weight / (folded.count(" ") - 1) if weight else 0.0
 
 
-def learn_entries(folded: list[str], labels: np.ndarray) -> tuple[tuple[str, float], ...]:
-    """Entries and weights from folded labelled texts.
+def terms_of(folded: str) -> dict[str, int]:
+    """The terms of a folded text (beginnings of words, and words with a space after them), and bits for the words before them.
 
-    An entry's support is the number of different words it follows in toxic
-    texts, so that copies of one text don't make its words toxic; it is counted
-    by the bits that hashes of those words set in 64.  Of a
-    beginning and a longer one with nearly its support the longer stays.
+    A bit is that of a hash of the word before, of 64, so that bits can be
+    counted over texts: copies of one text add none.
     """
-    contexts: dict[str, int] = defaultdict(int)
-    toxic: Counter[str] = Counter()
-    for text, y in zip(folded, labels, strict=True):
-        if y:
-            words = text.split()
-            here = set()
-            for before, word in zip(["", *words], words, strict=False):
-                bit = 1 << (zlib.crc32(before.encode()) & 63)
-                for term in {word[:k] for k in STEMS if len(word) >= k} | {word + " "}:
-                    contexts[term] |= bit
-                    here.add(term)
-            toxic.update(here)
-    candidates = {t for t, c in contexts.items() if c.bit_count() >= SUPPORT and toxic[t] >= SUPPORT and len(t) > 3}
-    clean: Counter[str] = Counter()
-    for text, y in zip(folded, labels, strict=True):
-        if not y:
-            here = set()
-            for word in set(text.split()):
-                here.update({word[:k] for k in STEMS if len(word) >= k} | {word + " "})
-            clean.update(here & candidates)
-    n_toxic, n_clean = labels.sum(), len(labels) - labels.sum()
-    odds = {t: math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean[t] + 0.5) / (n_clean + 1)) for t in candidates}
-    strong = {t for t in candidates if odds[t] >= LEAST_ODDS}
+    words = folded.split()
+    bits: dict[str, int] = {}
+    for before, word in zip(["", *words], words, strict=False):
+        bits[word] = bits.get(word, 0) | 1 << (zlib.crc32(before.encode()) & 63)
+    out: dict[str, int] = {}
+    for word, b in bits.items():
+        for term in (*(word[:k] for k in STEMS if len(word) >= k), word + " "):
+            out[term] = out.get(term, 0) | b
+    return out
+
+
+@dataclass(frozen=True)
+class Term:
+    """A term's documents among toxic and clean ones."""
+
+    term: str
+    toxic: int
+    clean: int
+
+
+def choose_entries(strong: list[Term], n_toxic: int, n_clean: int) -> tuple[tuple[str, float], ...]:
+    """Entries and weights of the terms that are frequent in toxic texts and rare in clean ones.
+
+    Of a beginning and a longer one with nearly its support the longer stays, and
+    of a beginning that stays and a longer one the beginning.
+    """
+    odds = {t.term: _odds(t, n_toxic, n_clean) for t in strong}
+    toxic = {t.term: t.toxic for t in strong}
     longer: Counter[str] = Counter()
     for t in strong:
-        for k in range(1, len(t)):
-            longer[t[:k]] = max(longer[t[:k]], toxic[t])
-    kept = [t for t in strong if longer[t] < 0.9 * toxic[t]]
-    kept = [t for t in kept if not any(t[:k] in strong and longer[t[:k]] < 0.9 * toxic[t[:k]] for k in range(1, len(t)))]
+        for k in range(1, len(t.term)):
+            longer[t.term[:k]] = max(longer[t.term[:k]], t.toxic)
+    wide = {t for t in toxic if longer[t] < 0.9 * toxic[t]}
+    kept = [t for t in wide if not any(t[:k] in wide for k in range(1, len(t)))]
     kept.sort(key=lambda t: (-toxic[t], t))
-    return tuple((" " + t, round(odds[t], 6)) for t in kept[:MOST_ENTRIES])
+    return tuple((" " + t, round(odds[t], 6)) for t in kept)
+
+
+def _odds(t: Term, n_toxic: int, n_clean: int) -> float:
+    return math.log((t.toxic + 0.5) / (n_toxic + 1)) - math.log((t.clean + 0.5) / (n_clean + 1))
 
 
-def train(texts: list[str], labels: np.ndarray, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """A model of labelled texts; without both labels its score is constant."""
-    if len(texts) == 0 or labels.min() == labels.max():
-        return Model(constant=float(labels.mean()) if len(texts) else 0.0)
-    entries = learn_entries([fold(t) for t in texts], labels)
-    matcher = Matcher(Model(entries, exceptions))
-    x = np.array([matcher.measure(t) for t in texts])
-    curve = fitting.logistic(np.stack([np.ones(len(x)), x], axis=1), labels)
-    return Model(entries, exceptions, tuple(curve.tolist()))
+def learn_entries(sample: DataFrame) -> tuple[tuple[str, float], ...]:
+    """Entries and weights from labelled texts (text, label); the driver gets the terms that can be entries alone.
 
+    An entry's support is the number of different words it follows in toxic
+    texts (see ``terms_of``).
+    """
+
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                terms = terms_of(fold(text))
+                bits = np.array(list(terms.values()), np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), pa.array(np.full(len(terms), label, np.int32)), pa.array(bits)], names=["term", "label", "bits"])
+
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    n_toxic, n_clean = counts.get(1, 0), counts.get(0, 0)
+    rows = sample.select("text", "label").mapInArrow(runtime.frugal(listed), "term string, label int, bits long")
+    is_toxic = F.col("label") == 1
+    counted = rows.groupBy("term").agg(F.bit_or(F.when(is_toxic, F.col("bits"))).alias("bits"), F.count_if(is_toxic).alias("toxic"), F.count_if(~is_toxic).alias("clean"))
+    able = (F.bit_count("bits") >= SUPPORT) & (F.col("toxic") >= SUPPORT) & (F.length("term") > 3)
+    far = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1)) >= LEAST_ODDS
+    strong = [Term(r["term"], r["toxic"], r["clean"]) for r in counted.filter(able & far).collect()]
+    return choose_entries(sorted(strong, key=lambda t: t.term), n_toxic, n_clean)
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+    """Fit on at most ``rows`` labelled documents whose crc32(doc_id) mod 3 is not 1; without both labels the score is constant."""
+    runtime.small_batches(docs.sparkSession)
+    return train(fitting.labelled_sample(docs, labels, "toxic", fitting.crc_of_id() % 3 != 1, rows), exceptions)
+
+
+def train(sample: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
+    """A model of labelled texts (doc_id, text, label)."""
+    shares = sample.agg(F.count("*"), F.avg("label")).first()
+    if not shares[0] or shares[1] in (0.0, 1.0):
+        return Model(constant=float(shares[1] or 0.0))
+    model = Model(learn_entries(sample), exceptions)
+
+    def measured(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(model)
+        for batch in batches:
+            values = pa.array([matcher.measure(t) for t in batch.column("text").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), values], names=["label", "x"])
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    return train(*fitting.labelled_sample(docs, labels, "toxic", fitting.crc_of_id() % 3 != 1, rows))
+    known = sample.select("text", "label").mapInArrow(runtime.frugal(measured), "label int, x double").toArrow().sort_by([("label", "ascending"), ("x", "ascending")])
+    x = known["x"].to_numpy()
+    curve = fitting.logistic(np.stack([np.ones(len(x)), x / SCALE], axis=1), known["label"].to_numpy().astype(float))
+    return Model(model.entries, exceptions, (float(curve[0]), float(curve[1]) / SCALE))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framelake.llm import html_text, licenses, media, mixing, quality, queries, rules, runtime, simhash, toxicity
+from framelake.llm import fitting, html_text, licenses, media, mixing, quality, queries, rules, runtime, simhash, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 CLASH = "doc_id long, text string, source string, score string, fp__ int, digest string, q_text string, l_text string"
@@ -437,9 +437,13 @@ def corpus(n=400, seed=0):
     return texts, np.array(labels)
 
 
-def test_toxicity_learns_words_and_beginnings():
+def as_sample(spark, texts, labels):
+    return spark.createDataFrame([(k, t, int(y)) for k, (t, y) in enumerate(zip(texts, labels, strict=True))], "doc_id long, text string, label int")
+
+
+def test_toxicity_learns_words_and_beginnings(spark):
     texts, labels = corpus()
-    model = toxicity.train(texts[:300], labels[:300])
+    model = toxicity.train(as_sample(spark, texts[:300], labels[:300]))
     matcher = toxicity.Matcher(model)
     score = lambda t: 1 / (1 + np.exp(-(model.curve[0] + model.curve[1] * matcher.measure(t))))
     held = [score(t) >= 0.7 for t in texts[300:]]
@@ -449,15 +453,125 @@ def test_toxicity_learns_words_and_beginnings():
     assert quiet.measure("an idiot proof plan") == 0 < quiet.measure("an idiot plan")
 
 
-def test_dictionary_sees_all_texts_to_their_ends(monkeypatch):
-    seen = []
-    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, pieces: seen.extend(pieces) or quality.zstandard.ZstdCompressionDict(b"x" * 8))
-    texts = [f"text number {k}" for k in range(5000)] + ["", "b" * 5000 + "end"]
+def brute_entries(texts, labels):
+    """Supports of all terms counted with sets, then the rules in words."""
+    toxic, clean, contexts = {}, {}, {}
+    for text, y in zip(texts, labels, strict=True):
+        words = toxicity.fold(text).split()
+        for before, word in zip([""] + words, words, strict=False):
+            for term in [word[:k] for k in range(4, 9) if len(word) >= k] + [word + " "]:
+                (toxic if y else clean).setdefault(term, set()).add(text)
+                if y:
+                    contexts.setdefault(term, set()).add(zlib.crc32(before.encode()) % 64)
+    n, m = sum(labels > 0), sum(labels == 0)
+    odds = {t: np.log((len(d) + 0.5) / (n + 1)) - np.log((len(clean.get(t, ())) + 0.5) / (m + 1)) for t, d in toxic.items()}
+    strong = {t for t in toxic if len(contexts[t]) >= 4 and len(toxic[t]) >= 4 and len(t) > 3 and odds[t] >= 3.0}
+    wide = {t for t in strong if not any(u != t and u.startswith(t) and len(toxic[u]) >= 0.9 * len(toxic[t]) for u in strong)}
+    return {" " + t: odds[t] for t in wide if not any(u != t and t.startswith(u) for u in wide)}
+
+
+def test_lexicon_equals_brute_force(spark):
+    texts, labels = corpus(300, 4)
+    got = dict(toxicity.learn_entries(as_sample(spark, texts, labels)))
+    assert got == pytest.approx(brute_entries(texts, labels), abs=1e-5) and len(got) >= 2
+
+
+def brute_matches(model, folded):
+    spans = [(i, i + len(p) + 1) for p in model.exceptions for i in range(len(folded)) if folded.startswith(f" {p} ", i)]
+    out = {}
+    for entry, weight in model.entries:
+        for i in range(len(folded)):
+            if folded.startswith(entry, i) and (i not in out or out[i][0] < i + len(entry) - 1):
+                out[i] = (i + len(entry) - 1, weight)
+    return {i: (e, w) for i, (e, w) in out.items() if not any(a <= i and e <= b for a, b in spans)}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["trash", "can", "and", "trashy", "idiot", "proof", "pond", "scum", "line", "an"]), max_size=14))
+def test_exceptions_equal_brute_force(words):
+    model = toxicity.Model(((" trash ", 2.0), (" tras", 1.0), (" idiot ", 3.0), (" scum ", 4.0), (" can ", 0.5)), ("trash can", "can and trash", "idiot proof", "pond scum", "scum line", "an idiot proof can"))
+    folded = toxicity.fold(" ".join(words))
+    assert toxicity.Matcher(model).matches(folded) == brute_matches(model, folded)
+
+
+def test_exceptions_take_linear_time():
+    import time
+
+    matcher = toxicity.Matcher(toxicity.Model(((" trash ", 5.0),)))
+    seconds = []
+    for n in (20_000, 160_000):
+        folded = toxicity.fold("trash can and trash " * n)
+        begin = time.perf_counter()
+        assert len(matcher.matches(folded)) == n
+        seconds.append(time.perf_counter() - begin)
+    assert seconds[1] < 30 * seconds[0] + 0.5  # eight times the text; squared it would be 64
+
+
+def test_dictionary_sees_texts_to_their_ends():
+    assert quality.pieces_of("") == [] and quality.pieces_of("short") == [b"short"]
+    assert quality.pieces_of("b" * 5000 + "end") == [b"b" * 2048, b"b" * 2048, b"b" * 904 + b"end"]
     long = "".join(chr(97 + k // 2048 % 26) for k in range(40 * 2048)) + "end"
-    quality._dictionary([*texts, long])
-    assert b"".join(seen[:-8]) == "".join(texts).encode()
-    starts = [long.encode().index(p) // 2048 for p in seen[-8:]]
-    assert starts[0] == 0 and seen[-1].endswith(b"end") and len({p[:1] for p in seen[-8:]}) >= 6
+    pieces = quality.pieces_of(long)
+    assert len(pieces) == 8 and pieces[0] == b"a" * 2048 and pieces[-1] == b"end" and len({p[:1] for p in pieces}) >= 6
+
+
+def test_sample(spark):
+    docs = table(spark, [(k % 50, f"text {k}") for k in range(100)] + [(None, "no id"), (7, "x" * 300_000)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(8, 1), (None, 1), (9, None), (10, 7)], "doc_id long, quality int")
+    draw = lambda n: {r.doc_id: (r.text, r.label) for r in fitting.labelled_sample(docs, labels, "quality", F.col("doc_id") != 3, n).collect()}
+    all_, few = draw(1000), draw(10)
+    assert set(all_) == set(range(50)) - {3} and all_[8][1] == 1 and all_[9][1] == 1 and all_[10][1] == 0
+    assert draw(1000) == all_ and draw(10) == few and few.items() <= all_.items() and 5 <= len(few) <= 10
+    again = table(spark, [(k % 50, f"text {k}") for k in reversed(range(100))] + [(7, "x" * 300_000)])
+    assert {r.doc_id: (r.text, r.label) for r in fitting.labelled_sample(again.repartition(3), labels, "quality", F.col("doc_id") != 3, 1000).collect()} == all_
+
+
+def brute_quality(spark, docs, labels, rows):
+    """The scores again: no Spark but for reading, everything in one list."""
+    import zstandard
+
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    drawn = [r.doc_id for r in spark.createDataFrame([(i,) for i in known if zlib.crc32(str(i).encode()) % 5], "doc_id long").withColumn("d", F.xxhash64(F.lit("fit"), "doc_id"))
+             .withColumn("f", F.expr("pmod(xxhash64(doc_id), 4)")).orderBy("d").limit(rows).collect()]
+    fold = {r.doc_id: r.f for r in spark.createDataFrame([(i,) for i in drawn], "doc_id long").withColumn("f", F.expr("pmod(xxhash64(doc_id), 4)")).collect()}
+    drawn = sorted(i for i in drawn if i in texts)
+
+    def dictionary(ids):
+        return quality._dictionary([p for i in ids for p in quality.pieces_of(texts[i])])
+
+    def sizes(text, pair):
+        raw = text.encode()
+        parts = [raw[k : k + 1024] for k in range(0, max(1, len(raw)), 1024)]
+        return [sum(len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_checksum=False).compress(p)) for p in parts) for d in pair] + [len(raw)]
+
+    pair = lambda ids: [dictionary([i for i in ids if known[i] == y]) for y in (1, 0)]
+    of = {f: pair([i for i in drawn if fold[i] != f]) for f in range(4)}
+    x = np.array([sizes(texts[i], of[fold[i]]) for i in drawn], float)
+    curve = fitting.logistic(quality.features(x), np.array([known[i] for i in drawn], float), l2=0.01)
+    last = pair(drawn)
+    return {i: float(fitting.sigmoid(quality.features(np.array([sizes(t, last)], float)) @ curve)[0]) for i, t in texts.items()}
+
+
+def test_quality_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    want = brute_quality(spark, docs, labels, 100)
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels, rows=100).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
+    y = np.array([float(known[i]) for i in known])
+    entries = brute_entries([texts[i] + f" {i}" * 0 for i in known], y)
+    model = toxicity.Model(tuple(entries.items()))
+    x = lambda t: 1000 * sum(w for _, w in brute_matches(model, toxicity.fold(t)).values()) / max(1, len(toxicity.fold(t).split()))
+    curve = fitting.logistic(np.array([[1.0, x(texts[i]) / 100] for i in known]), y)
+    sample = [i for i in texts if i % 7 == 0]
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert [got[i] for i in sample] == pytest.approx([float(fitting.sigmoid(curve[0] + curve[1] * x(texts[i]) / 100)) for i in sample], abs=1e-4)
 
 
 def test_quality_on_held_out(spark):
