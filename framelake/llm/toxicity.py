@@ -34,8 +34,9 @@ INVISIBLE = "­​‌‍⁠﻿"
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "clown car", "idiot proof", "scum line", "pond scum", "stupid simple")
 
 #: Labelled documents of a fit, at most.  Lengths of word beginnings that can be entries; distinct contexts an entry needs; least log-odds.
+#: Words that are added to a text's own, so that a rare word in a short text isn't much.
 FIT_ROWS = 4000
-STEMS, SUPPORT, LEAST_ODDS = range(4, 9), 4, 3.0
+STEMS, SUPPORT, LEAST_ODDS, MORE_WORDS = range(4, 9), 4, 3.0, 50
 #: Densities are some tens or hundreds; the curve is fitted on them in this unit.
 SCALE = 100.0
 
@@ -103,10 +104,10 @@ class Matcher:
         return kept
 
     def measure(self, text: str) -> float:
-        """Matched weight a thousand words."""
+        """Matched weight a thousand words, of ``MORE_WORDS`` more than the text has."""
         folded = fold(text)
         weight = sum(w for _, w in self.matches(folded).values())
-        return 1000 * weight / (folded.count(" ") - 1) if weight else 0.0
+        return 1000 * weight / (folded.count(" ") - 1 + MORE_WORDS) if weight else 0.0
 
 
 def terms_of(folded: str) -> dict[str, int]:

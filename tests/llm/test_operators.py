@@ -473,7 +473,7 @@ def brute_entries(texts, labels):
 def test_lexicon_equals_brute_force(spark):
     texts, labels = corpus(300, 4)
     got = dict(toxicity.learn_entries(as_sample(spark, texts, labels)))
-    assert got == pytest.approx(brute_entries(texts, labels), abs=1e-5) and len(got) >= 2
+    assert got == pytest.approx(brute_entries(texts, labels), abs=1e-5) and len(got) >= 1
 
 
 def brute_matches(model, folded):
@@ -565,9 +565,9 @@ def test_toxicity_equals_brute_force(spark):
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     known = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id in texts and zlib.crc32(str(r.doc_id).encode()) % 3 != 1}
     y = np.array([float(known[i]) for i in known])
-    entries = brute_entries([texts[i] + f" {i}" * 0 for i in known], y)
+    entries = brute_entries([texts[i] for i in known], y)
     model = toxicity.Model(tuple(entries.items()))
-    x = lambda t: 1000 * sum(w for _, w in brute_matches(model, toxicity.fold(t)).values()) / max(1, len(toxicity.fold(t).split()))
+    x = lambda t: 1000 * sum(w for _, w in brute_matches(model, toxicity.fold(t)).values()) / (len(toxicity.fold(t).split()) + 50)
     curve = fitting.logistic(np.array([[1.0, x(texts[i]) / 100] for i in known]), y)
     sample = [i for i in texts if i % 7 == 0]
     got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
