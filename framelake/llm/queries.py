@@ -54,8 +54,8 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return rules.apply_rules(_table(spark, sf_dir, "documents"), rules.SQL_RULES).select(*columns)
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "stop_word_ratio", "base_failed", "kept")
+    return rules.apply_rules(_table(spark, sf_dir, "documents")).select(*columns)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

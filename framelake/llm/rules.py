@@ -40,20 +40,18 @@ class Rule:
     most: float | None = None
 
 
-#: ``base`` rules are the contract's; the others are the method's own.  The query's SQL
-#: judges by ``SQL_RULES``; the method's table has the rule on function words as well.
+#: ``base`` rules are the contract's; the others are the method's own.
 BASE_RULES = (
     Rule("few_words", "n_words", least=50),
     Rule("repeated_windows", "100 * n_repeat_words - 50 * n_words", most=0),
 )
-SQL_RULES = (
+RULES = (
     Rule("word_length", "mean_word_chars", least=1.5, most=25.0),
     Rule("symbols", "symbol_ratio", most=0.1),
     Rule("duplicate_lines", "dup_line_ratio", most=0.5),
     Rule("upper_case", "upper_ratio", most=0.6),
-    Rule("too_long", "n_words", most=10_000_000),
+    Rule("stop_words", "stop_word_ratio", least=0.02),
 )
-RULES = (*SQL_RULES, Rule("stop_words", "stop_word_ratio", least=0.02))
 
 
 def _sum_of_gaps(places: Column) -> Column:
@@ -109,7 +107,8 @@ def measures(text: str = "text") -> list[dict[str, Column]]:
             "n_repeat_words": F.when(F.monotonically_increasing_id() >= 0, _sum_of_gaps(F.col("q_exact"))).otherwise(F.lit(0)),
             "n_upper": F.length(F.regexp_replace("q_text", r"[^\p{Lu}]+", "")).cast("long"),
             "n_lines": F.size("q_lines").cast("long"),
-            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(F.regexp_replace(w, AROUND, "")).isin(*STOP_WORDS))).cast("long"),
+            # most words have nothing to trim
+            "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS) | (w.rlike(AROUND) & F.lower(F.regexp_replace(w, AROUND, "")).isin(*STOP_WORDS)))).cast("long"),
         },
         {
             "mean_word_chars": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
@@ -162,13 +161,14 @@ covered AS (SELECT r, sum(gap)::BIGINT AS n FROM gaps GROUP BY r),
 measured AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         list_count(list_filter(w, lambda x: list_contains([@STOPS@], lower(regexp_replace(x, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')))))::DOUBLE AS n_stops,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g'))::DOUBLE AS n_upper, greatest(len(lines), 1)::DOUBLE AS n_lines
   FROM words LEFT JOIN covered c USING (r)),
 judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         word_chars::DOUBLE / greatest(n_words, 1) AS mean_chars, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbols, n_dup_lines / n_lines AS dups, n_upper / greatest(word_chars, 1) AS upper
+         word_chars::DOUBLE / greatest(n_words, 1) AS mean_chars, n_symbols::DOUBLE / greatest(word_chars, 1) AS symbols, n_dup_lines / n_lines AS dups, n_upper / greatest(word_chars, 1) AS upper, n_stops / greatest(n_words, 1) AS stop_word_ratio
   FROM measured)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR mean_chars < 1.5 OR mean_chars > 25.0 OR symbols > 0.1 OR dups > 0.5 OR upper > 0.6 OR n_words > 10000000) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, stop_word_ratio, base_failed,
+       NOT (base_failed OR mean_chars < 1.5 OR mean_chars > 25.0 OR symbols > 0.1 OR dups > 0.5 OR upper > 0.6 OR stop_word_ratio < 0.02) AS kept
 FROM judged
-"""
+""".replace("@STOPS@", ", ".join(f"'{w}'" for w in STOP_WORDS))

@@ -238,8 +238,10 @@ def brute_repeats(words):
 def test_rules(spark):
     rng = random.Random(2)
     texts = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))) for k in range(10, 60)]
-    texts += [*EDGE[:5], (99, "x\nx\n \n\nx #$% <b>|")]
+    texts += [*EDGE, (99, "x\nx\n \n\nx #$% <b>|")]
     got = {r.doc_id: r for r in rules.apply_rules(table(spark, texts)).collect()}
+    assert (got[4].n_words, got[4].n_repeat_words, got[4].base_failed) == (40000, 40000, True)
+    assert [r.n_words for r in rules.apply_rules(table(spark, texts)).filter("doc_id = 3").collect()] == [5, 5]
     for i, t in texts[:50]:
         assert got[i].n_repeat_words == brute_repeats(t.split()), t
         assert got[i].n_words == len(t.split())
@@ -258,6 +260,15 @@ def test_stop_words(spark):
     assert [round(got[i].stop_word_ratio * got[i].n_words) for i in (1, 2, 3)] == [0, 3, 0]
 
 
+def test_places_beyond_the_low_bits(spark, monkeypatch):
+    """Texts of more words than the hash's low bits can number, here eight."""
+    rng = random.Random(3)
+    texts = [(k, " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))) for k in range(40)]
+    want = {r.doc_id: r.n_repeat_words for r in rules.apply_rules(table(spark, texts)).collect()}
+    monkeypatch.setattr(rules, "PLACE_BITS", 3)
+    assert {r.doc_id: r.n_repeat_words for r in rules.apply_rules(table(spark, texts)).collect()} == want == {i: brute_repeats(t.split()) for i, t in texts}
+
+
 def test_rules_are_one_projection(spark):
     plan = rules.apply_rules(table(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
