@@ -6,12 +6,15 @@ packed by best-fit decreasing and its bin count is held against a lower bound
 from dual feasible functions.  Bins without a gap are final.  The bins with free
 space of groups that are above their fractional bound are exchanged: bins of
 many groups meet in one group, are packed anew, and the new packing counts if it
-needs fewer bins.  The exchange goes on while the open bins need more groups
-than one or got fewer.
+needs fewer bins.  The exchange ends
+with a round that closes less than a hundredth of the open bins.  Every sequence
+keeps the certificate of the partition that last held it: that partition's bins
+and its bound.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -25,11 +28,15 @@ from framelake.llm.tokens import encoder
 
 #: Rows of a group at first, and when open bins are exchanged.
 GROUP_ROWS, EXCHANGE_ROWS = 4096, 16384
-MAX_ROUNDS = 12
+#: The exchange goes on while a round leaves at most this share of the open bins.
+GAIN = 0.99
+#: Equal rows that one task makes of a counted one at a time.
+COPIES = 1 << 16
 BATCH_BYTES = 4 << 20
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long, home long, open boolean"
+CERTIFICATE = "partition_id long, partition_bins long, partition_bound long"
+PACKED = f"{PIECES}, sequence_id long, offset long, home long, open boolean, {CERTIFICATE}"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
@@ -130,11 +137,15 @@ def _pack(table: pa.Table, capacity: int, round_: int, group: int) -> pa.Table:
         bins = which
     else:
         sequence, offset = (np.int64(round_) << 56) + (np.int64(group) << 20) + bins, places
+    # with the fraction: what a bin lacks here another partition may lack too
     above = len(free) > bound + 1e-9
+    n = len(lengths)
+    told = ((round_ << 40) + group, len(free), int(np.ceil(bound - 1e-9)))
     return pa.table({
         **{c: table.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")},
         "sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64()),
-        "home": pa.array(np.full(len(lengths), group), pa.int64()), "open": pa.array((free[bins] > 0) & above),
+        "home": pa.array(np.full(n, group), pa.int64()), "open": pa.array((free[bins] > 0) & above),
+        **{c.split()[0]: pa.array(np.full(n, v, np.int64)) for c, v in zip(CERTIFICATE.split(", "), told, strict=True)},
     })
 
 
@@ -145,33 +156,46 @@ def _packer(capacity: int, round_: int):
     return packed
 
 
+def dealt(items: DataFrame, groups: int) -> DataFrame:
+    """``items`` with the group each row goes to, by a hash of the row and of its rank among equal rows.
+
+    Equal rows are counted before they move, and made again where their count is:
+    however many there are, each group gets its share.
+    """
+    names = items.columns
+    counted = items.groupBy(*names).agg(F.count("*").alias("n"))
+    chunks = counted.select(*names, "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})")).alias("chunk"))
+    ranked = chunks.select(*names, F.explode(F.expr(f"sequence(chunk * {COPIES}, least(n, (chunk + 1) * {COPIES}) - 1)")).alias("rank"))
+    return ranked.withColumn("home", F.pmod(F.xxhash64(*names, "rank"), F.lit(groups))).drop("rank")
+
+
 def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """Pack piece rows (see PIECES) into sequences of at most ``capacity``.
 
-    Adds sequence_id and offset (gapless from 0).  A length must be in 1 ..
-    capacity.  Null and repeated ids are rows like any other, ties are broken by
-    id, piece and checksum, so that reruns agree; an empty table gives an empty
-    one.  Extra columns are left out.
+    Adds sequence_id and offset (gapless from 0), and the certificate of the
+    partition that packed the sequence: partition_id, the bins it needed and the
+    least that any packing of what it held needs.  A length must be in 1 ..
+    capacity.  Null and repeated ids are rows like any other, and equal rows any
+    number of times; ties are broken by id, piece and checksum, so that reruns
+    agree; an empty table gives an empty one.  Extra columns are left out.
     """
     items = items.select(*(c.split()[0] for c in PIECES.split(", ")))
-    n = items.count()
-    groups = max(1, -(-n // GROUP_ROWS))
-    keyed = items.withColumn("home", F.expr(f"pmod(xxhash64(doc_id, piece, start, length, ids_crc32), {groups})"))
-    keyed = keyed.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    groups = max(1, -(-items.count() // GROUP_ROWS))
+    keyed = dealt(items, groups).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     done: DataFrame | None = None
-    bins = None
-    for round_ in range(MAX_ROUNDS):
+    before = None
+    for round_ in itertools.count():
         result = runtime.stage(keyed.groupBy("home").applyInArrow(_packer(capacity, round_), PACKED), f"packed-{round_}")
-        closed = result.filter(~F.col("open"))
-        done = closed if done is None else done.unionByName(closed)
         left = result.filter("open")
         rows, now = left.agg(F.count("*"), F.count_distinct("sequence_id")).first()
-        # what was just packed as one group can't gain by being packed again
-        if not rows or groups == 1 or (bins is not None and now >= bins and round_ >= 3):
-            return done.unionByName(left)
-        bins, groups = now, -(-rows // EXCHANGE_ROWS)
-        keyed = left.withColumn("home", F.expr(f"pmod(xxhash64(home, {round_}), {groups})"))
-    return done.unionByName(left)
+        # one group can't gain by being packed again
+        if not rows or groups == 1 or (before is not None and now > GAIN * before):
+            return result if done is None else done.unionByName(result)
+        closed = result.filter(~F.col("open"))
+        done = closed if done is None else done.unionByName(closed)
+        before, groups = now, -(-rows // EXCHANGE_ROWS)
+        names = [c.split()[0] for c in PIECES.split(", ")]
+        keyed = left.select(*names, "sequence_id", "offset", F.expr(f"pmod(xxhash64(home, sequence_id, {round_}), {groups})").alias("home"))
 
 
 def certificate(packed: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -187,4 +211,4 @@ def certificate(packed: DataFrame, capacity: int = 4096) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Tokenise, cut and pack ``docs`` (doc_id, text); a null text is empty and still has its end id."""
     cut = runtime.stage(pieces(docs, tokenizer_path, capacity, end_id), "pieces")
-    return pack(cut, capacity).select(*(c.split()[0] for c in PIECES.split(", ")), "sequence_id", "offset")
+    return pack(cut, capacity).drop("home", "open")

@@ -165,7 +165,24 @@ def test_exchange_comes_near_the_bound(spark, seed, monkeypatch):
     assert again == {r.doc_id: (r.sequence_id, r.offset) for r in rows}
 
 
-@settings(max_examples=60, deadline=None)
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    """A million equal rows, such as null ids with empty texts, beside others."""
+    row = "cast(null as long) as doc_id", "0 as piece", "0L as start", "1L as length", "7L as ids_crc32"
+    equal = spark.range(1_000_000).selectExpr(*row)
+    others = spark.range(50_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "300 + id % 500 as length", "id as ids_crc32")
+    items = equal.unionByName(others)
+    groups = 1_050_000 // packing.GROUP_ROWS
+    sizes = [r["count"] for r in packing.dealt(items, groups).groupBy("home").count().collect()]
+    assert sum(sizes) == 1_050_000 and len(sizes) == groups and max(sizes) < 1.2 * packing.GROUP_ROWS
+    packed = packing.pack(items)
+    assert packed.count() == 1_050_000 and packing.certificate(packed).first().gap <= 10
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).filter("n > 4096 or n <> end").count() == 0
+    # each partition's certificate: its sequences are as many as it says, and not below its bound
+    told = packed.groupBy("partition_id").agg(F.count_distinct("sequence_id").alias("n"), F.max("partition_bins").alias("bins"), F.max("partition_bound").alias("bound")).collect()
+    assert all(r.bound <= r.bins and r.n <= r.bins for r in told)
+
+
+@settings(max_examples=120, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_bound_is_below_every_packing(sizes):
     def fewest(left, bins, best):
