@@ -27,8 +27,6 @@ SHARE, MOST_EPOCHS = 1.5, 2.0
 #: Weight schedules, as factors at equally spaced times, repeating like the weights.
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 BUCKET_ROWS, FAN_OUT = 512, 1024
-#: A table of the sources is broadcast up to this number of them.
-BROADCAST_SOURCES = 10_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix-1"
@@ -39,19 +37,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> list[tuple[str | None, int, float]]:
-    """(source, size, target): ``share`` of all words by weight, none above ``most`` times its size, the excess shared anew."""
-    rows = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
-    weight = [float(weights[k % len(weights)]) for k in range(len(rows))]
-    active, rate = set(range(len(rows))), 0.0
-    total = share * sum(s for _, s in rows)
-    while active:
-        rate = (total - sum(most * rows[k][1] for k in range(len(rows)) if k not in active)) / sum(weight[k] for k in active)
-        over = {k for k in active if weight[k] * rate > most * rows[k][1]}
-        if not over:
+def ranked_sources(sized: DataFrame) -> DataFrame:
+    """source, source_size and rank (0 for the first by code point, null last); a written table.
+
+    Sources are counted and range-sorted like any rows, since there can be as many
+    as host names; a rank is a partition's first one and the place in it.
+    """
+    order = F.col("source").asc_nulls_last()
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = runtime.stage(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("place", F.monotonically_increasing_id()), "sources")
+    part = F.shiftright("place", 33).alias("part")
+    # a row a partition
+    firsts = placed.groupBy(part).agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = placed.withColumn("part", part).join(firsts, "part")
+    return runtime.stage(ranks.select("source", "source_size", (F.col("first") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank")), "source-ranks")
+
+
+def targets(ranked: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
+    """``ranked`` (see ranked_sources) with ``target``: ``share`` of all words by weight, none above ``most`` times its size, the excess shared anew.
+
+    The words a unit of weight gets only grow while sources reach their limit, so
+    each round is one aggregate over the sources: those above their limit at the
+    rate so far, and the rate for the others.  Only sums come to the driver.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    limit = F.lit(float(most)) * F.col("source_size")
+    weighed = ranked.withColumn("weight", weight)
+    words, active = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    total = share * (words or 0)
+    rate, n_over = (total / active if active else 0.0), 0
+    while True:
+        over = F.col("weight") * F.lit(rate) > limit
+        n, capped, active = weighed.agg(F.count_if(over), F.sum(F.when(over, limit).otherwise(0.0)), F.sum(F.when(over, 0.0).otherwise(F.col("weight")))).first()
+        if n == n_over or not active:
             break
-        active -= over
-    return [(name, size, weight[k] * rate if k in active else most * size) for k, (name, size) in enumerate(rows)]
+        rate, n_over = (total - capped) / active, n
+    return weighed.withColumn("target", F.when(over, limit).otherwise(F.col("weight") * F.lit(rate))).drop("weight")
 
 
 def running_before(rows: DataFrame, parts: list[str], order: list[str], value: str, n_buckets: int) -> DataFrame:
@@ -84,10 +105,13 @@ def _position(amount: Column, demand: Column, factors: Column) -> Column:
     pieces = F.transform(F.sequence(F.lit(0), k - 1), lambda i: (F.get(factors, i) + F.get(factors, i + 1)) / 2)
     area = F.aggregate(pieces, F.lit(0.0), lambda a, x: a + x)
     goal = F.when(demand > 0, amount / demand).otherwise(F.lit(0.0)) * area
-    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("at"))
+    # a segment is passed only if all before it are
     seg = F.aggregate(
         pieces, start,
-        lambda a, x: F.when((a["sum"] + x <= goal) & (a["i"] < k - 1), F.struct((a["i"] + 1).alias("i"), (a["sum"] + x).alias("sum"))).otherwise(a),
+        lambda a, x: F.when(
+            (a["i"] == a["at"]) & (a["sum"] + x <= goal) & (a["i"] < k - 1), F.struct((a["i"] + 1).alias("i"), (a["sum"] + x).alias("sum"), (a["at"] + 1).alias("at"))
+        ).otherwise(F.struct(a["i"].alias("i"), a["sum"].alias("sum"), (a["at"] + 1).alias("at"))),
     )
     rest = F.greatest(goal - seg["sum"], F.lit(0.0))
     w0, w1 = F.get(factors, seg["i"]), F.get(factors, seg["i"] + 1)
@@ -107,29 +131,27 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     interchangeable; reruns agree.  An empty table gives an empty plan.  Other
     columns are left out.
     """
-    spark = docs.sparkSession
     text = F.col("text").cast("string")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
     sized = runtime.stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), word_count(text).alias("size")), "sizes")
-    # one row a source
-    per_source = [(r[0], r[1]) for r in sized.groupBy("source").agg(F.sum("size")).collect()]
-    goals = targets(per_source, weights, share, most)
-    rows = [(name, size, float(goal), int(goal // size) if size else 0, [float(f) for f in schedules[k % len(schedules)]]) for k, (name, size, goal) in enumerate(goals)]
-    table = spark.createDataFrame(rows, "name string, source_size long, target double, epochs int, factors array<double>").withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    small = (lambda t: F.broadcast(t)) if len(rows) <= BROADCAST_SOURCES else (lambda t: t)
+    factors = F.element_at(F.array(*(F.array(*(F.lit(float(f)) for f in each)) for each in schedules)), (F.col("rank") % len(schedules) + 1).cast("int"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goals = targets(ranked_sources(sized), weights, share, most).select(F.col("source").alias("name"), "source_size", "target", epochs.cast("int").alias("epochs"), factors.alias("factors"))
+    # as large as there are sources: Spark broadcasts it if its size, which it knows, is small
+    table = runtime.stage(goals.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "goals")
     n_buckets = max(1, -(-sized.count() // BUCKET_ROWS))
     placed = sized.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.lit(n_buckets) / F.lit(float(1 << 32))).cast("long"))
     summed = running_before(placed, ["source"], ["key", "doc_id"], "size", n_buckets)
     of_source = F.col("source").eqNullSafe(F.col("name"))
     end = F.col("before") + F.col("size")
-    joined = runtime.stage(summed.join(small(table), of_source).drop("name"), "streams")
+    joined = runtime.stage(summed.join(table, of_source).drop("name"), "streams")
     # the last epoch takes whole documents while they fit, then the one whose size comes nearest to what is left
     filled = joined.groupBy("source").agg(F.coalesce(F.max(F.when(end <= F.col("rest"), end)), F.lit(0)).alias("filled")).withColumnRenamed("source", "name")
     left = F.col("rest") - F.col("filled")
     gap = F.abs(left - F.col("size"))
-    with_left = joined.join(small(filled), of_source).drop("name")
+    with_left = joined.join(filled, of_source).drop("name")
     last = with_left.filter((end > F.col("rest")) & (gap < left)).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "doc_id", "before")).alias("last")).withColumnRenamed("source", "name")
-    chosen = with_left.join(small(last), of_source, "left").drop("name")
+    chosen = with_left.join(last, of_source, "left").drop("name")
     is_last = F.struct("key", "doc_id", "before").eqNullSafe(F.struct("last.key", "last.doc_id", "last.before")) & F.col("last").isNotNull()
     copies = (F.col("epochs") + F.when((F.col("rest") > 0) & ((end <= F.col("rest")) | is_last), 1).otherwise(0)).cast("int")
     counted = chosen.withColumn("copies", copies)
@@ -165,14 +187,23 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     return rows.repartitionByRange(place, name).sortWithinPartitions(place, name).drop(name)
 
 
-ORACLE_SQL = r"""
+def _sql_position(epoch: str) -> str:
+    """The inverse of the demand at the middle of a document's copy, in SQL, for schedules of two segments."""
+    goal = f"(({epoch}) * source_size + before + size / 2.0::DOUBLE) / target * ((f[1] + f[2]) / 2 + (f[2] + f[3]) / 2)"
+    rest = f"greatest({goal} - (f[1] + f[2]) / 2, 0)"
+    inside = lambda r, a, b: f"least(CASE WHEN {r} = 0 THEN 0 ELSE 2 * {r} / ({a} + sqrt({a} * {a} + 2 * ({b} - {a}) * {r})) END, 1)"
+    return f"round(CASE WHEN {goal} >= (f[1] + f[2]) / 2 THEN (1 + {inside(rest, 'f[2]', 'f[3]')}) / 2 ELSE {inside(goal, 'f[1]', 'f[2]')} / 2 END, 6)"
+
+
+ORACLE_SQL = (r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS key
   FROM documents),
 per_source AS (
   SELECT source, sum(size)::BIGINT AS source_size,
-         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+         [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
+         [[1.0, 1.0, 1.0], [0.5, 1.0, 1.5], [1.5, 1.0, 0.5]][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE[] AS f
   FROM sized GROUP BY source),
 ranked AS (
   SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5 AS total, sum(weight) OVER () AS weights,
@@ -181,20 +212,23 @@ ranked AS (
 rates AS (SELECT *, (total - capped) / (weights - gone) AS rate FROM ranked),
 final_rate AS (SELECT arg_min(rate, 2.0::DOUBLE * source_size / weight) FILTER (WHERE weight * rate <= 2.0::DOUBLE * source_size) AS rate FROM rates),
 goals AS (
-  SELECT source, source_size, CASE WHEN weight * f.rate > 2.0::DOUBLE * source_size OR f.rate IS NULL THEN 2.0::DOUBLE * source_size ELSE weight * f.rate END AS target
-  FROM per_source, final_rate f),
+  SELECT source, source_size, f, CASE WHEN weight * r.rate > 2.0::DOUBLE * source_size OR r.rate IS NULL THEN 2.0::DOUBLE * source_size ELSE weight * r.rate END AS target
+  FROM per_source, final_rate r),
 streamed AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS before
   FROM sized),
 joined AS (
-  SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs, target - epochs * source_size AS rest
+  SELECT s.*, g.source_size, g.target, g.f, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs, target - epochs * source_size AS rest
   FROM streamed s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 filled AS (SELECT *, rest - coalesce(max(CASE WHEN before + size <= rest THEN before + size END) OVER (PARTITION BY source), 0) AS left_over FROM joined),
 nearest AS (
   SELECT *, before + size > rest AND abs(left_over - size) < left_over AS candidate,
          row_number() OVER (PARTITION BY source, candidate ORDER BY abs(left_over - size), key, doc_id, before) AS place
-  FROM filled)
-SELECT doc_id, size, source_size, target,
-       (size * (epochs + CASE WHEN rest > 0 AND (before + size <= rest OR (candidate AND place = 1)) THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM nearest
-"""
+  FROM filled),
+counted AS (
+  SELECT *, (epochs + CASE WHEN rest > 0 AND (before + size <= rest OR (candidate AND place = 1)) THEN 1 ELSE 0 END)::INT AS copies
+  FROM nearest)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies,
+       CASE WHEN copies > 0 THEN @FIRST@ END::DOUBLE AS first_position, CASE WHEN copies > 0 THEN @LAST@ END::DOUBLE AS last_position
+FROM counted
+""").replace("@FIRST@", _sql_position("0")).replace("@LAST@", _sql_position("copies - 1"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from framelake.llm import html_text, licenses, media, mixing, packing, quality, rules, runtime, simhash, token_output, toxicity
 
@@ -50,7 +51,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.by_position(mixing.plan(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    planned = mixing.by_position(mixing.plan(_table(spark, sf_dir, "documents")))
+    first, last = (F.round(F.get("positions", at), 6) for at in (F.lit(0), F.col("copies") - 1))
+    return planned.select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"), last.alias("last_position"))
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

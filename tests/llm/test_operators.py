@@ -608,12 +608,33 @@ def test_classifier_edges(spark, module, label):
 # ---- mixing -------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.targets([("b", 100), (None, 100), ("a", 100)])
-    assert [g[0] for g in got] == ["a", "b", None]
-    assert [g[2] for g in got] == [200.0, 250 / 3, 500 / 3]
-    assert sum(g[2] for g in got) == pytest.approx(450)
-    assert mixing.targets([]) == [] and mixing.targets([("a", 0)])[0][2] == 0
+def brute_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
+    rows = sorted(sizes, key=lambda r: (r[0] is None, r[0] or ""))
+    weight = [float(weights[k % 3]) for k in range(len(rows))]
+    active, rate = set(range(len(rows))), 0.0
+    while active:
+        rate = (share * sum(s for _, s in rows) - sum(most * rows[k][1] for k in range(len(rows)) if k not in active)) / sum(weight[k] for k in active)
+        over = {k for k in active if weight[k] * rate > most * rows[k][1]}
+        if not over:
+            break
+        active -= over
+    return [(n, s, weight[k] * rate if k in active else most * s) for k, (n, s) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("sizes", [[("b", 100), (None, 100), ("a", 100)], [], [("a", 0)], [("a", 0), ("b", 5)], [(f"h{k:03d}", k * k % 997) for k in range(300)], [("a", 1), ("b", 10), ("c", 100), ("d", 1000), (None, 10000), ("é", 3), ("😀", 7), ("z", 2)]])
+def test_targets(spark, sizes):
+    sized = spark.createDataFrame([(n, part) for n, s in sizes for part in (s // 2, s - s // 2)], "source string, size long").repartition(3)
+    got = mixing.targets(mixing.ranked_sources(sized)).orderBy("rank").collect()
+    assert [(r.source, r.source_size, r.target) for r in got] == brute_targets(sizes)
+    assert [r["rank"] for r in got] == list(range(len(sizes)))
+
+
+def test_positions_follow_the_schedules(spark):
+    """What is in the query's result changes with the schedules."""
+    docs = table(spark, [(k, "w " * 10) for k in range(200)], dict.fromkeys(range(200), "a"))
+    first = lambda s: sorted(r.positions[0] for r in mixing.plan(docs, schedules=s).collect() if r.positions)
+    even, late = first(((1.0, 1.0, 1.0),)), first(((0.5, 1.0, 1.5),))
+    assert np.mean(late) > np.mean(even) + 0.05
 
 
 def test_plan(spark, monkeypatch):
@@ -621,6 +642,7 @@ def test_plan(spark, monkeypatch):
     monkeypatch.setattr(mixing, "FAN_OUT", 4)  # several levels of buckets
     rng = random.Random(1)
     texts = [(k, "w " * rng.randint(0, 30)) for k in range(300)] + [(None, None), (7, "w w"), (7, "w w")]
+    assert mixing.plan(table(spark, EDGE)).count() == len(EDGE)
     sources = {k: rng.choice(["a", "b", "c", None]) for k in range(303)}
     docs = table(spark, texts, sources)
     got = mixing.plan(docs).collect()
@@ -639,8 +661,12 @@ def test_plan(spark, monkeypatch):
     assert mixing.plan(table(spark, [])).count() == 0
 
 
-def test_position_inverts_demand(spark):
-    row = spark.createDataFrame([(float(k), [0.5, 1.0, 1.5]) for k in range(0, 101, 10)], "amount double, factors array<double>")
+@pytest.mark.parametrize("factors", [[0.5, 1.0, 1.5], [1.5, 1.0, 0.5], [1.0, 1.0, 1.0], [2.0, 0.0, 1.0, 0.5], [0.0, 3.0]])
+def test_position_inverts_demand(spark, factors):
+    row = spark.createDataFrame([(float(k), factors) for k in range(0, 101, 5)], "amount double, factors array<double>")
     out = row.withColumn("t", mixing._position(F.col("amount"), F.lit(100.0), F.col("factors"))).collect()
-    for r in out:  # the integral of .5 + t is .5 t + .5 t^2
-        assert 100 * (0.5 * r.t + 0.5 * r.t**2) == pytest.approx(r.amount, abs=1e-6)
+    times = np.linspace(0, 1, 200_001)
+    rate = np.interp(times, np.linspace(0, 1, len(factors)), factors)
+    demand = np.concatenate([[0], np.cumsum((rate[1:] + rate[:-1]) / 2)])
+    for r in out:
+        assert 100 * np.interp(r.t, times, demand / demand[-1]) == pytest.approx(r.amount, abs=1e-3)
