@@ -10,6 +10,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,10 +23,16 @@ BATCH_ROWS = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder as a full URI; only where none is named (tests) a folder of our own is set."""
+    """The cluster's shared folder as a full URI.
+
+    Where none is named a session on this machine alone (tests) gets a folder of
+    its own; on a cluster that would be another one on each node, so it is an error.
+    """
     context = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not told:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         context.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "framelake-checkpoints"))
         told = context.getCheckpointDir()
     # a path without a scheme is one of the cluster's default file system, as Spark takes it
@@ -43,16 +50,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return _made[-1]
 
 
-def sweep(spark: SparkSession) -> int:
-    """Delete what this driver wrote to the shared folder; results that are still to be read from it are lost.
+def made() -> list[str]:
+    """Paths in the shared folder that this driver made and has not deleted, the oldest first."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, keep: Iterable[str] = ()) -> int:
+    """Delete what this driver wrote to the shared folder but for the paths in ``keep``.
 
-    For a job that has written its results elsewhere.  Returns how many paths
-    were deleted.
+    For a job that has written its results elsewhere, or a step whose result is a
+    table that is kept: anything else that is still to be read is lost.  Returns
+    how many paths were deleted.
     """
-    context, gone = spark.sparkContext, 0
-    while _made:
-        path = context._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    context, gone, kept = spark.sparkContext, 0, [p for p in _made if p in set(keep)]
+    for made in [p for p in _made if p not in kept]:
+        path = context._jvm.org.apache.hadoop.fs.Path(made)
         gone += path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _made[:] = kept
     return gone
 
 

@@ -31,6 +31,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
 #: Fingerprints of a bucket that one task compares; larger ones go to pairs of blocks.
 BUCKET_ROWS = 100_000
+#: Key rows are counted in so many cells first, keys one by one only in cells that may hold a large bucket.
+CELLS = 1 << 16
 #: Buckets up to this size are compared all at once by shifts.
 SMALL_BUCKET = 32
 BATCH_BYTES = 8 << 20
@@ -178,8 +180,8 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(roots or [none]), np.concatenate(members or [none])
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bucket_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, keys that are too large) of rows sorted by key."""
+def bucket_links(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of rows sorted by key."""
     begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(begins, len(keys)))
     small = np.repeat((sizes > 1) & (sizes <= SMALL_BUCKET), sizes)
@@ -193,81 +195,95 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bucket_rows: int) -> tuple[n
         right.append(np.maximum(f[d:], f[:-d])[hit])
         if not (k[d:] == k[:-d]).any():
             break
-    over = sizes > bucket_rows
-    for at, size in zip(begins[(sizes > SMALL_BUCKET) & ~over], sizes[(sizes > SMALL_BUCKET) & ~over], strict=True):
+    for at, size in zip(begins[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET], strict=True):
         a, b = forest(fps[at : at + size])
         left.append(a)
         right.append(b)
     none = np.zeros(0, np.uint64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none]), keys[begins[over]]
+    return np.concatenate(left or [none]), np.concatenate(right or [none])
 
 
-LINKS = "a long, b long, too_large long"
+LINKS = "a long, b long"
 
 
-def _links_batch(a: np.ndarray, b: np.ndarray, over: np.ndarray) -> pa.RecordBatch:
+def _links_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     pairs = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
-    n, m = len(pairs), len(over)
     signed = pairs.astype(np.uint64).view(np.int64)
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.concatenate([signed[:, 0], np.zeros(m, np.int64)])),
-        pa.array(np.concatenate([signed[:, 1], np.zeros(m, np.int64)])),
-        pa.array(np.concatenate([np.zeros(n, np.int64), over.astype(np.int64)]), mask=np.concatenate([np.ones(n, bool), np.zeros(m, bool)])),
-    ], names=["a", "b", "too_large"])
+    return pa.RecordBatch.from_arrays([pa.array(signed[:, 0].copy()), pa.array(signed[:, 1].copy())], names=["a", "b"])
+
+
+def _expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (key, fp) for each key of each fingerprint."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.column(0).slice(i, 1024).to_numpy().view(np.uint64)
+            row, key = bucket_keys(part)
+            # a fingerprint's rows side by side compress well in the shuffle
+            order = np.argsort(row, kind="stable")
+            row, key = row[order], key[order]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "fp"])
+
+
+def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of rows sorted by key; holds a bucket, which is bounded, and a little more."""
+    held_k, held_f, held = [], [], 0
+    for batch in batches:
+        k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        if not len(k):
+            continue
+        held_k.append(k)
+        held_f.append(f)
+        held += len(k)
+        if held < 1 << 18 or held_k[0][0] == k[-1]:
+            continue
+        k, f = np.concatenate(held_k), np.concatenate(held_f)
+        cut = np.searchsorted(k, k[-1])  # the last bucket may go on
+        yield _links_batch(*bucket_links(k[:cut], f[:cut]))
+        held_k, held_f, held = [k[cut:]], [f[cut:]], len(k) - cut
+    if held_k:
+        yield _links_batch(*bucket_links(np.concatenate(held_k), np.concatenate(held_f)))
+
+
+def large_buckets(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(key, n) of the buckets of over ``bucket_rows`` fingerprints, as a written table.
+
+    Cells of keys are counted with map-side sums; only in cells that hold more
+    than ``bucket_rows`` are keys counted, which at any size loses none.
+    """
+    cell = F.pmod(F.xxhash64("key"), F.lit(CELLS)).alias("cell")
+    # at most CELLS rows
+    full = runtime.stage(keyed.groupBy(cell).count().filter(F.col("count") > bucket_rows).select("cell"), "cells")
+    if full.isEmpty():
+        return keyed.sparkSession.createDataFrame([], "key long, n long")
+    rows = keyed.withColumn("cell", cell).join(F.broadcast(full), "cell", "left_semi")
+    return runtime.stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows), "large-buckets")
 
 
 def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column ``fp``) whose components are those of all links."""
+    """Edges (a, b) between distinct fingerprints (column ``fp``) whose components are those of all links.
 
-    def expand(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.column(0).slice(i, 1024).to_numpy().view(np.uint64)
-                row, key = bucket_keys(part)
-                # a fingerprint's rows side by side compress well in the shuffle
-                order = np.argsort(row, kind="stable")
-                row, key = row[order], key[order]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row].view(np.int64))], names=["key", "fp"])
-
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = [], []
-        for batch in batches:
-            k, f = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if not len(k):
-                continue
-            held_k.append(k)
-            held_f.append(f)
-            if sum(map(len, held_k)) < 1 << 18 or held_k[0][0] == k[-1]:
-                continue
-            k, f = np.concatenate(held_k), np.concatenate(held_f)
-            cut = np.searchsorted(k, k[-1])  # the last bucket may go on
-            yield _links_batch(*bucket_links(k[:cut], f[:cut], bucket_rows))
-            held_k, held_f = [k[cut:]], [f[cut:]]
-        if held_k:
-            yield _links_batch(*bucket_links(np.concatenate(held_k), np.concatenate(held_f), bucket_rows))
-
-    keyed = fps.select("fp").mapInArrow(runtime.frugal(expand), "key long, fp long")
-    spark = fps.sparkSession
-    with runtime.large_batches(spark):
-        found = runtime.stage(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(runtime.frugal(compare), LINKS), "links")
-    edges = found.filter(F.col("too_large").isNull()).select("a", "b")
-    if found.filter(F.col("too_large").isNotNull()).isEmpty():
+    Buckets are counted before their rows move: those of over ``bucket_rows``
+    never meet in a task, but as pairs of blocks of half that size.
+    """
+    keyed = fps.select("fp").mapInArrow(runtime.frugal(_expand), "key long, fp long")
+    with runtime.large_batches(fps.sparkSession):
+        large = large_buckets(keyed, bucket_rows)
+        none_large = large.isEmpty()
+        small = keyed if none_large else keyed.join(large, "key", "left_anti")
+        edges = runtime.stage(small.repartition("key").sortWithinPartitions("key").mapInArrow(runtime.frugal(_compare), LINKS), "links")
+    if none_large:
         return edges
     # the exact way for large buckets: every pair of blocks of a bucket is a group of its own
-    block_rows = max(1, bucket_rows // 2)
-    large = found.filter(F.col("too_large").isNotNull()).select(F.col("too_large").alias("key"))
-    rows = keyed.join(large, "key", "left_semi")
-    counts = rows.groupBy("key").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
-    blocks = rows.join(counts, "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), n_blocks) as int)"))
+    n_blocks = F.ceil(F.col("n") / max(1, bucket_rows // 2)).cast("int").alias("n_blocks")
+    blocks = keyed.join(large.select("key", n_blocks), "key").withColumn("block", F.expr("cast(pmod(xxhash64(fp), n_blocks) as int)"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     paired = blocks.withColumn("other", other).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
 
     def block_pair(table: pa.Table) -> pa.Table:
-        a, b = forest(np.unique(table.column("fp").to_numpy().view(np.uint64)))
-        return pa.Table.from_batches([_links_batch(a, b, np.zeros(0, np.int64))])
+        return pa.Table.from_batches([_links_batch(*forest(np.unique(table.column("fp").to_numpy().view(np.uint64))))])
 
     more = paired.select("key", "i", "j", "fp").groupBy("key", "i", "j").applyInArrow(block_pair, LINKS)
-    return edges.unionByName(runtime.stage(more.select("a", "b"), "large-links"))
+    return edges.unionByName(runtime.stage(more, "large-links"))
 
 
 # ---- components ---------------------------------------------------------------
@@ -336,11 +352,21 @@ def near_duplicates(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFram
 
 
 def keep_one(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The rows of ``docs``, one of each component: the one with the smallest doc_id (nulls last)."""
-    columns, fp = docs.columns, runtime.fresh(docs, "fp")
-    printed = runtime.stage(with_fingerprints(docs, fp), "printed-docs")
-    ids = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"))
-    keepers = component_ids(ids, bucket_rows).select(F.col("keeper_fp").alias("of_fp"), F.col("component_id").alias("of_id")).distinct()
-    same = (F.col(f"d.{fp}") == F.col("k.of_fp")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.of_id"))
-    kept = printed.alias("d").join(keepers.alias("k"), same, "left_semi")
-    return kept.dropDuplicates([fp, "doc_id"]).select(*columns)
+    """The rows of ``docs``, one of each component: the one with the smallest doc_id (nulls last).
+
+    Of rows with that id the one with the least hash of its text stays.  A null
+    or empty text has fingerprint zero; an empty table gives an empty one.  What
+    is kept is decided on numbers: texts move only where the rows that go are too
+    many to be broadcast, which Spark knows, and then once.
+    """
+    row, fp = runtime.fresh(docs, "row"), runtime.fresh(docs, "fp")
+    printed = runtime.stage(with_fingerprints(docs, fp).withColumn(row, F.monotonically_increasing_id()), "printed-docs")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    ids = runtime.stage(printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.xxhash64(text).alias("text"), F.col(row).alias("row")), "printed-ids")
+    components_of = component_ids(ids, bucket_rows)
+    # the first row of each fingerprint, then of each component: map-side minima, however many rows are equal
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "row")
+    first = ids.groupBy("fp").agg(F.min(order).alias("first")).join(components_of, "fp")
+    kept = first.groupBy("keeper_fp").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    goes = runtime.stage(ids.select("row").join(kept, "row", "left_anti").withColumnRenamed("row", row), "rows-that-go")
+    return printed.join(goes, row, "left_anti").select(*docs.columns)

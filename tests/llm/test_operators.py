@@ -177,6 +177,26 @@ def test_components_equal_brute_force(spark, bucket_rows):
     assert [found[s] for s in signed] == [least[r] for r in roots]
 
 
+def test_hot_bucket_is_never_one_worker(spark):
+    """One bucket of ten times what a task compares: all fingerprints agree in two segments."""
+    rng = np.random.default_rng(8)
+    high = np.unique(rng.integers(0, 1 << 21, 9000, dtype=np.uint64))[:8000] << np.uint64(43)
+    fps = spark.createDataFrame([(int(v),) for v in high.view(np.int64)], "fp long")
+    keyed = fps.mapInArrow(simhash._expand, "key long, fp long")
+    sizes = {r["key"]: r["count"] for r in keyed.groupBy("key").count().collect()}
+    large = {r.key: r.n for r in simhash.large_buckets(keyed, 800).collect()}
+    assert large == {k: n for k, n in sizes.items() if n > 800} and max(large.values()) == len(high)
+    found = {r.node & (1 << 64) - 1: r.root for r in simhash.components(simhash.links(fps, 800)).collect()}
+    roots, members = simhash.forest(high)  # of all at once
+    want = {}
+    for a, b in zip(roots.tolist(), members.tolist(), strict=True):
+        want.setdefault(a, {a}).add(b)
+    groups = {}
+    for node, root in found.items():
+        groups.setdefault(root, set()).add(node)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values())
+
+
 def test_long_chain_of_edges(spark):
     n = 400
     edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
@@ -198,6 +218,10 @@ def test_near_duplicates_edges(spark):
     kept = simhash.keep_one(table(spark, EDGE))
     assert kept.columns == table(spark, EDGE).columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, None, 3, 4], key=repr)
+    # rows of one id and fingerprint: the choice is by their text, wherever they lie
+    ties = [(7, "a b"), (7, "a  b"), (7, "A b"), (None, "a b"), (None, "A b")] * 3
+    chosen = [simhash.keep_one(table(spark, t).repartition(n)).collect() for t, n in ((ties, 1), (ties[::-1], 3))]
+    assert chosen[0] == chosen[1] and len(chosen[0]) == 1 and chosen[0][0].doc_id == 7
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 

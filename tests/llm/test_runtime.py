@@ -1,6 +1,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 
 from framelake.llm import runtime
 
@@ -11,7 +12,9 @@ def test_stage_and_sweep(spark):
     out = runtime.stage(spark.range(5), "x")
     path = runtime._made[0]
     assert path.startswith("file:") and out.count() == 5
-    assert runtime.sweep(spark) == 1 and not os.path.exists(runtime.filesystem(path)[1])
+    other = runtime.stage(spark.range(3), "y")
+    assert runtime.sweep(spark, [runtime._made[1]]) == 1 and not os.path.exists(runtime.filesystem(path)[1])
+    assert other.count() == 3 and runtime.sweep(spark) == 1 and not runtime._made
     runtime._made.extend(kept)
 
 
@@ -32,3 +35,19 @@ def test_large_batches_restores(spark):
     with runtime.large_batches(spark, 7):
         assert spark.conf.get(key) == "7"
     assert spark.conf.get(key) == str(runtime.BATCH_ROWS)
+
+
+def test_no_shared_folder(spark, monkeypatch):
+    """On a cluster a folder must be named; this machine's own will not do."""
+
+    class Conf:
+        get = staticmethod(lambda key, default: None)
+
+    class Context:
+        master, getCheckpointDir = "spark://somewhere:7077", staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(Session)
