@@ -20,27 +20,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go; null and empty texts are scored like others, rows stay as they are."""
     return quality.keep_good(docs, _labels(spark, sf_dir), threshold=0.3)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon finds toxic go."""
+    """Documents that the lexicon finds toxic go; null and empty texts match nothing and stay."""
     return toxicity.keep_clean(docs, _labels(spark, sf_dir), threshold=0.7)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: the least id, null last; of its rows the text with the least hash."""
     return simhash.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document, in training order."""
+    """A row for each time the mix takes a document, in training order; rows equal in id and text are made from one."""
     return mixing.mix(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), CAPACITY, END_ID)
 
 
@@ -57,10 +57,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table ``documents`` of ``sf_dir``."""
+    """All stages, from the table ``documents`` of ``sf_dir``.
+
+    Once a stage's rows are written, what it and the stage before left in the
+    shared folder is deleted; other queries' tables stay.
+    """
+    before = runtime.made()
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
         if k < len(STAGES) - 1:
             out = runtime.stage(out, f"pipeline-{name}")
+            runtime.sweep(spark, [*before, runtime.made()[-1]])
     return out
