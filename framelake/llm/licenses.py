@@ -1,11 +1,14 @@
 """Licence scans by a positional index of rare words.
 
-Templates are word sequences of which a share must stand at their places.  The
-index has, for each template, so many of its words of highest IDF in the corpus
-that a placement which matches well enough holds one of them at least.  A file
-looks up its occurrences of indexed words; an occurrence at i of a word that a
-template has at p proposes the placement i - p.  Proposals are verified: enough
-of the template's words in their places, and all words of its key phrases.
+Templates are word sequences of which a share must stand at their places, the
+words of their key phrases all.  Of the templates whose key words a file has all
+of, the file looks up those template words that it has and that have the highest
+IDF in the corpus: so many that a placement which matches well enough holds some
+of them for certain, at most three.  An occurrence at i of a word that a template
+has at p proposes the placement i - p; the proposals are intersected, that is
+only placements which so many looked-up words agree on go on.  These are
+verified: enough of the template's words in their places, and all words of its
+key phrases.
 
 DataFrame expressions only.  A file is judged in its own row, without a shuffle.
 """
@@ -44,6 +47,8 @@ class Template:
 
     @property
     def key_places(self) -> list[int]:
+        if self.need == 1.0:
+            return list(range(len(self.words)))
         out: set[int] = set()
         for phrase in self.key:
             part = phrase.split()
@@ -52,21 +57,29 @@ class Template:
         return sorted(out)
 
 
+# Wordings of licences and of notices that name them, as words.
 TEMPLATES = (
     Template("cc-by", "cc by", need=1.0, base=True),
     Template("gpl", "general public license", need=1.0, base=True),
     Template("reserved", "all rights reserved", need=1.0, base=True),
     Template("apache-2.0", "licensed under the apache license version 2 0", key=("apache license", "2 0")),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", key=("agreed to in writing", "governing permissions and limitations")),
     Template("mit", "released under the mit license", key=("mit license",)),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", key=("permission is hereby granted",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", key=("source and binary forms",)),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", key=("permission is hereby granted", "to deal in the software without restriction")),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", key=("for any purpose with or without fee", "is hereby granted")),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", key=("redistribution and use in source and binary forms",)),
     Template("gpl-3.0", "licensed under the gnu general public license version 3", key=("general public license", "version 3")),
     Template("gpl-2.0", "licensed under the gnu general public license version 2", key=("general public license", "version 2")),
+    Template("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version", key=("redistribute it and or modify it under the terms", "gnu general public license")),
     Template("lgpl", "gnu lesser general public license", key=("lesser general public license",)),
     Template("cc-by-nc", "licensed under cc by nc 4 0", key=("cc by nc",)),
     Template("cc-by-sa", "licensed under cc by sa 4 0", key=("cc by sa",)),
     Template("mpl-2.0", "mozilla public license version 2 0", key=("mozilla public license",)),
+    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", key=("source code form", "mozilla public license")),
+    Template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", key=("free and unencumbered software", "public domain")),
 )
+#: Looked-up words that must agree on a placement, where a template has as many.
+AGREE = 3
 
 
 def lowered(text: Column) -> Column:
@@ -86,12 +99,23 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMP
     return {r["word"]: r["count"] for r in rows.groupBy("word").count().collect()}
 
 
-def index(templates: tuple[Template, ...], frequency: dict[str, int]) -> list[tuple[str, int, int]]:
-    """Postings (word, template, place): each template's rarest words, as many as may be missing and one more."""
+@dataclass(frozen=True)
+class Posting:
+    """A template's index entry: places by falling IDF, and the key word that is rarest in the corpus."""
+
+    places: tuple[int, ...]
+    anchor: str
+    agree: int
+
+
+def index(templates: tuple[Template, ...], frequency: dict[str, int]) -> list[Posting]:
     out = []
-    for k, t in enumerate(templates):
+    for t in templates:
         places = sorted(range(len(t.words)), key=lambda p: (frequency.get(t.words[p], 0), p))
-        out += [(t.words[p], k, p) for p in places[: len(t.words) - t.least + 1]]
+        keys = set(t.key_places)
+        if not keys:
+            raise ValueError(f"a template of {t.label} has no key phrase")
+        out.append(Posting(tuple(places), t.words[next(p for p in places if p in keys)], min(AGREE, t.least)))
     return out
 
 
@@ -105,27 +129,43 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, frequency
     """
     frequency = document_frequencies(docs, templates) if frequency is None else frequency
     postings = index(templates, frequency)
-    anchors = sorted({w for w, _, _ in postings})
-    entry = lambda t, p: F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"))
-    looked_up = F.create_map(*(x for w in anchors for x in (F.lit(w), F.array(*(entry(t, p) for a, t, p in postings if a == w)))))
+    vocabulary = F.array(*(F.lit(w) for w in sorted({w for t in templates for w in t.words})))
+    literals = lambda values: F.array(*(F.lit(v) for v in values))
     table = F.array(*(
         F.struct(
-            F.array(*(F.lit(w) for w in t.words)).alias("words"), F.array(*(F.lit(p) for p in t.key_places)).cast("array<int>").alias("key"),
+            F.lit(k).alias("t"), literals(t.words).alias("words"), literals(t.key_places).alias("key"), literals(sorted({t.words[p] for p in t.key_places})).alias("key_words"),
+            F.array(*(F.struct(F.lit(t.words[p]).alias("w"), F.lit(p).alias("p")) for p in x.places)).alias("by_idf"), F.lit(x.agree).alias("agree"),
             F.lit(t.least).alias("least"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"),
-        ) for t in templates
+        ) for k, (t, x) in enumerate(zip(templates, postings, strict=True))
     ))
-    text = F.col("l_text")
     letter = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    has = text.rlike(f"(?i)(?<!{letter})(?:{'|'.join(anchors)})(?!{letter})")
+    anchors = "|".join(sorted({x.anchor for x in postings}))
+    has = F.col("l_text").rlike(f"(?i)(?<!{letter})(?:{anchors})(?!{letter})")
     rows = docs.select(F.col("doc_id").alias("l_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("l_text"))
-    rows = rows.withColumn("l_words", F.when(has, words_of(text)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("l_words", F.when(has, words_of(F.col("l_text"))).otherwise(F.array().cast("array<string>"))).withColumn("l_table", table)
     words = F.col("l_words")
-    occurrences = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*anchors), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    rows = rows.withColumn("l_found", occurrences)
-    proposed = F.flatten(F.transform("l_found", lambda x: F.transform(F.element_at(F.col("l_index"), x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("s")))))
-    rows = rows.withColumn("l_index", looked_up).withColumn("l_table", table)
-    rows = rows.withColumn("l_places", F.when(F.size("l_found") > 0, F.array_distinct(proposed)).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    rows = rows.withColumn("l_present", F.array_intersect(words, vocabulary))
+    present = F.col("l_present")
+    # templates whose key words the file has, with the postings of their rarest words that it has
+    able = F.filter("l_table", lambda t: F.forall(t["key_words"], lambda w: F.array_contains(present, w)))
+    have = F.transform(able, lambda t: F.struct(t["t"], t["agree"], t["least"], F.filter(t["by_idf"], lambda x: F.array_contains(present, x["w"])).alias("has")))
+    enough = F.filter(have, lambda t: F.size(t["has"]) >= t["least"])
+    chosen = F.flatten(F.transform(enough, lambda t: F.transform(
+        F.slice(t["has"], F.lit(1), F.size(t["has"]) - t["least"] + t["agree"]), lambda x: F.struct(x["w"].alias("w"), t["t"].alias("t"), x["p"].alias("p")))))
+    rows = rows.withColumn("l_chosen", F.when(F.size(present) > 0, chosen).otherwise(F.array().cast("array<struct<w:string,t:int,p:int>>")))
+    rows = rows.withColumn("l_looked_up", F.array_distinct(F.transform("l_chosen", lambda c: c["w"])))
+    found = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("l_looked_up", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    rows = rows.withColumn("l_found", F.when(F.size("l_looked_up") > 0, found).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    proposed = F.flatten(F.transform("l_found", lambda x: F.transform(
+        F.filter("l_chosen", lambda c: c["w"] == x["w"]), lambda c: F.struct(c["t"].alias("t"), (x["i"] - c["p"]).alias("s")))))
+    rows = rows.withColumn("l_proposed", F.sort_array(proposed))
+    # the intersection: equal proposals are neighbours, and there must be enough of them
     template = lambda c: F.get(F.col("l_table"), c["t"])
+    all_ = F.col("l_proposed")
+    agreed = F.filter(
+        F.transform(all_, lambda c, i: F.when(c.eqNullSafe(F.get(all_, i + template(c)["agree"] - 1)) & ~c.eqNullSafe(F.get(all_, i - 1)), c)), lambda c: c.isNotNull()
+    )
+    rows = rows.withColumn("l_places", agreed)
     # a place before the text's first word is no index
     word_at = lambda i: F.when(i >= 0, F.get(words, i))
     hits = lambda c: F.size(F.filter(F.transform(template(c)["words"], lambda w, k: word_at(c["s"] + k).eqNullSafe(w)), lambda same: same))

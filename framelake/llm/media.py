@@ -26,6 +26,8 @@ WIDTH, LEVEL = 64, 6
 SHARD_BYTES = 64 << 20
 PNG = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
+#: Digests a task remembers; beyond it forgets them, and may store one again, which the places sort out.
+MOST_SEEN = 1 << 18
 
 PLACES = "digest binary, shard string, offset long, length long"
 FEATURES = "digest binary, shard string, offset long, width int, height int, bit_depth int, payload_bytes long, tail_crc32 long, media_bytes long, media_sha256 binary, feature string"
@@ -111,7 +113,7 @@ class ShardWriter:
 def store(docs: DataFrame, out_dir: str) -> DataFrame:
     """Write payloads where the rows lie; returns a row for each document: doc_id, n_bytes, digest, shard, offset, length.
 
-    A task stores each digest once.  A digest that several tasks met has one
+    A task stores each digest once, of the last ``MOST_SEEN``.  A digest that is stored several times has one
     place that counts, the least (see ``places``); the other copies, at most one
     a task, are never pointed to.  A lost task's shards are in no manifest.  A
     null text is an empty one.
@@ -141,6 +143,8 @@ def store(docs: DataFrame, out_dir: str) -> DataFrame:
                         sink = fs.open_output_stream(f"{base}/{name}")
                         writer = ShardWriter(sink)
                     stored = to_png(payload)
+                    if len(seen) >= MOST_SEEN:
+                        seen.clear()
                     seen[digest.digest()] = shard, writer.add(f"{digest.hexdigest()}.png", stored), len(stored)
                 for column, value in zip(rows, (doc, len(raw), digest.digest(), *seen[digest.digest()]), strict=True):
                     column.append(value)

@@ -38,6 +38,8 @@ BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 23
 BATCH_BYTES = 4 << 20
 #: Files that one row of the upper level of the running sum stands for.
 FILES_PER_BUCKET = 1024
+#: Rows that a reader gives out at a time: a file of documents without words has millions.
+READ_ROWS = 1 << 16
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -249,7 +251,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     for doc, start, ids in PlaneReader(source, row["n_bytes"]).documents():
                         for column, value in zip(out, (doc, row["file_start"] + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                             column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        if len(out[0]) == READ_ROWS:
+                            yield rows_of(out)
+                            out = ([], [], [], [])
+                    yield rows_of(out)
+
+    def rows_of(columns: tuple[list, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     spread = max(1, min(manifest.count(), 100_000))
     files = with_starts(manifest).select("path", "n_bytes", "file_start").repartition(spread, "path")

@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 #: Units (words of letters, punctuation) that a worker remembers, about 40 bytes each; beyond it the pool starts anew.
 POOL_WORDS = 600_000
+#: Bytes of remembered units and of their ids, at most.
+POOL_BYTES = 64 << 20
 #: Punctuation after a word of letters is a token run of its own; the apostrophe isn't here, it can begin a contraction.
 TAIL = ".,;:!?"
 
@@ -136,7 +138,7 @@ class WordEncoder:
         none = code("")
         first = pc.if_else(lettered, core, pc.binary_join_element_wise(code("\x01"), words, none))
         second = pc.if_else(pc.and_(lettered, pc.not_equal(tail, "")), pc.binary_join_element_wise(code("\x00"), tail, none), none)
-        if len(self.units) > self.pool_words:
+        if len(self.units) > self.pool_words or self.units.nbytes + 4 * self.used > POOL_BYTES:
             self._reset()
         both = pc.dictionary_encode(pa.concat_arrays([first, second]))
         units = both.dictionary
