@@ -659,11 +659,11 @@ def edge_pipeline(spark, sf_dir):
     return track.edge_frames(track.blobs(lenses.disc(spark), 80, 60), scale=2)
 
 
-@query()
+@query(scenes.SQL)
 def scenarios(spark, sf_dir):
     """Area and mean value of each frame of the synthetic scenarios."""
     out = None
-    for s in scenes.SCENARIOS:
+    for s in scenes.PIXEL_SCENARIOS:
         px = scenes.render(spark, s)
         one = px.groupBy("clip", "idx").agg(F.sum("m").alias("area"), F.round(F.avg("v"), 6).alias("mean"))
         out = one if out is None else out.unionByName(one)

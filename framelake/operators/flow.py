@@ -7,6 +7,8 @@ import numpy as np
 from framelake.operators import kernels
 
 MOST_POINTS, LEAST_POINTS, NEAR = 4000, 200, 2.0
+#: Pixels around the region in which vectors are replaced.
+MARGIN = 15
 
 
 def modular_sample(n: int, most: int) -> np.ndarray:
@@ -43,7 +45,7 @@ def robust_flow(dx: np.ndarray, dy: np.ndarray, region: np.ndarray, prior: np.nd
     yy, xx = np.mgrid[: region.shape[0], : region.shape[1]]
     mx = model[0, 0] * xx + model[0, 1] * yy + model[0, 2] - xx
     my = model[1, 0] * xx + model[1, 1] * yy + model[1, 2] - yy
-    zone = kernels.dilate((region > 0.5).astype(np.int8), 15) > 0
+    zone = kernels.dilate((region > 0.5).astype(np.int8), 2 * MARGIN + 1) > 0
     far = zone & (np.hypot(dx - mx, dy - my) > 3 + 0.25 * np.hypot(mx, my))
     return np.where(far, mx, dx), np.where(far, my, dy), model
 

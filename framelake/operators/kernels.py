@@ -222,21 +222,23 @@ def label(mask: np.ndarray) -> np.ndarray:
 
 
 def remove_islands(alpha: np.ndarray, support: np.ndarray | None, fraction: float) -> np.ndarray:
-    """Small components go unless most of them lies on ``support``; with a halo of a pixel that no kept one has."""
-    mask = alpha > 0.5
-    labels = label(mask)
-    areas = np.bincount(labels.reshape(-1))[1:]
-    if len(areas) <= 1:
+    """Without components of less than ``fraction`` of the largest's area, unless most of one lies on ``support``.
+
+    A component that goes takes the pixels next to it along, but for those next to one that stays.
+    """
+    labels = label(alpha > 0.5)
+    flat = labels.reshape(-1)
+    sizes = np.bincount(flat)  # of the background first
+    if len(sizes) < 3:
         return alpha
-    keep = areas >= fraction * areas.max()
-    if support is not None:
-        keep |= np.bincount(labels.reshape(-1), weights=(support > 0.5).reshape(-1).astype(float))[1:] / areas > 0.5
-    kept = np.append(False, keep)[labels]
-    gone = mask & ~kept
-    if not gone.any():
+    share = np.zeros(len(sizes)) if support is None else np.bincount(flat, weights=(support > 0.5).reshape(-1), minlength=len(sizes)) / np.maximum(sizes, 1)
+    # 1: the component goes, 2: it stays; the background is neither
+    fate = np.where((sizes < fraction * sizes[1:].max()) & (share <= 0.5), 1, 2).astype(np.int8)
+    fate[0] = 0
+    if not (fate == 1).any():
         return alpha
-    near = lambda m: dilate(m.astype(np.int8), 3) > 0
-    return np.where(near(gone) & ~near(kept), 0.0, alpha)
+    # the strongest fate next to a pixel decides
+    return np.where(dilate(fate[labels], 3) == 1, 0.0, alpha)
 
 
 def distance(mask: np.ndarray) -> np.ndarray:
@@ -257,17 +259,20 @@ def distance(mask: np.ndarray) -> np.ndarray:
 
 def interior_points(mask: np.ndarray, n: int) -> list[tuple[float, float, int]]:
     """Up to n points deep in the mask; each blots out a disc of 1.6 times its depth, none is less than 1.5 deep."""
-    if not (mask > 0.5).any():
+    inside = mask > 0.5
+    if not inside.any():
         return []
-    depth = distance(mask > 0.5)
-    yy, xx = np.mgrid[: mask.shape[0], : mask.shape[1]]
+    # beyond the mask's box, and a pixel around it, nothing is nearer
+    (top, bottom), (left, right) = ((max(0, at.min() - 1), at.max() + 2) for at in np.nonzero(inside))
+    depth = distance(inside[top:bottom, left:right])
+    yy, xx = np.mgrid[: depth.shape[0], : depth.shape[1]]
     out = []
     for _ in range(n):
         y, x = np.unravel_index(np.argmax(depth), depth.shape)
         deepest = depth[y, x]
         if deepest < 1.5:
             break
-        out.append((float(x), float(y), 1))
+        out.append((float(x + left), float(y + top), 1))
         depth[(yy - y) ** 2 + (xx - x) ** 2 <= max(3, int(1.6 * deepest)) ** 2] = 0
     return out
 
@@ -349,28 +354,39 @@ def cutout(matte: np.ndarray, image: np.ndarray, p: EdgeParams = EdgeParams()) -
     return out
 
 
+def edge_colours(image: np.ndarray, alpha: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated colours of the subject and of the background everywhere: a wide fusion, at a quarter of the size where the frame is large, then a fine one."""
+    height, width = alpha.shape
+    wide, fine = max(6, int(0.04 * max(alpha.shape))), max(2, int(0.004 * max(alpha.shape)))
+    if min(height, width) < 256:
+        subject, ground = foreground(image, alpha, image, image, wide)
+    else:
+        each = lambda f, planes: np.stack([f(c) for c in np.moveaxis(planes, -1, 0)], axis=-1)
+        quarter = each(lambda c: downsample(c, 4), image)
+        subject, ground = (each(lambda c: upsample(c, 4, height, width), e) for e in foreground(quarter, downsample(alpha, 4), quarter, quarter, max(2, wide // 4)))
+    sharp, _ = foreground(image, alpha, np.maximum(subject, 0), ground, fine)
+    return np.maximum(sharp, 0), ground
+
+
+def key_channel(ground: np.ndarray, alpha: np.ndarray) -> int | None:
+    """The channel that tints the edge: the background's strongest there, if it is clearly above the others' mean."""
+    edge = (alpha > 0.02) & (alpha < 0.98)
+    if not edge.any():
+        return None
+    tint = np.average(ground[edge], axis=0, weights=(alpha * (1 - alpha))[edge])
+    strongest = int(tint.argmax())
+    return strongest if tint[strongest] - (tint.sum() - tint[strongest]) / 2 > 0.06 else None
+
+
 def decontaminate(image: np.ndarray, alpha: np.ndarray, p: EdgeParams) -> np.ndarray:
     """Colours without what the background adds at the edge, and without its tint."""
-    long_edge = max(alpha.shape)
-    far, near = max(6, int(0.04 * long_edge)), max(2, int(0.004 * long_edge))
-    if min(alpha.shape) >= 256:
-        small = np.stack([downsample(image[..., c], 4) for c in range(3)], axis=-1)
-        f, b = foreground(small, downsample(alpha, 4), small, small, max(2, far // 4))
-        f, b = (np.stack([upsample(e[..., c], 4, *alpha.shape) for c in range(3)], axis=-1) for e in (f, b))
-    else:
-        f, b = foreground(image, alpha, image, image, far)
-    fine, _ = foreground(image, alpha, np.maximum(f, 0), b, near)
-    out = image + p.decontaminate * (np.maximum(fine, 0) - image)
-    band = (alpha > 0.02) & (alpha < 0.98)
-    if p.spill > 0 and band.any():
-        weight = (alpha * (1 - alpha))[band]
-        tint = (b[band] * weight[:, None]).sum(axis=0) / weight.sum()
-        key = int(np.argmax(tint))
-        others = [c for c in range(3) if c != key]
-        if tint[key] - tint[others].mean() > 0.06:
-            limit = out[..., others].mean(axis=-1)
-            over = (alpha > 0) & (out[..., key] > limit)
-            out[..., key] = np.where(over, out[..., key] - p.spill * (out[..., key] - limit), out[..., key])
+    subject, ground = edge_colours(image, alpha)
+    out = image + p.decontaminate * (subject - image)
+    channel = key_channel(ground, alpha) if p.spill > 0 else None
+    if channel is not None:
+        rest = (out.sum(axis=-1) - out[..., channel]) / 2
+        excess = np.where(alpha > 0, np.maximum(out[..., channel] - rest, 0), 0)
+        out[..., channel] -= p.spill * excess
     return out
 
 
@@ -388,17 +404,29 @@ class StabilizerParams:
     least_area: int = 50
 
 
+def held_area(new: np.ndarray, before: np.ndarray, p: StabilizerParams) -> np.ndarray:
+    """``new`` drawn towards ``before`` as far as its area jumps out of the allowed band; small subjects may jump."""
+    then, now = (float((a > 0.5).sum()) for a in (before, new))
+    if then <= p.least_area:
+        return new
+    ratio = now / max(then, 1.0)
+    excess = max(ratio / p.grow, p.shrink / max(ratio, 1e-3))  # over 1 outside of the band, on either side
+    if excess <= 1:
+        return new
+    share = float(np.clip(1 - 1 / excess, 0.3, 0.9))
+    return share * before + (1 - share) * new
+
+
 def stabilize(new: np.ndarray, before: np.ndarray | None, flow: np.ndarray | None, confidence: float, p: StabilizerParams = StabilizerParams()) -> np.ndarray:
-    """The new alpha held by the motion-compensated one before: jumps of area pulled back, still parts averaged."""
+    """The new alpha held by the motion-compensated one before: jumps of area drawn back, still parts averaged.
+
+    The weight of the past falls with how far a pixel moved (without any motion
+    given it is half), and with a confidence below ``relax``, to a fifth at least.
+    """
     if before is None:
         return remove_islands(new, None, p.island)
-    old = float((before > 0.5).sum())
-    if old > p.least_area:
-        ratio = float((new > 0.5).sum()) / max(old, 1.0)
-        over = ratio / p.grow if ratio > p.grow else p.shrink / max(ratio, 1e-3) if ratio < p.shrink else None
-        if over is not None:
-            pull = min(0.9, max(0.3, 1 - 1 / over))
-            new = pull * before + (1 - pull) * new
-    weight = p.strength * (max(confidence / p.relax, 0.2) if confidence < p.relax else 1.0)
-    weight = weight * np.exp(-((flow / p.motion) ** 2)) if flow is not None else weight * 0.5
-    return remove_islands(clamp01(weight * before + (1 - weight) * new), before, p.island)
+    stillness = 0.5 if flow is None else np.exp(-((flow / p.motion) ** 2))
+    trust = 1.0 if confidence >= p.relax else max(0.2, confidence / p.relax)
+    past = p.strength * trust * stillness
+    mixed = past * before + (1 - past) * held_area(new, before, p)
+    return remove_islands(clamp01(mixed), before, p.island)

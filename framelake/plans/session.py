@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators import relational
-from framelake.plans import track
+from framelake.operators import follower, relational
 
 PASS = "clip int, idx long, a long, b long, kind string, value array<double>, conf double, low boolean, lost boolean"
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), pa.bool_())
@@ -43,7 +42,7 @@ def passes(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("start", start).withColumn("stop", stop)
 
 
-def follow(frames: DataFrame, keys: DataFrame, jobs: DataFrame, params: track.TrackerParams = track.TrackerParams()) -> DataFrame:
+def follow(frames: DataFrame, keys: DataFrame, jobs: DataFrame, params: follower.Params = follower.Params()) -> DataFrame:
     """The results of all passes (see PASS and ``way``), a group a pass; frames meet their passes by an equi-join on (clip, idx)."""
     asked = passes(jobs).withColumn("idx", F.explode(F.sequence(F.least("start", "stop"), F.greatest("start", "stop"))))
     rows = asked.join(frames.select("clip", "idx", "w", "h", "plane"), ["clip", "idx"]).join(keys.select("clip", F.col("idx").alias("start"), "alpha"), ["clip", "start"])
@@ -54,11 +53,11 @@ def follow(frames: DataFrame, keys: DataFrame, jobs: DataFrame, params: track.Tr
         shape = (first["h"], first["w"])
         order = sorted(planes, reverse=first["way"] < 0)
         image = lambda i: np.asarray(planes[i], np.float64).reshape(shape)
-        state = track.begin(image(order[0]), np.asarray(first["alpha"], np.float64).reshape(shape), params)
+        subject = follower.Follower(image(order[0]), np.asarray(first["alpha"], np.float64).reshape(shape), params)
         out = []
         for i in order[1:]:
-            alpha, conf, low, lost = track.step(state, image(i), params)
-            out.append((first["clip"], i, first["a"], first["b"], first["kind"], alpha.reshape(-1).tolist(), conf, low, lost))
+            got = subject.follow(image(i))
+            out.append((first["clip"], i, first["a"], first["b"], first["kind"], got.alpha.reshape(-1).tolist(), got.confidence, got.low, got.lost))
         columns = list(zip(*out, strict=True)) or [()] * len(_TYPES)
         arrays = [pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]
         return pa.table([*arrays, pa.array([first["way"]] * len(out), pa.int32())], names=[*(c.split()[0] for c in PASS.split(", ")), "way"])
@@ -73,7 +72,7 @@ def merge(results: DataFrame) -> DataFrame:
     return relational.blend(forward, backward)
 
 
-def run(frames: DataFrame, keys: DataFrame, direction: str = "both", changed: DataFrame | None = None, params: track.TrackerParams = track.TrackerParams()) -> DataFrame:
+def run(frames: DataFrame, keys: DataFrame, direction: str = "both", changed: DataFrame | None = None, params: follower.Params = follower.Params()) -> DataFrame:
     """Mattes (clip, idx, alpha, confidence, flags) of all frames that jobs reach; keyframes stay as they are, flagged manual."""
     jobs = plan(frames, keys, direction, changed)
     tracked = merge(follow(frames, keys, jobs, params))

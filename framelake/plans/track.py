@@ -7,14 +7,13 @@ over clips and keyframe segments, in order inside one.
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framelake.operators import kernels
+from framelake.operators import follower, kernels
 
 
 def report(frames: DataFrame) -> DataFrame:
@@ -122,220 +121,62 @@ def stabilized(frames: DataFrame, params: kernels.StabilizerParams = kernels.Sta
 # ---- the tracker --------------------------------------------------------------
 
 
-# The tracker's thresholds.
-@dataclass(frozen=True)
-class TrackerParams:
-    low: float = 0.55
-    lost: float = 0.30
-    good: float = 0.80
-    again: float = 0.72
-    least_area: float = 0.0004
-    grow: float = 1.28
-    shrink: float = 0.72
-    reference: tuple[float, float] = (0.90, 1.22)
-    leak: float = 0.22
-    leak_likelihood: float = 0.12
-    patience: int = 3
-    ratio: tuple[float, float] = (0.5, 1.7)
-    rate: float = 0.08
-
-
-class LikelihoodEngine:
-    """A stand-in for a segmentation model: pixels more like the subject than the background, near the guide.
-
-    Any object with ``predict(image, guide) -> (mask, confidence)`` can take its place.
-    """
-
-    def __init__(self, appearance: Appearance):
-        self.appearance = appearance
-
-    def predict(self, image: np.ndarray, guide: np.ndarray) -> tuple[np.ndarray, float]:
-        near = kernels.dilate((guide > 0.5).astype(np.int8), 2 * max(2, max(guide.shape) // 40) + 1) > 0
-        mask = ((self.appearance.likelihood(image) > 0.5) & near).astype(float)
-        return mask, 0.9 if mask.any() else 0.1
-
-
-class Appearance:
-    """Histograms of the subject and of the ring around it; 8-bit grey in 64 bins."""
-
-    BINS = 64
-
-    def __init__(self, rate: float):
-        self.rate, self.fg, self.bg = rate, None, None
-
-    def _counts(self, image: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        counts = np.bincount(np.clip(image[mask] * self.BINS / 256, 0, self.BINS - 1).astype(int), minlength=self.BINS).astype(float)
-        return counts / max(counts.sum(), 1.0)
-
-    def update(self, image: np.ndarray, alpha: np.ndarray) -> None:
-        mask = alpha > 0.5
-        long_edge = max(mask.shape)
-        inner = kernels.erode(mask.astype(float), max(3, int(0.012 * long_edge)) | 1) > 0.5
-        near, far = (kernels.dilate(mask.astype(np.int8), max(3, int(k * long_edge)) | 1) > 0 for k in (0.03, 0.14))
-        inner = inner if inner.sum() >= 50 else mask
-        ring = far & ~near if (far & ~near).sum() >= 50 else ~mask
-        fg, bg = self._counts(image, inner), self._counts(image, ring)
-        if self.fg is None:
-            self.fg, self.bg = fg, bg
-        else:
-            self.fg, self.bg = ((1 - self.rate) * old + self.rate * new for old, new in ((self.fg, fg), (self.bg, bg)))
-
-    def likelihood(self, image: np.ndarray) -> np.ndarray:
-        if self.fg is None:
-            return np.full(image.shape, 0.5)
-        bins = np.clip(image * self.BINS / 256, 0, self.BINS - 1).astype(int)
-        return ((self.fg + 1e-4) / (self.fg + self.bg + 2e-4))[bins]
-
-    def leak(self, image: np.ndarray, mask: np.ndarray, least: float) -> tuple[float, np.ndarray]:
-        lik = kernels.true_gaussian(self.likelihood(image), 1.5)
-        inside = mask > 0.5
-        return (float((lik[inside] < least).mean()) if inside.any() else 0.0), lik
-
-
-def iou(a: np.ndarray, b: np.ndarray) -> float:
-    a, b = a > 0.5, b > 0.5
-    union = (a | b).sum()
-    return float((a & b).sum() / union) if union else 1.0
-
-
-def best_shift(before: np.ndarray, now: np.ndarray, mask: np.ndarray, reach: int = 4) -> tuple[int, int]:
-    """Whole-pixel motion (dx, dy) of the masked part by block matching; stands in for dense optical flow."""
-    ys, xs = np.nonzero(mask > 0.5)
-    if not len(xs):
-        return 0, 0
-    best, found = None, (0, 0)
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            y, x = np.clip(ys + dy, 0, now.shape[0] - 1), np.clip(xs + dx, 0, now.shape[1] - 1)
-            cost = float(np.abs(before[ys, xs] - now[y, x]).mean()) + 1e-6 * (abs(dx) + abs(dy))
-            if best is None or cost < best:
-                best, found = cost, (dx, dy)
-    return found
-
-
-@dataclass
-class TrackerState:
-    """What is carried from frame to frame of a clip."""
-
-    image: np.ndarray
-    alpha: np.ndarray
-    reference: np.ndarray
-    appearance: Appearance
-    centroids: list = field(default_factory=list)
-    area: float = 0.0
-    lost: bool = False
-    streak: int = 0
-
-
-def begin(image: np.ndarray, alpha: np.ndarray, p: TrackerParams = TrackerParams()) -> TrackerState:
-    appearance = Appearance(p.rate)
-    if (alpha > 0.5).any():
-        appearance.update(image, alpha)
-    state = TrackerState(image, alpha, alpha, appearance, area=float((alpha > 0.5).sum()))
-    _remember(state, alpha)
-    return state
-
-
-def _remember(state: TrackerState, alpha: np.ndarray) -> None:
-    ys, xs = np.nonzero(alpha > 0.5)
-    if len(xs):
-        state.centroids = [*state.centroids, (float(xs.mean()), float(ys.mean()))][-6:]
-
-
-def _proposal(state: TrackerState, image: np.ndarray, reference: np.ndarray, p: TrackerParams, engine) -> tuple[np.ndarray, float, float, bool]:
-    """(mask, confidence, area ratio, lost) of the engine's mask after the gates of agreement, area and appearance."""
-    expected = float((reference > 0.5).sum())
-    least = p.least_area * reference.size
-    if expected < max(least, 1):
-        return np.zeros_like(reference), 0.0, 0.0, True
-    mask, sure = engine.predict(image, reference)
-    agree = iou(mask, reference)
-    size = float((mask > 0.5).sum())
-    conf = 0.4 * sure + 0.6 * min(1.0, agree / 0.8)
-    if size < least:
-        conf = min(conf, 0.1)
-    ratio = size / expected
-    if ratio > p.grow:
-        zone = kernels.dilate((reference > 0.5).astype(np.int8), max(3, int(0.012 * max(mask.shape))) | 1)
-        mask, conf = mask * zone, min(0.6 * conf, 0.5)
-    elif ratio < p.shrink:
-        conf = min(0.7 * conf, 0.5)
-    leak, likelihood = state.appearance.leak(image, mask, p.leak_likelihood)
-    if leak > p.leak:
-        mask = mask * (likelihood > p.leak_likelihood)
-        conf, ratio = min(0.6 * conf, 0.45), float((mask > 0.5).sum()) / expected
-    if state.lost:
-        if conf >= p.again and agree > 0.3:
-            return mask, conf, ratio, False
-        return np.zeros_like(mask), min(conf, 0.2), ratio, True
-    if agree < 0.35:
-        mask, conf = 0.7 * reference + 0.3 * mask, min(conf, 0.45)
-    return mask, conf, ratio, conf < p.lost
-
-
-def _search(state: TrackerState, image: np.ndarray, p: TrackerParams, engine) -> tuple[np.ndarray, float] | None:
-    """The lost subject among the three largest regions that look like it."""
-    like = (kernels.true_gaussian(state.appearance.likelihood(image), 2.0) > 0.65).astype(float)
-    like = kernels.dilate(kernels.erode(like, 5), 5)
-    like = kernels.erode(kernels.dilate(like, 9), 9)
-    labels = kernels.label(like > 0.5)
-    areas = np.bincount(labels.reshape(-1))[1:]
-    found = []
-    for place, k in enumerate(np.argsort(-areas, kind="stable")[:3]):
-        if areas[k] < 0.25 * state.area:
-            continue
-        mask, conf = engine.predict(image, (labels == k + 1).astype(float))
-        leak, _ = state.appearance.leak(image, mask, p.leak_likelihood)
-        ratio = float((mask > 0.5).sum()) / max(state.area, 1.0)
-        if conf >= p.again and leak < 0.15 and p.ratio[0] <= ratio <= p.ratio[1]:
-            found.append((leak - conf, place, mask, conf))
-    return min(found, key=lambda f: f[:2])[2:] if found else None
-
-
-def step(state: TrackerState, image: np.ndarray, p: TrackerParams = TrackerParams(), engine=None) -> tuple[np.ndarray, float, bool, bool]:
-    """Follow the subject into the next frame; changes ``state``.  Returns (alpha, confidence, low, lost)."""
-    engine = engine or LikelihoodEngine(state.appearance)
-    dx, dy = best_shift(state.image, image, state.reference)
-    moved = lambda a: kernels.warp(a, np.full(a.shape, -dx), np.full(a.shape, -dy))
-    reference, before = moved(state.reference), moved(state.alpha)
-    alpha, conf, ratio, lost = _proposal(state, image, reference, p, engine)
-    if not lost:
-        speed = np.full(alpha.shape, float(np.hypot(dx, dy)))
-        alpha = kernels.stabilize(alpha, before if conf >= p.low else None, speed, conf)
-    if (lost or conf < p.low) and state.streak >= p.patience and state.area > 100:
-        again = _search(state, image, p, engine)
-        if again is not None:
-            alpha, conf, ratio, lost = again[0], min(0.85, again[1]), 1.0, False
-            reference, state.centroids = alpha, []
-    good = not lost and conf >= p.good and (alpha > 0.5).any() and p.reference[0] <= ratio <= p.reference[1]
-    if good:
-        _remember(state, alpha)
-        state.appearance.update(image, alpha)
-        state.reference, state.area, state.streak = alpha, float((alpha > 0.5).sum()), 0
-    else:
-        state.reference, state.streak = reference, state.streak + 1
-    state.image, state.alpha, state.lost = image, alpha, lost
-    low = conf < p.low or (not lost and ratio < 0.95 * p.reference[0])
-    return alpha, float(conf), bool(low or lost), bool(lost)
-
-
 TRACKED = "clip int, idx long, area long, confidence double, low boolean, lost boolean"
 
 
-def tracked(frames: DataFrame, params: TrackerParams = TrackerParams()) -> DataFrame:
+def tracked(frames: DataFrame, params: follower.Params = follower.Params()) -> DataFrame:
     """Each clip followed from its first frame, whose mask is what is brighter than half."""
 
     def run(table: pa.Table) -> pa.Table:
         clip = table.column("clip")[0].as_py()
         numbers, planes = _planes(table)
-        alpha = (planes[0] > 127).astype(float)
-        state = begin(planes[0], alpha, params)
-        out = [(clip, numbers[0], int(alpha.sum()), 1.0, False, False)]
+        subject = follower.Follower(planes[0], (planes[0] > 127).astype(float), params)
+        out = [(clip, numbers[0], int(subject.alpha.sum()), 1.0, False, False)]
         for idx, image in zip(numbers[1:], planes[1:], strict=True):
-            alpha, conf, low, lost = step(state, image, params)
-            out.append((clip, idx, int((alpha > 0.5).sum()), round(conf, 6), low, lost))
+            got = subject.follow(image)
+            out.append((clip, idx, int(follower.area(got.alpha)), round(got.confidence, 6), got.low, got.lost))
         names = [c.split()[0] for c in TRACKED.split(", ")]
         types = (pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_())
         return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out, strict=True), types, strict=True)})
 
     return frames.groupBy("clip").applyInArrow(run, TRACKED)
+
+
+QUALITY = "clip string, idx long, iou double, f double, confidence double, low boolean, lost boolean"
+
+
+def boundary_f(mask: np.ndarray, truth: np.ndarray, tolerance: int = 2) -> float:
+    """Boundary F of two masks (see ``metrics.boundary_f``), without a row a pixel."""
+    edges = [m & ~(kernels.erode(m.astype(float), 3) > 0.5) for m in (mask, truth)]
+    near = [kernels.dilate(e.astype(np.int8), 2 * tolerance + 1) > 0 for e in edges]
+    precision, recall = ((edges[k] & near[1 - k]).sum() / max(edges[k].sum(), 1) for k in (0, 1))
+    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
+
+
+def followed(footage: DataFrame, params: follower.Params = follower.Params()) -> DataFrame:
+    """How near the tracker stays to the truth of footage (clip, idx, w, h, bgr, truth): IoU and boundary F of each frame (see QUALITY).
+
+    A clip is one group, as the recurrence asks; its first frame's truth is the
+    keyframe and has no row.  A frame's planes are unpacked when it is reached.
+    """
+    names = [c.split()[0] for c in QUALITY.split(", ")]
+    types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.bool_())
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+
+        def at(k: int) -> tuple[np.ndarray, np.ndarray]:
+            row = {c: table.column(c)[k].as_py() for c in ("w", "h", "bgr", "truth")}
+            shape = (row["h"], row["w"])
+            return np.frombuffer(row["bgr"], np.uint8).reshape(*shape, 3).astype(np.float32), np.frombuffer(row["truth"], np.uint8).reshape(shape) / 255
+
+        subject, out = follower.Follower(*at(0), params), []
+        for k in range(1, table.num_rows):
+            image, truth = at(k)
+            got = subject.follow(image)
+            quality = follower.iou(got.alpha, truth), boundary_f(follower.on(got.alpha), follower.on(truth))
+            out.append((table.column("clip")[k].as_py(), table.column("idx")[k].as_py(), *(round(q, 6) for q in quality), round(got.confidence, 6), got.low, got.lost))
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
+
+    return footage.groupBy("clip").applyInArrow(run, QUALITY)

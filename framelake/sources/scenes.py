@@ -1,15 +1,21 @@
-"""Synthetic clips with exact ground truth, from expressions alone.
+"""Synthetic clips with exact ground truth.
 
-A sprite (an ellipse with a round head) moves over a hashed texture under a
-camera that pans; a bar may pass in front, the exposure may be low, and motion
-may be blurred over sub-steps.  Rows are made by ``range``, so a clip of any size
-is made in parallel.
+``footage`` makes colour clips in the blob lens, a frame a row and each by itself:
+a figure with limbs (and strands of hair, if asked for) walks over a textured
+world with landmarks; the camera pans, zooms and turns; a bar may pass in front,
+light may be low, and motion may be blurred over sub-steps.  Shapes are implicit
+functions and textures are smoothed hashes of world coordinates, so no frame needs
+another.
+
+``render`` makes simpler grey scenes in the pixel lens from expressions alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,22 +24,135 @@ from framelake.plans import lenses
 
 @dataclass(frozen=True)
 class Scenario:
+    """``pan`` and ``speed`` are pixels a frame, ``zoom`` a change of scale and ``turn`` degrees a frame."""
+
     name: str = "static"
     frames: int = 40
-    width: int = 160
-    height: int = 90
+    width: int = 640
+    height: int = 360
     pan: float = 0.0
+    zoom: float = 0.0
+    turn: float = 0.0
     speed: float = 3.0
     blur: int = 1
     occluder: bool = False
     exposure: float = 1.0
+    similar: bool = False
+    hair: bool = False
 
 
-#: By name, what differs from a scenario's defaults.
+# By name, what differs from a scenario's defaults.
 SCENARIOS = (
-    Scenario("static", speed=2.5), Scenario("pan", pan=4.0, speed=2.0), Scenario("fast", speed=11.0), Scenario("blur", speed=9.0, blur=6),
-    Scenario("occlusion", occluder=True, speed=2.0, frames=50), Scenario("lowlight", exposure=0.30, speed=2.5),
+    Scenario("static", speed=2.5), Scenario("pan", pan=4.0, speed=2.0), Scenario("zoom", zoom=0.006, speed=2.0), Scenario("rotation", turn=0.7, speed=2.0),
+    Scenario("fast", speed=11.0), Scenario("blur", speed=9.0, blur=6), Scenario("occlusion", occluder=True, speed=2.0, frames=50),
+    Scenario("lowlight", exposure=0.30, speed=2.5), Scenario("similar_bg", similar=True, speed=2.5), Scenario("hair", hair=True, speed=2.5),
 )
+#: Those that the pixel lens can show, small.
+PIXEL_SCENARIOS = tuple(replace(s, width=160, height=90) for s in SCENARIOS if not (s.zoom or s.turn or s.similar or s.hair))
+
+
+# ---- footage ------------------------------------------------------------------
+
+
+def _lattice(ix: np.ndarray, iy: np.ndarray, seed: int) -> np.ndarray:
+    """-1 .. 1 from whole coordinates."""
+    h = (ix.astype(np.int64) * 374761393 + iy.astype(np.int64) * 668265263 + seed * 974634777) & 0xFFFFFFFF
+    h = ((h ^ h >> 13) * 1274126177) & 0xFFFFFFFF
+    return ((h ^ h >> 16) & 0xFFFF) / 32767.5 - 1
+
+
+def noise(x: np.ndarray, y: np.ndarray, cell: float, seed: int) -> np.ndarray:
+    """Smooth noise of world coordinates: lattice values, blended by a cubic."""
+    ix, iy = np.floor(x / cell), np.floor(y / cell)
+    tx, ty = x / cell - ix, y / cell - iy
+    tx, ty = tx * tx * (3 - 2 * tx), ty * ty * (3 - 2 * ty)
+    rows = [_lattice(ix, iy + k, seed) * (1 - tx) + _lattice(ix + 1, iy + k, seed) * tx for k in (0, 1)]
+    return rows[0] * (1 - ty) + rows[1] * ty
+
+
+def texture(x: np.ndarray, y: np.ndarray, colour: tuple[int, int, int], amount: float, seed: int) -> np.ndarray:
+    planes = [c + amount * (noise(x, y, 5.0, seed + 10 * k) + 0.4 * noise(x, y, 1.5, seed + 10 * k + 5)) for k, c in enumerate(colour)]
+    return np.stack(planes, axis=-1)
+
+
+def _segment(u: np.ndarray, v: np.ndarray, a: tuple[float, float], b: tuple[float, float], radius: float) -> np.ndarray:
+    """Distance to a capsule, negative inside."""
+    dx, dy = b[0] - a[0], b[1] - a[1]
+    t = np.clip(((u - a[0]) * dx + (v - a[1]) * dy) / (dx * dx + dy * dy), 0, 1)
+    return np.hypot(u - a[0] - t * dx, v - a[1] - t * dy) - radius
+
+
+def figure(u: np.ndarray, v: np.ndarray, hair: bool) -> np.ndarray:
+    """Coverage 0 .. 1 of the figure; its box is 140 wide and 260 high around the origin."""
+    parts = [
+        42 * (np.hypot(u / 42, (v - 30) / 78) - 1),  # body
+        np.hypot(u, v + 86) - 27,  # head
+        _segment(u, v, (-40, -14), (-66, 64), 5), _segment(u, v, (40, -14), (66, 56), 5),  # arms
+        np.maximum(np.abs(np.abs(u) - 18) - 11, np.abs(v - 108) - 22),  # legs
+    ]
+    if hair:
+        for k in range(60):
+            angle = -2.9 + 2.65 * (k * 0.61803398875 % 1)
+            out = 27 + 6 + 12 * (k * 0.75487766625 % 1)
+            parts.append(_segment(u, v, (27 * np.cos(angle), -86 + 27 * np.sin(angle)), (out * np.cos(angle), -86 + out * np.sin(angle)), 0.5))
+    return np.clip(0.5 - np.minimum.reduce(parts) / 1.6, 0, 1)
+
+
+def moment(s: Scenario, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """(colours, coverage) at one moment."""
+    y, x = np.mgrid[: s.height, : s.width].astype(float)
+    since = t - s.frames / 2
+    # through the camera into the world
+    angle, scale = np.radians(s.turn * since), 1 + s.zoom * since
+    cx, cy = (x - s.width / 2) / scale, (y - s.height / 2) / scale
+    wx, wy = cx * np.cos(angle) - cy * np.sin(angle) + s.pan * since, cx * np.sin(angle) + cy * np.cos(angle)
+    world = texture(wx, wy, (55, 75, 190) if s.similar else (60, 170, 70), 45, 1)
+    for k in range(40):
+        at = np.array([(k * 0.75487766625 % 1 - 0.5) * 3 * s.width, (k * 0.56984029 % 1 - 0.5) * 2 * s.height])
+        inside = np.hypot(wx - at[0], wy - at[1]) < 6 + k * 7 % 16
+        world[inside] = [20 + k * 37 % 215, 20 + k * 91 % 215, 20 + k * 53 % 215]
+    u, v = wx - (s.speed * since + 20 * np.sin(0.3 * t)), wy - 8 * np.sin(0.45 * t)
+    cover = figure(u, v, s.hair)
+    skin = texture(u, v, (40, 60, 200), 35, 7)
+    skin[v < -52] = texture(u, v, (90, 150, 210), 25, 8)[v < -52]
+    picture = skin * cover[..., None] + world * (1 - cover[..., None])
+    if s.occluder:
+        bar = (wx >= -200 + 9 * t) & (wx < -166 + 9 * t) & (np.abs(wy) < 200)
+        picture[bar], cover = 30.0, np.where(bar, 0.0, cover)
+    return picture, cover
+
+
+def frame(s: Scenario, idx: int) -> tuple[np.ndarray, np.ndarray]:
+    """A frame's 8-bit colours (blue, green, red) and 8-bit truth."""
+    steps = [moment(s, idx + (k / s.blur - 0.5 if s.blur > 1 else 0.0)) for k in range(s.blur)]
+    picture, cover = (sum(part) / s.blur for part in zip(*steps, strict=True))
+    picture = np.clip(picture * s.exposure, 0, 255)
+    if s.exposure < 0.5:
+        picture = picture + np.random.default_rng(idx).normal(0, 3.0, picture.shape)  # the sensor's noise
+    return np.clip(picture, 0, 255).astype(np.uint8), (cover * 255).astype(np.uint8)
+
+
+FOOTAGE = "clip string, idx long, w int, h int, bgr binary, truth binary"
+
+
+def footage(spark: SparkSession, scenarios: tuple[Scenario, ...] = SCENARIOS) -> DataFrame:
+    """The scenarios' frames (see FOOTAGE), a task's share of them each."""
+    by_name = {s.name: s for s in scenarios}
+    asked = [(s.name, k) for s in scenarios for k in range(s.frames)]
+    schema = pa.schema([("clip", pa.string()), ("idx", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("bgr", pa.binary()), ("truth", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for name, idx in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = by_name[name]
+                picture, truth = frame(s, idx)
+                yield pa.RecordBatch.from_pylist([{"clip": name, "idx": idx, "w": s.width, "h": s.height, "bgr": picture.tobytes(), "truth": truth.tobytes()}], schema=schema)
+
+    rows = spark.createDataFrame(asked, "clip string, idx long")
+    return rows.repartition(max(1, len(asked) // 8), "clip", "idx").mapInArrow(run, FOOTAGE)
+
+
+# ---- the pixel lens -----------------------------------------------------------
 
 
 def hashed(*parts: Column, most: int) -> Column:
@@ -54,7 +173,9 @@ def truth(x: Column, y: Column, t: Column, s: Scenario) -> Column:
 
 
 def render(spark: SparkSession, s: Scenario) -> DataFrame:
-    """(clip, idx, y, x, v, m): grey value and truth of each pixel."""
+    """(clip, idx, y, x, v, m): grey value and truth of each pixel of a scene without zoom, turn, hair or similar ground."""
+    if s not in PIXEL_SCENARIOS and (s.zoom or s.turn or s.similar or s.hair):
+        raise ValueError(f"{s.name} needs footage()")
     px = lenses.grid(spark, s.frames, s.width, s.height)
     x, y, t = F.col("x"), F.col("y"), F.col("f")
     texture = 40 + hashed(F.floor((x + s.pan * t / 4) / 3), F.floor(y / 3), most=50)
@@ -67,3 +188,35 @@ def render(spark: SparkSession, s: Scenario) -> DataFrame:
     value = value * s.exposure + (hashed(x, y, t, most=7) - 3 if s.exposure < 0.5 else 0)
     clamped = F.least(F.greatest(F.round(value), F.lit(0.0)), F.lit(255.0)).cast("int")
     return px.select(F.lit(s.name).alias("clip"), F.col("f").cast("long").alias("idx"), "y", "x", clamped.alias("v"), inside.cast("int").alias("m"))
+
+
+def _sql_hash(*parts: str, most: int) -> str:
+    out = "17::BIGINT"
+    for part in parts:
+        out = f"((({out}) * 31 + ({part})::BIGINT) % 2147483647 * 48271 % 2147483647)"
+    return f"((({out}) % {most} + {most}) % {most})"
+
+
+def _sql_truth(t: str, s: Scenario) -> str:
+    cx = f"({s.width / 2}::DOUBLE + {s.speed}::DOUBLE * ({t} - {s.frames / 2}::DOUBLE) / 4 + 5 * sin(0.3::DOUBLE * {t}) - {s.pan}::DOUBLE * {t} / 4)"
+    cy = f"({s.height / 2}::DOUBLE + 2 * sin(0.45::DOUBLE * {t}))"
+    body = f"pow((x - {cx}) / {s.height / 7!r}::DOUBLE, 2) + pow((y - {cy}) / {s.height / 4!r}::DOUBLE, 2) < 1"
+    return f"({body} OR pow(x - {cx}, 2) + pow(y - ({cy} - {s.height / 3.2!r}::DOUBLE), 2) < {(s.height / 10) ** 2!r}::DOUBLE)"
+
+
+def sql(s: Scenario) -> str:
+    """(clip, idx, y, x, v, m) of ``render`` in DuckDB's SQL."""
+    share = " + ".join(f"{_sql_truth(f'(t + {k / s.blur!r}::DOUBLE)', s)}::INT" for k in range(s.blur))
+    texture_ = f"40 + {_sql_hash(f'floor((x + {s.pan}::DOUBLE * t / 4) / 3)', 'y // 3', most=50)}"
+    value = f"(share * (200 + {_sql_hash('x', 'y', most=10)}) + (1 - share) * ({texture_}))"
+    inside = _sql_truth("t", s)
+    if s.occluder:
+        bar = f"(x >= {s.width / 2 - 50}::DOUBLE + 2.25::DOUBLE * t AND x < {s.width / 2 - 42}::DOUBLE + 2.25::DOUBLE * t)"
+        value, inside = f"CASE WHEN {bar} THEN 120 ELSE {value} END", f"({inside} AND NOT {bar})"
+    dark = f" + {_sql_hash('x', 'y', 't', most=7)} - 3" if s.exposure < 0.5 else ""
+    px = f"SELECT f AS t, y, x FROM range({s.frames}) a(f), range({s.height}) b(y), range({s.width}) c(x)"
+    return f"""SELECT '{s.name}' AS clip, t AS idx, y, x, least(greatest(round(({value}) * {s.exposure}::DOUBLE{dark}), 0), 255)::INT AS v, {inside}::INT AS m
+      FROM (SELECT *, ({share}) / {s.blur}.0::DOUBLE AS share FROM ({px}))"""
+
+
+SQL = f"""SELECT clip, idx::BIGINT AS idx, sum(m)::BIGINT AS area, round(avg(v), 6) AS mean FROM ({" UNION ALL ".join(sql(s) for s in PIXEL_SCENARIOS)}) GROUP BY clip, idx"""

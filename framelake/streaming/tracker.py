@@ -15,8 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framelake.operators import kernels
-from framelake.plans import track
+from framelake.operators import follower, kernels
 
 OUT = "clip int, idx long, area long, confidence double, low boolean, lost boolean, late boolean"
 STATE = "last long, state binary"
@@ -49,16 +48,16 @@ def _stream(frames: DataFrame, first, following) -> DataFrame:
     return frames.groupBy("clip").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def tracked(frames: DataFrame, params: track.TrackerParams = track.TrackerParams()) -> DataFrame:
+def tracked(frames: DataFrame, params: follower.Params = follower.Params()) -> DataFrame:
     """Frames (clip, idx, w, h, plane) of a stream, each clip followed from its first."""
 
     def first(plane: np.ndarray):
-        alpha = (plane > 127).astype(float)
-        return track.begin(plane, alpha, params), (int(alpha.sum()), 1.0, False, False)
+        subject = follower.Follower(plane, (plane > 127).astype(float), params)
+        return subject, (int(subject.alpha.sum()), 1.0, False, False)
 
-    def following(state: track.TrackerState, plane: np.ndarray):
-        alpha, conf, low, lost = track.step(state, plane, params)
-        return state, (int((alpha > 0.5).sum()), round(conf, 6), low, lost)
+    def following(subject: follower.Follower, plane: np.ndarray):
+        got = subject.follow(plane)
+        return subject, (int(follower.area(got.alpha)), round(got.confidence, 6), got.low, got.lost)
 
     return _stream(frames, first, following)
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.operators import metrics, models
+from framelake.operators import follower, kernels, metrics, models
 from framelake.plans import lenses, track
 from framelake.streaming import tracker
 
@@ -21,15 +21,14 @@ def test_follows_the_disc(spark):
 def test_says_when_the_subject_is_gone():
     image = np.zeros((60, 80))
     image[20:40, 20:40] = 200
-    state = track.begin(image, (image > 100).astype(float))
-    alpha, conf, low, lost = track.step(state, np.zeros((60, 80)))
-    assert low and conf < 0.55 and (lost or alpha.sum() < 400)
+    subject = follower.Follower(image, (image > 100).astype(float))
+    got = subject.follow(np.zeros((60, 80)))
+    assert got.low and got.confidence < 0.55 and (got.lost or got.alpha.sum() < 400)
     for _ in range(4):
-        track.step(state, np.zeros((60, 80)))
-    back = image.copy()
+        subject.follow(np.zeros((60, 80)))
     for _ in range(3):
-        alpha, conf, low, lost = track.step(state, back)
-    assert not lost
+        got = subject.follow(image.copy())
+    assert not got.lost
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -89,11 +88,95 @@ def test_robust_flow():
 def test_scenarios(spark):
     from framelake.sources import scenes
 
+    with pytest.raises(ValueError, match="footage"):
+        scenes.render(spark, scenes.Scenario("a", zoom=0.1))
     still = scenes.render(spark, scenes.Scenario("a", frames=4, width=80, height=60))
     rows = still.groupBy("idx").agg(F.sum("m").alias("n"), F.avg(F.when(F.col("m") == 1, F.col("v"))).alias("inside"), F.avg(F.when(F.col("m") == 0, F.col("v"))).alias("outside")).collect()
     assert len(rows) == 4 and all(r.n > 100 and r.inside > r.outside + 50 for r in rows)
 
 
+def test_footage():
+    from dataclasses import replace
+
+    from framelake.sources import scenes
+
+    by = {s.name: replace(s, width=320, height=180) for s in scenes.SCENARIOS}
+    assert len(by) == 10
+    (picture, truth), (again, _) = (scenes.frame(by["static"], 3) for _ in range(2))
+    assert picture.shape == (180, 320, 3) and (picture == again).all() and 3000 < (truth > 127).sum() < 30000
+    inside, outside = picture[truth > 250].mean(axis=0), picture[truth == 0].mean(axis=0)
+    assert inside[2] > outside[2] + 50 and outside[1] > inside[1] + 30  # red on green
+    size = lambda name, k: int((scenes.frame(by[name], k)[1] > 127).sum())
+    assert size("zoom", 39) > 1.3 * size("zoom", 0) and size("occlusion", 26) < 0.95 * size("occlusion", 0) and size("hair", 3) > size("static", 3)
+    assert scenes.frame(by["lowlight"], 0)[0].mean() < 0.4 * picture.mean()
+
+
+@pytest.mark.parametrize("name, least", [("fast", 0.85), ("occlusion", 0.6), ("similar_bg", 0.7)])
+def test_tracking_quality(spark, name, least):
+    from dataclasses import replace
+
+    from framelake.sources import scenes
+
+    s = next(replace(s, width=320, height=180, frames=16, speed=s.speed / 2) for s in scenes.SCENARIOS if s.name == name)
+    got = track.followed(scenes.footage(spark, (s,))).collect()
+    assert len(got) == 15 and np.mean([r.iou for r in got]) > least
+
+
+def test_boundary_f_equals_the_pixel_form(spark):
+    rng = np.random.default_rng(4)
+    p, g = (kernels.gaussian(rng.random((20, 30)), 2.0) > 0.5 for _ in range(2))
+    rows = [(0, 0, y, x, int(p[y, x]), int(g[y, x])) for y in range(20) for x in range(30)]
+    want = metrics.boundary_f(spark.createDataFrame(rows, "clip int, idx long, y int, x int, p int, g int"), 2).first().f
+    assert track.boundary_f(p, g) == pytest.approx(want)
+
+
+def disc(x, y, r=12, shape=(60, 80)):
+    yy, xx = np.mgrid[: shape[0], : shape[1]]
+    return ((xx - x) ** 2 + (yy - y) ** 2 <= r * r).astype(float)
+
+
+def test_gates():
+    image = 200.0 * disc(40, 30)
+    colours = follower.Colours(0.08)
+    colours.learn(image, disc(40, 30))
+
+    def gated(mask, reference=disc(40, 30), lost=False):
+        q = follower.Proposal(mask, 0.9, reference, image, colours, follower.Params(), lost)
+        return follower.pass_gates(q), q
+
+    assert gated(disc(40, 30)) [0] == [] and gated(disc(40, 30))[1].confidence == pytest.approx(0.96)
+    names, q = gated(np.zeros((60, 80)))
+    assert names == ["vanished", "shrunk", "astray"] and q.confidence <= 0.1
+    names, q = gated(disc(40, 30, 20))
+    assert names[0] == "grown" and q.confidence <= 0.5 and follower.area(q.mask) < follower.area(disc(40, 30, 15))
+    names, q = gated(disc(40, 30, 8))
+    assert names == ["shrunk"] and (q.mask == disc(40, 30, 8)).all()
+    names, q = gated(np.maximum(disc(48, 30), 0))
+    assert "leaking" in names and not (q.mask > disc(40, 30, 14)).any()
+    assert gated(disc(70, 30, 12), lost=True)[0] == gated(disc(70, 30, 12))[0][:-1] and gated(disc(70, 30, 12))[0][-1] == "astray"
+
+
+def test_colour_regions():
+    small, whole = disc(40, 30, 4), np.ones((60, 80))
+    subject, ring = follower.Colours.regions(small)
+    assert (subject == (small > 0)).all() and ring.sum() >= 50 and not (ring & (disc(40, 30, 6) > 0)).any()
+    subject, ring = follower.Colours.regions(whole)
+    assert subject.sum() > 50 and ring.sum() == 0
+    grey, colour = np.full((4, 4), 255.0), np.full((4, 4, 3), 255.0)
+    assert follower.Colours.bins(grey).max() == 63 and follower.Colours.bins(colour).max() == 511
+
+
+def test_motion_reaches_with_the_frame():
+    rng = np.random.default_rng(2)
+    wide = kernels.gaussian(rng.random((200, 400)) * 255, 2.0) * 4
+    now, before = wide[40:160, 40:360], wide[46:166, 28:348]
+    dx, dy = follower.dense_motion(now, before)
+    inner = (slice(30, 90), slice(40, 280))
+    assert np.median(dx[inner]) == 12 and np.median(dy[inner]) == -6
+    assert follower.steady_motion([(0, 0), (3, 1), (6, 2)]).tolist() == [[1, 0, -3], [0, 1, -1]]
+    assert follower.steady_motion([]).tolist() == [[1, 0, 0], [0, 1, 0]]
+
+
 def test_png_sequence(spark, tmp_path):
     from framelake.sources import images
 
@@ -117,7 +200,7 @@ def test_session(spark):
     assert [i for i, r in sorted(got.items()) if r["flags"] == 1] == [3, 8]
     want = {r["idx"]: np.array(r["alpha"]) for r in mattes.collect()}
     for i, r in got.items():
-        assert track.iou(np.array(r["alpha"]), want[i]) > 0.85, i
+        assert follower.iou(np.array(r["alpha"]), want[i]) > 0.85, i
     kinds = {r["kind"] for r in session.plan(rows, keys, changed=keys.filter("idx = 8")).collect()}
     assert kinds == {"between", "forward"}
     with pytest.raises(Exception, match="without a matte"):
