@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from framelake.functions import codec, scalars
 from framelake.operators import components, edge, metrics, plane, relational, sequence
 from framelake.plans import lenses, track
-from framelake.sources import scenes
+from framelake.sources import matte_store, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -265,6 +265,38 @@ def sidecar_json(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.coalesce(read["k"], F.lit(-1)).alias("k"), F.coalesce(read["none"], F.lit(0)).alias("none"))
 
 
+STORE_SQL = """WITH files AS (
+    SELECT event_id, 'file:/store/' || event_type || '/' || CASE WHEN event_id % 2 = 0 THEN 'masks/' ELSE '' END || lpad((event_id % 500)::VARCHAR, 6, '0') || CASE WHEN event_id % 7 = 0 THEN '.tmp' WHEN event_id % 11 = 0 THEN 'x.acm' ELSE '.acm' END AS path FROM events),
+  listed AS (SELECT event_id, split_part(path, '/', 3) AS "set", TRY_CAST(regexp_extract(path, '/([0-9]+)[.]acm$', 1) AS INT) AS idx FROM files WHERE regexp_matches(path, '/[0-9]+[.]acm$'))"""
+
+
+def _store_files(spark, sf_dir):
+    """Events as the listing of a store with sets, some of whose names are no records."""
+    end = F.when(F.col("event_id") % 7 == 0, ".tmp").when(F.col("event_id") % 11 == 0, "x.acm").otherwise(".acm")
+    folder = F.when(F.col("event_id") % 2 == 0, "masks/").otherwise("")
+    name = F.lpad((F.col("event_id") % 500).cast("string"), 6, "0")
+    return _table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("file:/store/"), "event_type", F.lit("/"), folder, name, end).alias("path"))
+
+
+@query(STORE_SQL + ' SELECT event_id, "set", idx FROM listed')
+def store_listing(spark, sf_dir):
+    """Set and frame number of what is a record by its name."""
+    return matte_store.listed(_store_files(spark, sf_dir)).select("event_id", "set", "idx")
+
+
+@query(STORE_SQL + """, wanted AS (SELECT DISTINCT event_type AS "set", (event_id * 3 % 600)::INT AS idx FROM events)
+  SELECT w."set", w.idx, EXISTS (SELECT 1 FROM listed l WHERE l."set" = w."set" AND l.idx = w.idx) AS found FROM wanted w""")
+def store_has(spark, sf_dir):
+    wanted = _table(spark, sf_dir, "events").select(F.col("event_type").alias("set"), (F.col("event_id") * 3 % 600).cast("int").alias("idx")).distinct()
+    return matte_store.has(_store_files(spark, sf_dir), wanted).select("set", "idx", "found")
+
+
+@query("SELECT event_id, round(least(greatest(0.299::DOUBLE * (event_id % 256) / 255 + 0.587::DOUBLE * (event_id * 7 % 300) / 255 + 0.114::DOUBLE * (event_id * 13 % 256) / 255, 0), 1), 6) AS luma FROM events")
+def luma(spark, sf_dir):
+    r, g, b = (F.col("event_id") * k % most / 255 for k, most in ((1, 256), (7, 300), (13, 256)))
+    return six(_table(spark, sf_dir, "events").select("event_id", edge.luma(r, g, b).alias("luma")), "luma")
+
+
 @query("SELECT event_id, CASE WHEN length((event_id * 997)::VARCHAR) >= 6 THEN (event_id * 997)::VARCHAR ELSE lpad((event_id * 997)::VARCHAR, 6, '0') END AS name, greatest(0, least(99, event_id - 50)) AS clamped FROM events")
 def frame_names(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", scalars.frame_name(F.col("event_id") * 997).alias("name"), scalars.clamped_index(F.col("event_id") - 50, F.lit(100)).alias("clamped"))

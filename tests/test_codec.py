@@ -57,8 +57,66 @@ def test_data_source(spark, tmp_path):
     assert [r.path.rsplit("/", 1)[1] for r in matte_store.damaged(files).collect()] == ["000001.acm"]
 
 
+def write(spark, path, rows, mode="append"):
+    spark.createDataFrame(rows, matte_store.SCHEMA).write.format("acm").mode(mode).option("path", path).save()
+
+
+def row(k, value=7):
+    return ("s", k, 4, 2, bytes([value] * 8), 0.5, 0)
+
+
+def test_overwrite_and_append(spark, tmp_path):
+    matte_store.register(spark)
+    out = f"file://{tmp_path}/s"
+    read = lambda: {r.idx: r.alpha[0] for r in spark.read.format("acm").option("path", out).load().collect()}
+    write(spark, out, [row(k) for k in (1, 2, 3)])
+    write(spark, out, [row(3, 9), row(4)])
+    assert read() == {1: 7, 2: 7, 3: 9, 4: 7}
+    write(spark, out, [row(9)], "overwrite")
+    assert read() == {9: 7} and [p.name for p in (tmp_path / "s").iterdir()] == ["000009.acm"]
+    with pytest.raises(Exception, match="reshape|bytes|cannot"):
+        write(spark, out, [row(5), ("s", 6, 4, 2, b"too short", 0.5, 0)])
+    assert read() == {9: 7} and [p.name for p in (tmp_path / "s").iterdir()] == ["000009.acm"]
+
+
+def test_damaged_of_several_sets(spark, tmp_path):
+    matte_store.register(spark)
+    for name in "AB":
+        write(spark, str(tmp_path / name), [row(k) for k in (3, 4)])
+    (tmp_path / "A" / "000003.acm").write_bytes(b"broken")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    assert [r.path.rsplit("/", 2)[1:] for r in matte_store.damaged(files).collect()] == [["A", "000003.acm"]]
+    wanted = spark.createDataFrame([("A", 3), ("A", 5), ("B", 4)], "set string, idx int")
+    assert {(r.set, r.idx): r.found for r in matte_store.has(files, wanted).collect()} == {("A", 3): True, ("A", 5): False, ("B", 4): True}
+    gone = matte_store.delete(matte_store.damaged(files)).collect()
+    assert [r.gone for r in gone] == [True] and not (tmp_path / "A" / "000003.acm").exists()
+    assert not matte_store.delete(spark.createDataFrame([(str(tmp_path / "A" / "000003.acm"),)], "path string")).first().gone
+
+
+def test_sets(spark, tmp_path):
+    matte_store.register(spark)
+    root = f"file://{tmp_path}/root"
+    assert matte_store.sets(root) == [] and matte_store.active(root) is None and matte_store.read_meta(root, "x") is None
+    matte_store.create(root, "b", {"fps": 24.0, "note": "a=b"})
+    matte_store.create(root, "a", {"schema": 3})
+    (tmp_path / "root" / "no-meta").mkdir()
+    assert matte_store.sets(root) == ["a", "b"]
+    assert matte_store.read_meta(root, "b") == {"fps": "24.0", "note": "a=b", "schema": "1"} and matte_store.read_meta(root, "a") == {"schema": "3"}
+    matte_store.activate(root, "b")
+    matte_store.activate(root, "a")
+    assert matte_store.active(root) == "a"
+    matte_store.write_sidecar(root, "b", "session.json", {"keyframes": {"1": "manual"}})
+    assert matte_store.read_sidecar(root, "b", "session.json") == {"keyframes": {"1": "manual"}}
+    (tmp_path / "root" / "b" / "broken.json").write_text("{")
+    assert matte_store.read_sidecar(root, "b", "broken.json", 5) == 5 == matte_store.read_sidecar(root, "b", "none.json", 5)
+    write(spark, matte_store.masks(root, "b"), [row(k) for k in range(3)])
+    assert {r.set for r in spark.read.format("acm").option("path", matte_store.masks(root, "b")).load().collect()} == {"b"}
+    assert matte_store.reset(spark, root, "b") == 3 and matte_store.reset(spark, root, "b") == 0
+    assert matte_store.sets(root) == ["a", "b"] and matte_store.read_sidecar(root, "b", "session.json")["keyframes"] == {}
+
+
 def test_properties(spark):
-    lines = spark.createDataFrame([("name=a=b",), ("fps=24.0",), ("no pair",)], "value string")
+    lines = spark.createDataFrame([("name=x",), ("name=a=b",), ("fps=24.0",), ("no pair",)], "value string")
     assert matte_store.set_properties(lines).first()[0] == {"name": "a=b", "fps": "24.0"}
 
 
