@@ -85,10 +85,10 @@ def frame_iou(spark, sf_dir):
     return track.report(lenses.plane_blobs(spark, sf_dir)).filter("iou IS NOT NULL").select("clip", "idx", "iou")
 
 
-def _pairs(spark, sf_dir) -> DataFrame:
-    """Masks p (v > 0) and g (v > 20)."""
-    px = plane.by_frame(lenses.planes(spark, sf_dir))
-    return px.select("clip", "idx", "y", "x", (F.col("v") > 0).cast("int").alias("p"), (F.col("v") > 20).cast("int").alias("g"))
+def _plane_pairs(spark, sf_dir) -> DataFrame:
+    """Whole masks p (v > 0) and g (v > 20); ``metrics`` has the pixel forms of what is done with them."""
+    mask = lambda least: F.transform("plane", lambda v: (v > least).cast("int"))
+    return lenses.plane_blobs(spark, sf_dir).select("clip", "idx", "w", mask(0).alias("p"), mask(20).alias("g"))
 
 
 def _square_sql(source: str, column: str, name: str, r: int, f: str) -> str:
@@ -109,16 +109,16 @@ bound AS (SELECT clip, idx, CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) E
 
 @query(PX + EDGES + " SELECT clip, idx, round(f, 6) AS f FROM bound")
 def frame_boundary_f(spark, sf_dir):
-    return six(metrics.boundary_f(_pairs(spark, sf_dir), 1), "f")
+    return six(metrics.plane_quality(_plane_pairs(spark, sf_dir), 1).select("clip", "idx", "f"), "f")
 
 
 FLICKER = """, moved AS (SELECT clip, idx, abs(p - lag(p) OVER w) AS dp, abs(g - lag(g) OVER w) AS dg FROM masks WINDOW w AS (PARTITION BY clip, y, x ORDER BY idx)),
-flick AS (SELECT clip, coalesce(avg(greatest(dp - dg, 0)), 0)::DOUBLE AS flicker FROM (SELECT clip, idx, avg(dp) AS dp, avg(dg) AS dg FROM moved GROUP BY ALL) GROUP BY ALL)"""
+flick AS (SELECT clip, coalesce(avg(greatest(dp - dg, 0)) FILTER (dp IS NOT NULL), 0)::DOUBLE AS flicker FROM (SELECT clip, idx, avg(dp) AS dp, avg(dg) AS dg FROM moved GROUP BY ALL) GROUP BY ALL)"""
 
 
 @query(PX + MASKS + FLICKER + " SELECT clip, round(flicker, 6) AS flicker FROM flick")
 def clip_flicker(spark, sf_dir):
-    return six(metrics.flicker(_pairs(spark, sf_dir)), "flicker")
+    return six(metrics.plane_flicker(_plane_pairs(spark, sf_dir)), "flicker")
 
 
 JUMPS = """, areas AS (SELECT clip, idx, count(*) FILTER (v > 0) + 1 AS a FROM px GROUP BY ALL),
@@ -134,7 +134,7 @@ def clip_area_jump(spark, sf_dir):
   SELECT clip, round(avg(iou), 6) AS iou_mean, round(min(iou), 6) AS iou_min, round(avg(f), 6) AS f_mean, round(any_value(flicker), 6) AS flicker, round(any_value(max_jump), 6) AS max_jump
   FROM ious JOIN bound USING (clip, idx) JOIN flick USING (clip) JOIN jumps USING (clip) GROUP BY clip""")
 def clip_summary(spark, sf_dir):
-    return six(metrics.summarize(_pairs(spark, sf_dir), 1), "iou_mean", "iou_min", "f_mean", "flicker", "max_jump")
+    return six(metrics.plane_summary(_plane_pairs(spark, sf_dir), 1), "iou_mean", "iou_min", "f_mean", "flicker", "max_jump")
 
 
 def _coloured(spark, sf_dir) -> DataFrame:
@@ -199,14 +199,15 @@ lab AS (SELECT clip, idx, y, x, min(seed) AS label FROM reach GROUP BY ALL),
 comp AS (SELECT clip, idx, label, count(*) AS area, min(x) AS "left", min(y) AS top, (max(x) - min(x) + 1)::INT AS width, (max(y) - min(y) + 1)::INT AS height FROM lab GROUP BY clip, idx, label)"""
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
-    px = lenses.planes(spark, sf_dir).withColumn("m", (F.col("v") > 0).cast("int"))
-    return components.label(px, lenses.SIDE)
+def _masks(spark, sf_dir) -> DataFrame:
+    """Whole masks of the planes."""
+    mask = F.transform("plane", lambda v: (v > 0).cast("int"))
+    return lenses.plane_blobs(spark, sf_dir).select("clip", "idx", "w", mask.alias("m"))
 
 
 @query(COMPONENTS + """ SELECT clip, idx, label::INT AS label, area, "left", top, width, height FROM comp""")
 def component_stats(spark, sf_dir):
-    return components.statistics(_labelled(spark, sf_dir))
+    return components.of_planes(_masks(spark, sf_dir)).select("clip", "idx", "label", "area", "left", "top", "width", "height")
 
 
 @query(COMPONENTS + """, ref AS (SELECT clip, idx, count(*) AS ref_area FROM px WHERE v > 0 GROUP BY ALL),
@@ -221,10 +222,9 @@ def top3_components(spark, sf_dir):
   held AS (SELECT clip, idx, label, avg(coalesce(s, 0)) AS held FROM lab JOIN prev USING (clip, idx, y, x) GROUP BY ALL)
   SELECT clip, idx, label::INT AS label, area, round(held, 6) AS held, area >= 0.2 * max(area) OVER (PARTITION BY clip, idx) OR held > 0.5 AS kept FROM comp JOIN held USING (clip, idx, label)""")
 def islands(spark, sf_dir):
-    px = lenses.planes(spark, sf_dir).withColumn("m", (F.col("v") > 0).cast("int"))
-    support = metrics.previous(px, "m", "s").select("clip", "idx", "y", "x", "s")
-    kept = components.keep_large(_labelled(spark, sf_dir), 0.2, support)
-    return six(kept.select("clip", "idx", "label", "area", "held", "kept"), "held")
+    before = F.lag("m").over(Window.partitionBy("clip").orderBy("idx"))
+    found = components.of_planes(_masks(spark, sf_dir).withColumn("support", before), 0.2)
+    return six(found.select("clip", "idx", "label", "area", "held", "kept"), "held")
 
 
 # ---- codec, names -------------------------------------------------------------

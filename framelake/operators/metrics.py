@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.operators import kernels
+
 FRAME = ["clip", "idx"]
 
 
@@ -70,11 +76,16 @@ def boundary_f(pairs: DataFrame, tolerance: int = 2) -> DataFrame:
 
 
 def flicker(pairs: DataFrame) -> DataFrame:
-    """Mean over frames of how much more the prediction (p) changes than the truth (g); one frame gives 0."""
+    """Mean over a clip's frames but the first of how much more the prediction (p) changes than the truth (g); one frame gives 0."""
     w = Window.partitionBy("clip", "y", "x").orderBy("idx")
     moved = pairs.withColumn("dp", F.abs(F.col("p") - F.lag("p").over(w))).withColumn("dg", F.abs(F.col("g") - F.lag("g").over(w)))
     by_frame = moved.groupBy(*FRAME).agg(F.avg("dp").alias("dp"), F.avg("dg").alias("dg"))
-    return by_frame.groupBy("clip").agg(F.coalesce(F.avg(F.greatest(F.col("dp") - F.col("dg"), F.lit(0.0))), F.lit(0.0)).alias("flicker"))
+    return by_frame.groupBy("clip").agg(_flicker().alias("flicker"))
+
+
+def _flicker() -> Column:
+    """Of frames with ``dp`` and ``dg``, which a first frame has not."""
+    return F.coalesce(F.avg(F.when(F.col("dp").isNotNull(), F.greatest(F.col("dp") - F.col("dg"), F.lit(0.0)))), F.lit(0.0))
 
 
 def area_jump(px: DataFrame, threshold: float = 0) -> DataFrame:
@@ -99,6 +110,60 @@ def histogram(pixels: DataFrame, bin_: Column) -> DataFrame:
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*FRAME)))
 
 
+# ---- the same from whole planes -----------------------------------------------
+
+
+def _arrays(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[np.ndarray | None, ...]]:
+    """Each row's planes as (height, width) arrays; a null one is None."""
+    widths, found = batch.column("w").to_pylist(), []
+    for c in columns:
+        column = batch.column(c)
+        ends, flat, known = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+        found.append([flat[ends[k] : ends[k + 1]].reshape(-1, w) if known[k] else None for k, w in enumerate(widths)])
+    yield from zip(*found, strict=True)
+
+
+def _typed(frames: DataFrame, rest: str) -> str:
+    types = {f.name: f.dataType.simpleString() for f in frames.schema}
+    return f"clip {types['clip']}, idx {types['idx']}, {rest}"
+
+
+def plane_quality(frames: DataFrame, tolerance: int = 2) -> DataFrame:
+    """(clip, idx, iou, f) of whole masks ``p`` and ``g`` (arrays of 0 and 1, ``w`` wide); a row a frame, no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            out = [(float((p & g).sum() / max((p | g).sum(), 1)) if (p | g).any() else 1.0, kernels.boundary_f(p > 0, g > 0, tolerance)) for p, g in _arrays(batch, ["p", "g"])]
+            columns = [pa.array(c, pa.float64()) for c in zip(*out, strict=True)] or [pa.array([], pa.float64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), *columns], names=["clip", "idx", "iou", "f"])
+
+    return frames.select("clip", "idx", "w", "p", "g").mapInArrow(run, _typed(frames, "iou double, f double"))
+
+
+def plane_changes(frames: DataFrame) -> DataFrame:
+    """(clip, idx, dp, dg, area, jump): mean changes of the masks ``p`` and ``g`` from the frame before and the relative change of p's area + 1; nulls for a first frame.
+
+    One shuffle of a row a frame.
+    """
+    w = Window.partitionBy("clip").orderBy("idx")
+    rows = frames.withColumns({"bp": F.lag("p").over(w), "bg": F.lag("g").over(w)})
+    change = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda s, x: s + x) / F.size(a)
+    area_of = lambda c: F.aggregate(c, F.lit(1).cast("long"), lambda s, x: s + x)
+    return rows.select("clip", "idx", change("p", "bp").alias("dp"), change("g", "bg").alias("dg"), (area_of("p") - 1).alias("area"), (F.abs(area_of("p") - area_of("bp")) / area_of("bp")).alias("jump"))
+
+
+def plane_summary(frames: DataFrame, tolerance: int = 2) -> DataFrame:
+    """``summarize`` from whole planes."""
+    means = plane_quality(frames, tolerance).groupBy("clip").agg(F.avg("iou").alias("iou_mean"), F.min("iou").alias("iou_min"), F.avg("f").alias("f_mean"))
+    moved = plane_changes(frames).groupBy("clip").agg(_flicker().alias("flicker"), F.coalesce(F.max("jump"), F.lit(0.0)).alias("max_jump"))
+    return means.join(moved, "clip")
+
+
+def plane_flicker(frames: DataFrame) -> DataFrame:
+    """``flicker`` from whole planes."""
+    return plane_changes(frames).groupBy("clip").agg(_flicker().alias("flicker"))
+
+
 def colour_bin(b: Column, g: Column, r: Column) -> Column:
     """Bin of 8 x 8 x 8 for 8-bit channels."""
     return (F.shiftright(b, 5) * 8 + F.shiftright(g, 5)) * 8 + F.shiftright(r, 5)

@@ -145,14 +145,6 @@ def tracked(frames: DataFrame, params: follower.Params = follower.Params()) -> D
 QUALITY = "clip string, idx long, iou double, f double, confidence double, low boolean, lost boolean"
 
 
-def boundary_f(mask: np.ndarray, truth: np.ndarray, tolerance: int = 2) -> float:
-    """Boundary F of two masks (see ``metrics.boundary_f``), without a row a pixel."""
-    edges = [m & ~(kernels.erode(m.astype(float), 3) > 0.5) for m in (mask, truth)]
-    near = [kernels.dilate(e.astype(np.int8), 2 * tolerance + 1) > 0 for e in edges]
-    precision, recall = ((edges[k] & near[1 - k]).sum() / max(edges[k].sum(), 1) for k in (0, 1))
-    return float(2 * precision * recall / (precision + recall)) if precision + recall else 0.0
-
-
 def followed(footage: DataFrame, params: follower.Params = follower.Params()) -> DataFrame:
     """How near the tracker stays to the truth of footage (clip, idx, w, h, bgr, truth): IoU and boundary F of each frame (see QUALITY).
 
@@ -174,7 +166,7 @@ def followed(footage: DataFrame, params: follower.Params = follower.Params()) ->
         for k in range(1, table.num_rows):
             image, truth = at(k)
             got = subject.follow(image)
-            quality = follower.iou(got.alpha, truth), boundary_f(follower.on(got.alpha), follower.on(truth))
+            quality = follower.iou(got.alpha, truth), kernels.boundary_f(follower.on(got.alpha), follower.on(truth))
             out.append((table.column("clip")[k].as_py(), table.column("idx")[k].as_py(), *(round(q, 6) for q in quality), round(got.confidence, 6), got.low, got.lost))
         columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from framelake.operators import components, kernels, plane
+from framelake.operators import components, kernels, metrics, plane
 from framelake.plans import lenses
 
 
@@ -165,3 +165,75 @@ def test_resample_is_sample_on_a_grid():
     a = np.random.default_rng(0).random((7, 9))
     fy, fx = np.linspace(-1, 8, 13), np.linspace(-2, 10, 17)
     np.testing.assert_allclose(kernels.resample(a, fy, fx), kernels.sample(a, *np.meshgrid(fy, fx, indexing="ij")), atol=1e-12)
+
+
+# ---- whole planes and the pixel lens ------------------------------------------
+
+
+def both_lenses(spark):
+    """Random masks p and g of two clips, one with a single frame, as pixels and as planes."""
+    rng = np.random.default_rng(11)
+    px, planes = [], []
+    for clip, n in ((0, 4), (1, 1), (2, 3)):
+        for idx in range(n):
+            p, g = ((kernels.gaussian(rng.random((9, 12)), 1.0) > 0.5).astype(int) * (clip != 2 or idx != 1) for _ in range(2))
+            px += [(clip, idx, y, x, int(p[y, x]), int(g[y, x])) for y in range(9) for x in range(12)]
+            planes.append((clip, idx, 12, p.reshape(-1).tolist(), g.reshape(-1).tolist()))
+    return spark.createDataFrame(px, "clip int, idx long, y int, x int, p int, g int"), spark.createDataFrame(planes, "clip int, idx long, w int, p array<int>, g array<int>")
+
+
+def as_rows(df):
+    return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+
+
+def test_plane_metrics_equal_the_pixel_forms(spark):
+    px, planes = both_lenses(spark)
+    quality = metrics.plane_quality(planes, 1)
+    assert as_rows(quality.select("clip", "idx", "f")) == as_rows(metrics.boundary_f(px, 1).select("clip", "idx", "f"))
+    assert as_rows(quality.select("clip", "idx", "iou")) == as_rows(metrics.iou(px, F.col("p") == 1, F.col("g") == 1).select("clip", "idx", "iou"))
+    assert as_rows(metrics.plane_flicker(planes)) == as_rows(metrics.flicker(px))
+    columns = ["clip", "iou_mean", "iou_min", "f_mean", "flicker", "max_jump"]
+    assert as_rows(metrics.plane_summary(planes, 1).select(*columns)) == as_rows(metrics.summarize(px, 1).select(*columns))
+    plan = metrics.plane_changes(planes)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_flicker_leaves_the_first_frame_out(spark):
+    rows = [(0, i, 2, [i % 2, 0], [0, 0]) for i in range(3)] + [(1, 0, 2, [1, 0], [1, 0])]
+    got = metrics.plane_flicker(spark.createDataFrame(rows, "clip int, idx long, w int, p array<int>, g array<int>"))
+    assert {r.clip: r.flicker for r in got.collect()} == {0: 0.5, 1: 0.0}
+
+
+def test_plane_components_equal_the_pixel_forms(spark):
+    px, planes = both_lenses(spark)
+    labelled = components.label(px.withColumn("m", F.col("p")), 12)
+    names = ["clip", "idx", "label", "area", "left", "top", "width", "height"]
+    found = components.of_planes(planes.withColumnRenamed("p", "m").withColumn("support", F.when(F.col("idx") > 0, F.col("g"))), 0.5)
+    assert as_rows(found.select(*names)) == as_rows(components.statistics(labelled).select(*names))
+    support = px.filter("idx > 0").select("clip", "idx", "y", "x", F.col("g").alias("s"))
+    kept = components.keep_large(labelled, 0.5, support)
+    assert as_rows(found.select("clip", "idx", "label", "held", "kept")) == as_rows(kept.select("clip", "idx", "label", "held", "kept"))
+    assert components.of_planes(planes.limit(0).withColumnRenamed("p", "m")).count() == 0
+
+
+@pytest.mark.parametrize("before, now, want", [(100, 100, 1.0), (100, 200, None), (100, 40, None), (40, 200, 1.0)])
+def test_area_is_held(before, now, want):
+    old, new = (np.arange(400).reshape(20, 20) < n for n in (before, now))
+    out = kernels.held_area(new.astype(float), old.astype(float), kernels.StabilizerParams())
+    ratio = now / before
+    excess = max(ratio / 1.45, 0.65 / ratio)
+    share = 0.0 if want or excess <= 1 else min(0.9, max(0.3, 1 - 1 / excess))
+    assert np.allclose(out, share * old + (1 - share) * new) and (share > 0) == (want is None)
+
+
+def test_islands_take_their_halo():
+    alpha = np.zeros((12, 20))
+    alpha[2:8, 2:8] = 1.0
+    alpha[5, 12] = 1.0
+    alpha[4:7, 11:14] = np.maximum(alpha[4:7, 11:14], 0.4)
+    alpha[4, 9] = 0.3  # near the large one only
+    out = kernels.remove_islands(alpha, None, 0.1)
+    assert out[5, 12] == 0 and out[4:7, 11:14].max() == 0 and out[4, 9] == 0.3 and (out[2:8, 2:8] == 1).all()
+    support = np.zeros((12, 20))
+    support[5, 12] = 1.0
+    assert (kernels.remove_islands(alpha, support, 0.1) == alpha).all() and (kernels.remove_islands(out, None, 0.1) == out).all()

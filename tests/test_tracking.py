@@ -127,7 +127,7 @@ def test_boundary_f_equals_the_pixel_form(spark):
     p, g = (kernels.gaussian(rng.random((20, 30)), 2.0) > 0.5 for _ in range(2))
     rows = [(0, 0, y, x, int(p[y, x]), int(g[y, x])) for y in range(20) for x in range(30)]
     want = metrics.boundary_f(spark.createDataFrame(rows, "clip int, idx long, y int, x int, p int, g int"), 2).first().f
-    assert track.boundary_f(p, g) == pytest.approx(want)
+    assert kernels.boundary_f(p, g) == pytest.approx(want)
 
 
 def disc(x, y, r=12, shape=(60, 80)):
