@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import codec, scalars
 from framelake.operators import components, edge, metrics, plane, relational, sequence
-from framelake.plans import lenses, track
+from framelake.plans import lenses, session, track
 from framelake.sources import matte_store, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -445,6 +445,28 @@ def reacquire_pick(spark, sf_dir):
     return relational.reacquire(rows, ["clip"], "event_id").select("clip", "event_id", "conf", "leak")
 
 
+@query(FRAMES + """, m AS (SELECT * FROM fr WHERE event_id % 3 > 0)
+  SELECT f.clip, count(*) AS frames, (SELECT count(*) FROM m WHERE m.clip = f.clip) AS cached, coalesce(string_agg(f.idx::VARCHAR, ',' ORDER BY f.idx) FILTER (f.flags = 1), '') AS keyframes,
+    coalesce(string_agg(f.idx::VARCHAR, ',' ORDER BY f.idx) FILTER (f.flags = 2 AND f.event_id % 3 > 0), '') AS low_confidence FROM fr f GROUP BY f.clip""")
+def session_status(spark, sf_dir):
+    frames = _frames(spark, sf_dir)
+    found = session.status(frames, frames.filter("flags = 1"), frames.filter("event_id % 3 > 0"))
+    text = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",").alias(c)
+    return found.select("clip", "frames", "cached", text("keyframes"), text("low_confidence"))
+
+
+@query(FRAMES + """, gone AS (SELECT DISTINCT clip FROM fr WHERE event_id % 50 = 0), made AS (SELECT clip, idx, value + 1 AS value FROM fr WHERE event_id % 4 = 0)
+  SELECT f.clip, f.idx, coalesce(made.value, f.value) AS value, CASE WHEN made.clip IS NULL THEN f.flags ELSE 1 END AS flags FROM fr f LEFT JOIN made ON made.clip = f.clip AND made.idx = f.idx
+  WHERE f.clip NOT IN (SELECT clip FROM gone)""")
+def session_commit(spark, sf_dir):
+    """Every fourth frame committed by hand, then some clips reset."""
+    frames = _frames(spark, sf_dir)
+    keys = frames.filter("flags = 1").select("clip", "idx", F.lit("manual").alias("kind"))
+    made = frames.filter("event_id % 4 = 0").select("clip", "idx", (F.col("value") + 1).alias("value"))
+    keys, mattes = session.commit(keys, frames.select("clip", "idx", "value", "flags"), made, manual=True)
+    return session.reset(keys, mattes, frames.filter("event_id % 50 = 0").select("clip").distinct())[1]
+
+
 @query(FRAMES + """, w AS (SELECT clip, idx, flags = 1 AS manual, 1 AS version, value FROM fr UNION ALL SELECT clip, idx, false, 2, value + 1 FROM fr WHERE idx % 2 = 0)
   SELECT clip, idx, manual, version, value FROM w QUALIFY row_number() OVER (PARTITION BY clip, idx ORDER BY manual DESC, version DESC) = 1""")
 def upsert_precedence(spark, sf_dir):

@@ -140,6 +140,20 @@ def resize(a: np.ndarray, height: int, width: int) -> np.ndarray:
     return resample(a, (np.arange(height) + 0.5) * a.shape[0] / height - 0.5, (np.arange(width) + 0.5) * a.shape[1] / width - 0.5)
 
 
+def resize_area(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over the source area of each target pixel; a direction that grows is interpolated instead."""
+
+    def shares(full: int, size: int) -> np.ndarray:
+        """(size, full): how much of each source pixel lies in a target one, a row adding up to 1."""
+        edges = np.arange(size + 1) * full / size
+        inside = np.minimum(edges[1:, None], np.arange(1, full + 1)) - np.maximum(edges[:-1, None], np.arange(full))
+        return np.maximum(inside, 0) * size / full
+
+    rows, columns = min(height, a.shape[0]), min(width, a.shape[1])
+    out = shares(a.shape[0], rows) @ a @ shares(a.shape[1], columns).T
+    return out if (rows, columns) == (height, width) else resize(out, height, width)
+
+
 def upsample(a: np.ndarray, factor: int, height: int, width: int) -> np.ndarray:
     return resample(a, (np.arange(height) + 0.5) / factor - 0.5, (np.arange(width) + 0.5) / factor - 0.5)
 

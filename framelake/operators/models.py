@@ -93,38 +93,73 @@ class GuidedLikelihood:
 
 
 class OnnxEngine:
-    """Encoder and decoder sessions, loaded at first use; the candidate of the best score, ties to the first."""
+    """Encoder and decoder sessions, loaded at first use; ``sessions`` can be given instead.
 
-    def __init__(self, encoder: str, decoder: str, side: int = 1024):
-        self.paths, self.side, self.sessions = (encoder, decoder), side, None
+    An image is encoded once for as many prompts as come for it.  The decoder gets
+    points and box corners in the encoder's pixels, a padding point if there are
+    none, and the guide as a mask of logits; of these what its graph has inputs for.
+    """
 
-    def predict(self, image: np.ndarray, prompts: Prompts) -> tuple[np.ndarray, float]:
+    #: Labels of a box's corners, and of a point that stands for none.
+    CORNERS, PADDING = (2, 3), -1
+    MASK_SIDE, MASK_LOGIT = 256, 6.0
+    MEAN, DEVIATION = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
+    def __init__(self, encoder: str = "", decoder: str = "", side: int = 1024, sessions=None):
+        self.paths, self.side, self.sessions = (encoder, decoder), side, sessions
+        self.seen: np.ndarray | None = None
+        self.features: dict[str, np.ndarray] = {}
+
+    def encode(self, image: np.ndarray) -> None:
+        """Keep the features of an image (grey, or blue, green, red; 0 .. 255); of the one seen last they are there already."""
+        if self.seen is not None and np.array_equal(self.seen, image):
+            return
         if self.sessions is None:
             import onnxruntime
 
             self.sessions = [onnxruntime.InferenceSession(p, providers=onnxruntime.get_available_providers()) for p in self.paths]
-        encode, decode = self.sessions
-        square = kernels.resize(image, self.side, self.side) / 255
-        mean, deviation = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
-        planes = ((square[None] - mean[:, None, None]) / deviation[:, None, None])[None].astype(np.float32)
-        features = encode.run(None, {encode.get_inputs()[0].name: planes})
-        names = {o.name: v for o, v in zip(encode.get_outputs(), features, strict=True)}
-        scale = np.array([self.side / image.shape[1], self.side / image.shape[0]])
-        points = [(x, y, label) for x, y, label in prompts.points]
-        if prompts.box:
-            points += [(*prompts.box[:2], 2), (*prompts.box[2:], 3)]
-        coords = np.array([[p[:2] for p in points]], np.float32) * scale.astype(np.float32)
-        given = {**names, "point_coords": coords, "point_labels": np.array([[p[2] for p in points]], np.float32)}
-        masks, scores = decode.run(None, {i.name: given[i.name] for i in decode.get_inputs() if i.name in given})[:2]
-        best = int(np.argmax(scores[0]))
-        return (kernels.resize(masks[0, best].astype(float), *image.shape) > 0).astype(float), float(scores[0, best])
+        encoder = self.sessions[0]
+        colours = np.repeat(image[..., None], 3, axis=2) if image.ndim == 2 else image[..., ::-1]
+        square = np.stack([kernels.resize(colours[..., c], self.side, self.side) for c in range(3)], axis=-1) / 255
+        planes = ((square - self.MEAN) / self.DEVIATION).transpose(2, 0, 1)[None].astype(np.float32)
+        values = encoder.run(None, {encoder.get_inputs()[0].name: planes})
+        self.features, self.seen = {o.name: v for o, v in zip(encoder.get_outputs(), values, strict=True)}, image.copy()
+
+    def inputs(self, shape: tuple[int, int], prompts: Prompts) -> dict[str, np.ndarray]:
+        """What the prompts say, by the names of a decoder's inputs."""
+        marks = [(x, y, float(bool(label))) for x, y, label in prompts.points]
+        if prompts.box is not None:
+            marks += [(*prompts.box[2 * k : 2 * k + 2], float(label)) for k, label in enumerate(self.CORNERS)]
+        marks = marks or [(0.0, 0.0, float(self.PADDING))]
+        scale = np.array([self.side / shape[1], self.side / shape[0], 1.0])
+        coords = (np.array(marks) * scale).astype(np.float32)[None]
+        guide = np.zeros((self.MASK_SIDE, self.MASK_SIDE)) if prompts.guide is None else self.MASK_LOGIT * (2 * kernels.resize_area(prompts.guide, self.MASK_SIDE, self.MASK_SIDE) - 1)
+        return {
+            "point_coords": coords[..., :2], "point_labels": coords[..., 2],
+            "mask_input": guide[None, None].astype(np.float32), "has_mask_input": np.array([float(prompts.guide is not None)], np.float32),
+        }
+
+    def predict(self, image: np.ndarray, prompts: Prompts) -> tuple[np.ndarray, float]:
+        """The candidate of the best score, of equals the first; with a guide, half of the score is the overlap with it."""
+        self.encode(image)
+        decoder = self.sessions[1]
+        given = {**self.features, **self.inputs(image.shape[:2], prompts)}
+        logits, sure = (v[0] for v in decoder.run(None, {i.name: given[i.name] for i in decoder.get_inputs()})[:2])
+        score = sure
+        if prompts.guide is not None:
+            guide = kernels.resize_area(prompts.guide, *logits.shape[1:]) > 0.5
+            overlap = (logits > 0) & guide
+            score = 0.5 * sure + 0.5 * overlap.sum(axis=(1, 2)) / (((logits > 0) | guide).sum(axis=(1, 2)) + 1e-6)
+        best = int(np.argmax(score))
+        wide = kernels.resize(logits[best].astype(float), *image.shape[:2])
+        return 1 / (1 + np.exp(-np.clip(wide, -30, 30))), float(np.clip(sure[best], 0, 1))
 
 
 OUT = "clip int, idx long, w int, h int, alpha binary, confidence double"
 
 
 def segment(frames: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
-    """Mattes of frames (clip, idx, w, h, plane, points, box); without prompts the automatic ones are used."""
+    """Mattes of frames (clip, idx, w, h, plane, points, box and, if there, guide: alpha bytes); without prompts the automatic ones are used."""
 
     def run(batches):
         engine = make_engine()
@@ -134,7 +169,8 @@ def segment(frames: DataFrame, make_engine: Callable[[], Engine]) -> DataFrame:
                 image = np.asarray(r["plane"], np.float64).reshape(r["h"], r["w"])
                 points = tuple((p["x"], p["y"], p["label"]) for p in r.get("points") or ())
                 box = tuple(r["box"][c] for c in ("x0", "y0", "x1", "y1")) if r.get("box") else None
-                prompts = Prompts(points, box) if points or box else automatic(image)
+                guide = np.frombuffer(r["guide"], np.uint8).reshape(image.shape) / 255 if r.get("guide") else None
+                prompts = Prompts(points, box, guide) if points or box or guide is not None else automatic(image)
                 mask, conf = engine.predict(image, prompts)
                 alpha = np.floor(np.clip(mask, 0, 1) * 255 + 0.5).astype(np.uint8)
                 out.append({"clip": r["clip"], "idx": r["idx"], "w": r["w"], "h": r["h"], "alpha": alpha.tobytes(), "confidence": conf})

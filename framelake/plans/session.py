@@ -9,13 +9,14 @@ jobs that end at one are run.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.operators import follower, relational
+from framelake.operators import follower, models, relational
 
 PASS = "clip int, idx long, a long, b long, kind string, value array<double>, conf double, low boolean, lost boolean"
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), pa.bool_())
@@ -82,6 +83,54 @@ def run(frames: DataFrame, keys: DataFrame, direction: str = "both", changed: Da
     return made.unionByName(manual)
 
 
+# ---- verbs on keyframes and mattes --------------------------------------------
+
+
+KEYFRAMES = "clip int, idx long, kind string"
+MANUAL, LOW = 1, 2
+
+
+def _written(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those of the same frame."""
+    return relational.without(old, new, ["clip", "idx"]).unionByName(new)
+
+
+def commit(keys: DataFrame, mattes: DataFrame, made: DataFrame, manual: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(keyframes, mattes) after frames' mattes (clip, idx, w, h, alpha, confidence) became keyframes; the last write of a frame counts."""
+    kind = made.select("clip", "idx", F.lit("manual" if manual else "ai").alias("kind"))
+    rows = made.withColumn("flags", F.lit(MANUAL if manual else 0)).select(*mattes.columns)
+    return _written(keys, kind), _written(mattes, rows)
+
+
+def refine(frames: DataFrame, keys: DataFrame, mattes: DataFrame, clicks: DataFrame, make_engine: Callable[[], models.Engine]) -> tuple[DataFrame, DataFrame]:
+    """(keyframes, mattes) after clicked frames (clip, idx, points, box) were segmented anew, guided by their mattes, as manual keyframes.
+
+    A correction is sure at .9 at least.  A frame without a matte is segmented by its clicks alone.
+    """
+    guides = mattes.select("clip", "idx", F.col("alpha").alias("guide"))
+    asked = frames.select("clip", "idx", "w", "h", "plane").join(clicks.select("clip", "idx", "points", "box"), ["clip", "idx"]).join(guides, ["clip", "idx"], "left")
+    made = models.segment(asked, make_engine).withColumn("confidence", F.greatest("confidence", F.lit(0.9)))
+    return commit(keys, mattes, made, manual=True)
+
+
+def reset(keys: DataFrame, mattes: DataFrame, clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyframes, mattes) without those of ``clips``."""
+    return relational.without(keys, clips, ["clip"]), relational.without(mattes, clips, ["clip"])
+
+
+def status(frames: DataFrame, keys: DataFrame, mattes: DataFrame) -> DataFrame:
+    """Per clip with frames: how many, how many have a matte, the keyframes, and the frames of low confidence, in order.
+
+    Lists are of keyframes and doubtful frames of one clip, as a person goes through them.
+    """
+    count = lambda df, name: df.groupBy("clip").agg(F.count_distinct("idx").alias(name))
+    listed = lambda df, name: df.groupBy("clip").agg(F.array_sort(F.collect_set("idx")).alias(name))
+    low = mattes.filter(F.col("flags").bitwiseAND(LOW) != 0)
+    out = count(frames, "frames").join(count(mattes, "cached"), "clip", "left").join(listed(keys, "keyframes"), "clip", "left").join(listed(low, "low_confidence"), "clip", "left")
+    none = F.array().cast(frames.select(F.array("idx").alias("a")).schema["a"].dataType)
+    return out.withColumns({"cached": F.coalesce("cached", F.lit(0)), "keyframes": F.coalesce("keyframes", none), "low_confidence": F.coalesce("low_confidence", none)})
+
+
 def signature(**settings) -> str:
     """What a track's results depend on; equal signatures and no missing frames mean there is nothing to do."""
     return hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:16]

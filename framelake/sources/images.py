@@ -10,6 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framelake.operators import kernels
+from framelake.sources import matte_store
+
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
@@ -25,6 +28,43 @@ def png(plane: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
+def _placed(files, folder: str, idx: int, data: bytes) -> str:
+    """Write a file by way of a rename; its path."""
+    files.create_dir(folder, recursive=True)
+    draft, path = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{idx:06d}.png"
+    with files.open_output_stream(draft) as f:
+        f.write(data)
+    files.move(draft, path)
+    return path
+
+
+def write_cutouts(frames: DataFrame, mattes: DataFrame, out_dir: str, params: kernels.EdgeParams = kernels.EdgeParams(), kinds: tuple[str, ...] = ("alpha", "cutout")) -> DataFrame:
+    """Render frames (clip, idx, w, h, bgr) with their mattes (clip, idx, mw, mh, alpha) to ``<clip>/<kind>/<idx>.png`` of 16 bits.
+
+    ``alpha`` is the grey alpha, ``cutout`` the colours with it, not multiplied.  Returns (clip, idx, kind, path); a
+    frame without a matte is skipped and has one row without a path.
+    """
+    schema = pa.schema([("clip", pa.string()), ("idx", pa.int64()), ("kind", pa.string()), ("path", pa.string())])
+    sixteen = lambda a: np.floor(np.clip(a, 0, 1) * 65535 + 0.5).astype(np.uint16)
+
+    def run(batches):
+        files, base = matte_store.filesystem(out_dir)
+        for batch in batches:
+            for r in batch.to_pylist():
+                row = {"clip": str(r["clip"]), "idx": r["idx"]}
+                out = [{**row, "kind": None, "path": None}]
+                if r["alpha"] is not None:
+                    matte = np.frombuffer(r["alpha"], np.uint8).reshape(r["mh"], r["mw"]).astype(float)
+                    image = np.frombuffer(r["bgr"], np.uint8).reshape(r["h"], r["w"], 3)[..., ::-1] / 255
+                    rendered = sixteen(kernels.cutout(matte, image, params))
+                    planes = {"alpha": rendered[..., 3], "cutout": rendered}
+                    out = [{**row, "kind": k, "path": _placed(files, f"{base}/{r['clip']}/{k}", r["idx"], png(np.ascontiguousarray(planes[k])))} for k in kinds]
+                yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    joined = frames.select("clip", "idx", "w", "h", "bgr").join(mattes.select("clip", "idx", "mw", "mh", "alpha"), ["clip", "idx"], "left")
+    return joined.mapInArrow(run, "clip string, idx long, kind string, path string")
+
+
 def write_sequence(frames: DataFrame, out_dir: str, bits: int = 16) -> DataFrame:
     """Write alpha planes (clip, idx, w, h, plane of 0 .. 1) as ``<clip>/<idx>.png``; returns (clip, idx, path, n_bytes).
 
@@ -35,20 +75,13 @@ def write_sequence(frames: DataFrame, out_dir: str, bits: int = 16) -> DataFrame
     schema = pa.schema([("clip", pa.string()), ("idx", pa.int64()), ("path", pa.string()), ("n_bytes", pa.int64())])
 
     def run(batches):
-        from pyarrow import fs
-
-        files, base = fs.FileSystem.from_uri(out_dir) if "://" in out_dir else (fs.LocalFileSystem(), out_dir)
+        files, base = matte_store.filesystem(out_dir)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 plane = np.floor(np.clip(np.asarray(r["plane"], np.float64), 0, 1) * top + 0.5).astype(kind).reshape(r["h"], r["w"])
-                data, folder = png(plane), f"{base}/{r['clip']}"
-                files.create_dir(folder, recursive=True)
-                draft, path = f"{folder}/.{uuid.uuid4().hex}", f"{folder}/{r['idx']:06d}.png"
-                with files.open_output_stream(draft) as f:
-                    f.write(data)
-                files.move(draft, path)
-                out.append({"clip": str(r["clip"]), "idx": r["idx"], "path": path, "n_bytes": len(data)})
+                data = png(plane)
+                out.append({"clip": str(r["clip"]), "idx": r["idx"], "path": _placed(files, f"{base}/{r['clip']}", r["idx"], data), "n_bytes": len(data)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return frames.select("clip", "idx", "w", "h", "plane").mapInArrow(run, "clip string, idx long, path string, n_bytes long")

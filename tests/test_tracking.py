@@ -232,3 +232,95 @@ def test_modes():
     assert models.starting_prompts("person", image, lambda _: []).box == (50, 25, 150, 75) == models.starting_prompts("object", image).box
     with pytest.raises(ValueError):
         models.starting_prompts("cloud", image)
+
+
+class Node:
+    def __init__(self, name):
+        self.name = name
+
+
+class FakeSession:
+    """Stands for an ONNX session: remembers what it was run with."""
+
+    def __init__(self, inputs, outputs, answer):
+        self.names, self.outputs, self.answer, self.runs = inputs, outputs, answer, []
+
+    def get_inputs(self):
+        return [Node(n) for n in self.names]
+
+    def get_outputs(self):
+        return [Node(n) for n in self.outputs]
+
+    def run(self, _, given):
+        self.runs.append(given)
+        return self.answer
+
+
+def test_onnx_engine():
+    logits = np.full((1, 2, 8, 8), -4.0, np.float32)
+    logits[0, 0, :, :4], logits[0, 1, :, 4:] = 4.0, 4.0
+    encoder = FakeSession(["image"], ["embed"], [np.zeros((1, 3))])
+    decoder = FakeSession(["embed", "point_coords", "point_labels", "mask_input", "has_mask_input"], ["masks", "ious"], [logits, np.array([[0.8, 0.7]], np.float32)])
+    engine = models.OnnxEngine(side=64, sessions=[encoder, decoder])
+    image = np.arange(32 * 16 * 3, dtype=float).reshape(16, 32, 3) % 255
+    mask, sure = engine.predict(image, models.Prompts(points=((16, 8, 1), (0, 0, 0)), box=(8, 4, 24, 12)))
+    assert mask.shape == (16, 32) and mask[:, :10].min() > 0.5 > mask[:, 20:].max() and sure == pytest.approx(0.8)
+    given = decoder.runs[0]
+    assert given["point_coords"].tolist() == [[[32, 32], [0, 0], [16, 16], [48, 48]]] and given["point_labels"].tolist() == [[1, 0, 2, 3]] and given["has_mask_input"].tolist() == [0]
+    guide = np.zeros((16, 32))
+    guide[:, 16:] = 1
+    mask, sure = engine.predict(image.copy(), models.Prompts(guide=guide))
+    assert mask[:, 20:].min() > 0.5 and sure == pytest.approx(0.7)  # by the overlap
+    given = decoder.runs[1]
+    assert given["point_labels"].tolist() == [[-1]] and given["mask_input"].shape == (1, 1, 256, 256) and given["mask_input"][0, 0, 0].tolist()[::255] == [-6, 6]
+    assert len(encoder.runs) == 1  # of one image, once
+    engine.predict(image + 1, models.Prompts())
+    assert len(encoder.runs) == 2 and encoder.runs[0]["image"].shape == (1, 3, 64, 64)
+
+
+def test_resize_area():
+    a = np.arange(24, dtype=float).reshape(4, 6)
+    assert np.allclose(kernels.resize_area(a, 2, 3), kernels.downsample(a, 2)) and np.allclose(kernels.resize_area(a, 4, 6), a)
+    assert np.allclose(kernels.resize_area(a, 3, 4).mean(), a.mean()) and kernels.resize_area(a, 8, 3).shape == (8, 3)
+
+
+def test_commit_and_refine(spark):
+    from framelake.plans import session
+
+    rows = frames(spark, 3)
+    alpha = F.transform("plane", lambda v: F.when(v > 127, 255).otherwise(0))
+    packed = F.expr("unhex(array_join(transform(a, v -> lpad(hex(v), 2, '0')), ''))")
+    mattes = rows.withColumn("a", alpha).select("clip", "idx", "w", "h", packed.alias("alpha"), F.lit(0.4).alias("confidence"), F.lit(2).alias("flags"))
+    keys = spark.createDataFrame([(0, 0, "ai")], session.KEYFRAMES)
+    point = F.array(F.struct(F.lit(25.0).alias("x"), F.lit(30.0).alias("y"), F.lit(1).alias("label")))
+    clicks = spark.createDataFrame([(0, 0), (0, 2)], "clip int, idx long").withColumn("points", point).withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
+    new_keys, new = session.refine(rows, keys, mattes, clicks, models.GuidedLikelihood)
+    assert sorted(map(tuple, new_keys.collect())) == [(0, 0, "manual"), (0, 2, "manual")]
+    got = {r.idx: r for r in new.collect()}
+    assert sorted(got) == [0, 1, 2] and [got[i].flags for i in range(3)] == [1, 2, 1] and [got[i].confidence for i in range(3)] == [0.9, 0.4, 0.9]
+    old = {r.idx: r for r in mattes.collect()}
+    assert follower.iou(np.frombuffer(got[2].alpha, np.uint8) / 255, np.frombuffer(old[2].alpha, np.uint8) / 255) > 0.8
+    state = session.status(rows, new_keys, new).first()
+    assert (state.frames, state.cached, state.keyframes, state.low_confidence) == (3, 3, [0, 2], [1])
+    none = session.reset(new_keys, new, spark.createDataFrame([(0,)], "clip int"))
+    assert [df.count() for df in none] == [0, 0]
+    empty = session.status(rows, *none).first()
+    assert (empty.frames, empty.cached, empty.keyframes, empty.low_confidence) == (3, 0, [], [])
+
+
+def test_cutouts(spark, tmp_path):
+    import struct
+    import zlib
+
+    from framelake.sources import images
+
+    bgr = bytes([10, 120, 250] * 12)
+    clips = spark.createDataFrame([("c", 0, 4, 3, bgr), ("c", 1, 4, 3, bgr)], "clip string, idx long, w int, h int, bgr binary")
+    mattes = spark.createDataFrame([("c", 0, 4, 3, bytes([255] * 6 + [0] * 6))], "clip string, idx long, mw int, mh int, alpha binary")
+    got = sorted((r.idx, r.kind or "", r.path) for r in images.write_cutouts(clips, mattes, f"file://{tmp_path}/x", kernels.EdgeParams(refine=0)).collect())
+    assert [g[:2] for g in got] == [(0, "alpha"), (0, "cutout"), (1, "")] and got[2][2] is None
+    data = (tmp_path / "x" / "c" / "cutout" / "000000.png").read_bytes()
+    assert struct.unpack(">IIBB", data[16:26]) == (4, 3, 16, 6)
+    size = struct.unpack(">I", data[33:37])[0]
+    lines = np.frombuffer(zlib.decompress(data[41 : 41 + size]), np.uint8).reshape(3, -1)[:, 1:].copy().view(">u2").reshape(3, 4, 4)
+    assert (lines[0, 0, :3] == np.floor(np.array([250, 120, 10]) / 255 * 65535 + 0.5)).all() and lines[0, 0, 3] == 65535 and lines[2, 3, 3] == 0
