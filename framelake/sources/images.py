@@ -38,10 +38,10 @@ def _placed(files, folder: str, idx: int, data: bytes) -> str:
     return path
 
 
-def write_cutouts(frames: DataFrame, mattes: DataFrame, out_dir: str, params: kernels.EdgeParams = kernels.EdgeParams(), kinds: tuple[str, ...] = ("alpha", "cutout")) -> DataFrame:
+def write_cutouts(frames: DataFrame, mattes: DataFrame, out_dir: str, params: kernels.EdgeParams = kernels.EdgeParams(), kinds: tuple[str, ...] = ("alpha", "cutout"), premultiply: bool = False) -> DataFrame:
     """Render frames (clip, idx, w, h, bgr) with their mattes (clip, idx, mw, mh, alpha) to ``<clip>/<kind>/<idx>.png`` of 16 bits.
 
-    ``alpha`` is the grey alpha, ``cutout`` the colours with it, not multiplied.  Returns (clip, idx, kind, path); a
+    ``alpha`` is the grey alpha, ``cutout`` the colours with it, multiplied by it if asked for.  Returns (clip, idx, kind, path); a
     frame without a matte is skipped and has one row without a path.
     """
     schema = pa.schema([("clip", pa.string()), ("idx", pa.int64()), ("kind", pa.string()), ("path", pa.string())])
@@ -56,7 +56,10 @@ def write_cutouts(frames: DataFrame, mattes: DataFrame, out_dir: str, params: ke
                 if r["alpha"] is not None:
                     matte = np.frombuffer(r["alpha"], np.uint8).reshape(r["mh"], r["mw"]).astype(float)
                     image = np.frombuffer(r["bgr"], np.uint8).reshape(r["h"], r["w"], 3)[..., ::-1] / 255
-                    rendered = sixteen(kernels.cutout(matte, image, params))
+                    rgba = kernels.cutout(matte, image, params)
+                    if premultiply:
+                        rgba[..., :3] *= rgba[..., 3:]
+                    rendered = sixteen(rgba)
                     planes = {"alpha": rendered[..., 3], "cutout": rendered}
                     out = [{**row, "kind": k, "path": _placed(files, f"{base}/{r['clip']}/{k}", r["idx"], png(np.ascontiguousarray(planes[k])))} for k in kinds]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
