@@ -147,10 +147,12 @@ def plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     joined = runtime.stage(summed.join(table, of_source).drop("name"), "streams")
     # the last epoch takes whole documents while they fit, then the one whose size comes nearest to what is left
     filled = joined.groupBy("source").agg(F.coalesce(F.max(F.when(end <= F.col("rest"), end)), F.lit(0)).alias("filled")).withColumnRenamed("source", "name")
+    filled = runtime.stage(filled, "filled")  # written, its size is known before the join is planned
     left = F.col("rest") - F.col("filled")
     gap = F.abs(left - F.col("size"))
     with_left = joined.join(filled, of_source).drop("name")
     last = with_left.filter((end > F.col("rest")) & (gap < left)).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "key", "doc_id", "before")).alias("last")).withColumnRenamed("source", "name")
+    last = runtime.stage(last, "last")
     chosen = with_left.join(last, of_source, "left").drop("name")
     is_last = F.struct("key", "doc_id", "before").eqNullSafe(F.struct("last.key", "last.doc_id", "last.before")) & F.col("last").isNotNull()
     copies = (F.col("epochs") + F.when((F.col("rest") > 0) & ((end <= F.col("rest")) | is_last), 1).otherwise(0)).cast("int")
