@@ -13,10 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import follower, models, relational
+from framelake.plans import track
 
 PASS = "clip int, idx long, a long, b long, kind string, value array<double>, conf double, low boolean, lost boolean"
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()), pa.float64(), pa.bool_(), pa.bool_())
@@ -49,16 +51,15 @@ def follow(frames: DataFrame, keys: DataFrame, jobs: DataFrame, params: follower
     rows = asked.join(frames.select("clip", "idx", "w", "h", "plane"), ["clip", "idx"]).join(keys.select("clip", F.col("idx").alias("start"), "alpha"), ["clip", "start"])
 
     def run(table: pa.Table) -> pa.Table:
-        first = {c: table.column(c)[0].as_py() for c in ("clip", "a", "b", "kind", "way", "w", "h", "alpha")}
-        planes = dict(zip(table.column("idx").to_pylist(), table.column("plane").to_pylist(), strict=True))
-        shape = (first["h"], first["w"])
-        order = sorted(planes, reverse=first["way"] < 0)
-        image = lambda i: np.asarray(planes[i], np.float64).reshape(shape)
-        subject = follower.Follower(image(order[0]), np.asarray(first["alpha"], np.float64).reshape(shape), params)
-        out = []
-        for i in order[1:]:
-            got = subject.follow(image(i))
-            out.append((first["clip"], i, first["a"], first["b"], first["kind"], got.alpha.reshape(-1).tolist(), got.confidence, got.low, got.lost))
+        first = {c: table.column(c)[0].as_py() for c in ("clip", "a", "b", "kind", "way", "w", "h")}
+        alpha = table.column("alpha")[0].values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(first["h"], first["w"])
+        # a pass against the clip's order sees its frames by their negated numbers
+        turned = table.set_column(table.schema.get_field_index("idx"), "idx", pc.multiply(table.column("idx"), first["way"]))
+        numbers, planes = track.in_order(turned)
+        subject, out = follower.Follower(next(planes), alpha, params), []
+        for number, image in zip(numbers[1:], planes, strict=True):
+            got = subject.follow(image)
+            out.append((first["clip"], number * first["way"], first["a"], first["b"], first["kind"], got.alpha.reshape(-1), got.confidence, got.low, got.lost))
         columns = list(zip(*out, strict=True)) or [()] * len(_TYPES)
         arrays = [pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)]
         return pa.table([*arrays, pa.array([first["way"]] * len(out), pa.int32())], names=[*(c.split()[0] for c in PASS.split(", ")), "way"])

@@ -7,6 +7,7 @@ over clips and keyframe segments, in order inside one.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,19 @@ def blobs(px: DataFrame, width: int, height: int) -> DataFrame:
     return px.groupBy("clip", "idx").agg(ordered.alias("plane")).withColumn("w", F.lit(width)).withColumn("h", F.lit(height))
 
 
-def _planes(table: pa.Table) -> tuple[list, list[np.ndarray]]:
-    """Frame numbers and planes of a clip in order."""
-    rows = sorted(zip(table.column("idx").to_pylist(), table.column("plane").to_pylist(), table.column("w").to_pylist(), table.column("h").to_pylist(), strict=True), key=lambda r: r[0])
-    return [r[0] for r in rows], [np.asarray(p, np.float64).reshape(h, w) for _, p, w, h in rows]
+def in_order(table: pa.Table) -> tuple[list[int], Iterator[np.ndarray]]:
+    """Frame numbers of a clip (idx, w, h, plane) in order, and its planes one after the other.
+
+    Planes stay in Arrow's buffers until they are asked for: no lists of numbers.
+    """
+    table = table.select(["idx", "w", "h", "plane"]).sort_by("idx").combine_chunks()
+
+    def planes() -> Iterator[np.ndarray]:
+        for k in range(table.num_rows):
+            values = table.column("plane")[k].values
+            yield values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.column("h")[k].as_py(), -1)
+
+    return table.column("idx").to_pylist(), planes()
 
 
 def edge_frames(frames: DataFrame, scale: int = 2, params: kernels.EdgeParams = kernels.EdgeParams(feather=1.0)) -> DataFrame:
@@ -107,7 +117,7 @@ def stabilized(frames: DataFrame, params: kernels.StabilizerParams = kernels.Sta
 
     def run(table: pa.Table) -> pa.Table:
         clip = table.column("clip")[0].as_py()
-        numbers, planes = _planes(table)
+        numbers, planes = in_order(table)
         before, out = None, []
         for idx, plane in zip(numbers, planes, strict=True):
             alpha = kernels.clamp01(plane / 255)
@@ -129,10 +139,11 @@ def tracked(frames: DataFrame, params: follower.Params = follower.Params()) -> D
 
     def run(table: pa.Table) -> pa.Table:
         clip = table.column("clip")[0].as_py()
-        numbers, planes = _planes(table)
-        subject = follower.Follower(planes[0], (planes[0] > 127).astype(float), params)
+        numbers, planes = in_order(table)
+        first = next(planes)
+        subject = follower.Follower(first, (first > 127).astype(float), params)
         out = [(clip, numbers[0], int(subject.alpha.sum()), 1.0, False, False)]
-        for idx, image in zip(numbers[1:], planes[1:], strict=True):
+        for idx, image in zip(numbers[1:], planes, strict=True):
             got = subject.follow(image)
             out.append((clip, idx, int(follower.area(got.alpha)), round(got.confidence, 6), got.low, got.lost))
         names = [c.split()[0] for c in TRACKED.split(", ")]
