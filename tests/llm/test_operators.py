@@ -62,6 +62,37 @@ def test_payload_round_trip(raw):
     assert media.feature(payload) == media.feature(bytes(payload))
 
 
+def brute_feature(payload):
+    import math
+    from fractions import Fraction
+
+    n = len(payload)
+    mean = Fraction(sum(payload), n)
+    deviation = math.sqrt(Fraction(sum(b * b for b in payload), n) - mean * mean)
+    shares = [payload.count(b) / n for b in set(payload)]
+    entropy = -sum(p * math.log2(p) for p in shares)
+    bits = ""
+    for k in range(64):
+        block = payload[k * n // 64 : (k + 1) * n // 64]
+        bits += str(int(Fraction(sum(block), len(block)) > mean))
+    return float(mean), deviation, entropy, f"{int(bits, 2):016x}"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.one_of(st.binary(max_size=700), st.text(max_size=300).map(lambda t: t.encode("utf-8", "surrogatepass"))))
+def test_feature_equals_brute_force(raw):
+    payload = media.padded(raw)
+    mean, deviation, entropy, blocks = media.feature(payload).split(",")
+    want = brute_feature(payload)
+    assert [float(mean), float(deviation), float(entropy)] == pytest.approx(want[:3], abs=6e-5) and blocks == want[3]
+
+
+def test_copies_share_a_place(spark):
+    texts = [(k, f"text {k % 5}") for k in range(60)]
+    got = media.media_columns(table(spark, texts).coalesce(1), runtime.new_path(spark, "m")).collect()
+    assert len(got) == 60 and len({(r.digest, r.shard, r.offset) for r in got}) == 5
+
+
 def test_media_columns(spark):
     out_dir = runtime.new_path(spark, "m")
     got = media.media_columns(table(spark, EDGE), out_dir).collect()
