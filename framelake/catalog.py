@@ -7,13 +7,14 @@ six places on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import codec, scalars
-from framelake.operators import components, edge, metrics, plane, relational, sequence
+from framelake.operators import components, edge, kernels, metrics, plane, relational, sequence
 from framelake.plans import lenses, session, track
 from framelake.sources import matte_store, scenes
 
@@ -177,6 +178,104 @@ def leak_fraction(spark, sf_dir):
     return six(metrics.leak_fraction(px, 0.5), "leak")
 
 
+def _along_sql(source: str, name: str, axis: str, taps: dict[int, float], border: str) -> str:
+    """A CTE ``name``: the source's ``a`` folded with the taps along an axis of 8, the border repeated (edge) or mirrored."""
+    at = f"p.{axis} + o.d"
+    at = f"least(greatest({at}, 0), 7)" if border == "edge" else f"(CASE WHEN {at} < 0 THEN -({at}) WHEN {at} > 7 THEN 14 - ({at}) ELSE {at} END)"
+    other = "y" if axis == "x" else "x"
+    values = ", ".join(f"({d}, {w!r}::DOUBLE)" for d, w in taps.items())
+    return f""", {name} AS (SELECT p.clip, p.idx, p.y, p.x, sum(q.a * o.w) AS a FROM {source} p CROSS JOIN (VALUES {values}) o(d, w)
+      JOIN {source} q ON q.clip = p.clip AND q.idx = p.idx AND q.{other} = p.{other} AND q.{axis} = {at} GROUP BY p.clip, p.idx, p.y, p.x)"""
+
+
+def _gaussian_sql(source: str, name: str, sigma: float) -> str:
+    r = max(1, int(4 * sigma + 0.5))
+    weights = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)}
+    taps = {d: w / sum(weights.values()) for d, w in weights.items()}
+    return _along_sql(source, f"{name}_y", "y", taps, "mirror") + _along_sql(f"{name}_y", name, "x", taps, "mirror")
+
+
+def _boxes_sql(source: str, name: str, sigma: float) -> str:
+    out = ""
+    for k, r in enumerate(kernels.gauss_boxes(sigma)):
+        taps = dict.fromkeys(range(-r, r + 1), 1 / (2 * r + 1))
+        out += _along_sql(source, f"{name}_{k}y", "y", taps, "edge") + _along_sql(f"{name}_{k}y", f"{name}_{k}", "x", taps, "edge")
+        source = f"{name}_{k}"
+    return out + f", {name} AS (SELECT * FROM {source})"
+
+
+UNIT = ", unit AS (SELECT clip, idx, y, x, v / 255.0::DOUBLE AS a FROM px)"
+TOTALS = " SELECT clip, idx, round(sum(a), 4) AS total, round(sum(a * (y * 8 + x)), 4) AS weighted FROM {} GROUP BY clip, idx"
+
+
+def _totals(spark, sf_dir, kernel) -> DataFrame:
+    out = metrics.plane_totals(lenses.plane_blobs(spark, sf_dir), kernel)
+    return out.select("clip", "idx", F.round("total", 4).alias("total"), F.round("weighted", 4).alias("weighted"))
+
+
+@query(PX + UNIT + _gaussian_sql("unit", "g", 1.5) + TOTALS.format("g"))
+def gaussian(spark, sf_dir):
+    return _totals(spark, sf_dir, lambda a: kernels.true_gaussian(a / 255, 1.5))
+
+
+@query(PX + UNIT + _boxes_sql("unit", "g", 1.2) + TOTALS.format("g"))
+def box_gaussian(spark, sf_dir):
+    return _totals(spark, sf_dir, lambda a: kernels.gaussian(a / 255, 1.2))
+
+
+@query(PX + UNIT + _boxes_sql("unit", "g", 0.8) + ", s AS (SELECT u.clip, u.idx, u.y, u.x, 0.85::DOUBLE * greatest(0, least(1, (g.a - 0.5::DOUBLE) * 2.5::DOUBLE + 0.5::DOUBLE)) + 0.15::DOUBLE * u.a AS a FROM unit u JOIN g USING (clip, idx, y, x))"
+       + _boxes_sql("s", "f", 0.6) + TOTALS.format("f"))
+def smooth_feather(spark, sf_dir):
+    """The edge stages smooth, then feather."""
+    return _totals(spark, sf_dir, lambda a: kernels.feather(kernels.smooth(a / 255, 0.8), 0.6))
+
+
+@query(PX + """, off AS (SELECT clip, idx, y, x FROM px WHERE v <= 0),
+  d AS (SELECT p.clip, p.idx, p.y, p.x, CASE WHEN any_value(p.v) > 0 THEN min(sqrt((p.y - o.y) * (p.y - o.y) + (p.x - o.x) * (p.x - o.x))) ELSE 0 END AS a FROM px p JOIN off o ON o.clip = p.clip AND o.idx = p.idx GROUP BY p.clip, p.idx, p.y, p.x)"""
+       + TOTALS.format("d"))
+def distance(spark, sf_dir):
+    """Distances to the nearest pixel outside the mask, of frames that have one."""
+    some = lenses.plane_blobs(spark, sf_dir).filter(F.exists("plane", lambda v: v <= 0))
+    out = metrics.plane_totals(some, lambda a: kernels.distance(a > 0))
+    return out.select("clip", "idx", F.round("total", 4).alias("total"), F.round("weighted", 4).alias("weighted"))
+
+
+@query(PX + MODEL + ", unit AS (SELECT clip, idx, y, x, lik AS a FROM col JOIN lik USING (clip, bin))" + _gaussian_sql("unit", "g", 1.5)
+       + " SELECT clip, idx, round(coalesce(avg((g.a < 0.5)::INT) FILTER (v > 0), 0), 6) AS leak FROM px JOIN g USING (clip, idx, y, x) GROUP BY clip, idx")
+def leak_blurred(spark, sf_dir):
+    """The tracker's leak fraction: the likelihood is blurred before it is held against the threshold."""
+    px = _coloured(spark, sf_dir).join(_model(spark, sf_dir).select("clip", "bin", "lik"), ["clip", "bin"])
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", "lik", (F.col("v") > 0).cast("int").alias("m"))))
+    frames = px.groupBy("clip", "idx").agg(cells.alias("c")).select("clip", "idx", F.lit(lenses.SIDE).alias("w"), F.col("c.lik").alias("lik"), F.col("c.m").alias("m"))
+    return six(metrics.plane_leak(frames, 0.5), "leak")
+
+
+def _le(n: str, size: int) -> str:
+    return f"printf('{'%02x' * size}', {', '.join(f'(({n}) // {256**k}) % 256' for k in range(size))})"
+
+
+@query(PX + f""", u AS (SELECT clip, idx, y, x, greatest(0, least(255, v)) AS v FROM px),
+  marked AS (SELECT *, CASE WHEN v = lag(v) OVER w THEN 0 ELSE 1 END AS new FROM u WINDOW w AS (PARTITION BY clip, idx ORDER BY y, x)),
+  run AS (SELECT *, sum(new) OVER (PARTITION BY clip, idx ORDER BY y, x) AS run FROM marked),
+  runs AS (SELECT clip, idx, run, any_value(v)::BIGINT AS value, count(*)::BIGINT AS length FROM run GROUP BY clip, idx, run),
+  payload AS (SELECT clip, idx, flatten(list([value, length % 256, length // 256] ORDER BY run)) AS b FROM runs GROUP BY clip, idx),
+  summed AS (SELECT clip, idx, b, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, b),
+      lambda c, v: list_reduce(list_prepend(xor(c, v), range(8)), lambda k, i: CASE WHEN k % 2 = 1 THEN xor(k // 2, 3988292384::BIGINT) ELSE k // 2 END))) AS crc FROM payload)
+  SELECT clip, idx, '41434d31' || {_le('8', 4)} || {_le('8', 4)} || {_le('crc', 4)} || {_le('idx % 5', 1)} || {_le('round_even(idx % 11 / 10.0::DOUBLE * 255, 0)::BIGINT', 1)} || '0000' || {_le('len(b)', 4)}
+      || list_aggregate(list_transform(b, lambda v: printf('%02x', v)), 'string_agg', '') AS record, round(round_even(idx % 11 / 10.0::DOUBLE * 255, 0) / 255, 6) AS confidence, idx % 5 AS flags,
+    (SELECT sum(v) FROM u WHERE u.clip = s.clip AND u.idx = s.idx)::BIGINT AS total FROM summed s""")
+def matte_records(spark, sf_dir):
+    """Planes packed as records, in hexadecimal, and what comes out of them."""
+    byte = F.transform("plane", lambda v: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), v)).cast("long")), 2, "0"))
+    mattes = lenses.plane_blobs(spark, sf_dir).select(
+        "clip", "idx", "w", F.lit(lenses.SIDE).alias("h"), F.unhex(F.array_join(byte, "")).alias("alpha"), (F.col("idx") % 11 / 10).alias("confidence"), (F.col("idx") % 5).cast("int").alias("flags"))
+    records = codec.packed(mattes)
+    read = codec.unpacked(records).withColumn("bytes", F.regexp_extract_all(F.hex("alpha"), F.lit("(..)")))
+    total = F.aggregate("bytes", F.lit(0).cast("long"), lambda a, b: a + F.conv(b, 16, 10).cast("long"))
+    out = records.join(read.select("clip", "idx", "confidence", F.col("flags").cast("long").alias("flags"), total.alias("total")), ["clip", "idx"])
+    return six(out.withColumn("record", F.lower(F.hex("record"))), "confidence")
+
+
 @query(PX + """, t AS (SELECT clip, idx, greatest(least(v, 255), 0) / 255.0::DOUBLE AS a, x / 7.0::DOUBLE AS r, y / 7.0::DOUBLE AS g, 0.25::DOUBLE AS b FROM px),
   w AS (SELECT *, CASE WHEN a > 0.02 AND a < 0.98 THEN a * (1 - a) ELSE 0 END AS w FROM t),
   m AS (SELECT clip, idx, sum(w * r) / nullif(sum(w), 0) AS r, sum(w * g) / nullif(sum(w), 0) AS g, sum(w * b) / nullif(sum(w), 0) AS b FROM w GROUP BY ALL)

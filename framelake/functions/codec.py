@@ -12,6 +12,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +85,29 @@ def unpack(record: bytes) -> dict | None:
     except ValueError:
         return None
     return {"w": width, "h": height, "alpha": alpha.tobytes(), "confidence": confidence / 255, "flags": flags, "crc": crc}
+
+
+def packed(frames: DataFrame) -> DataFrame:
+    """(clip, idx, record) of mattes (clip, idx, w, h, alpha, confidence, flags)."""
+    types = {f.name: f.dataType.simpleString() for f in frames.schema}
+
+    def run(batches):
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("w", "h", "alpha", "confidence", "flags"))
+            out = [pack(np.frombuffer(a, np.uint8).reshape(h, w), conf, flags) for w, h, a, conf, flags in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), pa.array(out, pa.binary())], names=["clip", "idx", "record"])
+
+    return frames.select("clip", "idx", "w", "h", "alpha", "confidence", "flags").mapInArrow(run, f"clip {types['clip']}, idx {types['idx']}, record binary")
+
+
+def unpacked(records: DataFrame) -> DataFrame:
+    """(clip, idx, w, h, alpha, confidence, flags) of records (clip, idx, record); of a damaged one nulls."""
+    types = {f.name: f.dataType.simpleString() for f in records.schema}
+    kinds = {"w": pa.int32(), "h": pa.int32(), "alpha": pa.binary(), "confidence": pa.float64(), "flags": pa.int32()}
+
+    def run(batches):
+        for batch in batches:
+            out = [unpack(r) or {} for r in batch.column("record").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), *(pa.array([o.get(k) for o in out], t) for k, t in kinds.items())], names=["clip", "idx", *kinds])
+
+    return records.select("clip", "idx", "record").mapInArrow(run, f"clip {types['clip']}, idx {types['idx']}, w int, h int, alpha binary, confidence double, flags int")

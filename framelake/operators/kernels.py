@@ -346,6 +346,15 @@ def region(matte: np.ndarray, height: int, width: int, p: EdgeParams) -> tuple[s
     return out[0], out[1]
 
 
+def smooth(a: np.ndarray, sigma: float) -> np.ndarray:
+    """Blurred and made steep again, with a little of what it was; nothing up to .3."""
+    return 0.85 * clamp01((gaussian(a, sigma) - 0.5) * 2.5 + 0.5) + 0.15 * a if sigma > 0.3 else a
+
+
+def feather(a: np.ndarray, sigma: float) -> np.ndarray:
+    return gaussian(a, sigma) if sigma > 0.3 else a
+
+
 def edge_alpha(matte: np.ndarray, image: np.ndarray, p: EdgeParams = EdgeParams()) -> np.ndarray:
     """Alpha (h, w) at the image's size from an 8-bit matte; 0 where the matte's surroundings don't reach."""
     height, width = image.shape[:2]
@@ -361,11 +370,7 @@ def edge_alpha(matte: np.ndarray, image: np.ndarray, p: EdgeParams = EdgeParams(
         part = image[inside]
         guide = clamp01(0.299 * part[..., 0] + 0.587 * part[..., 1] + 0.114 * part[..., 2])
         a = refine(a, guide, p, max(height, width))
-    if p.smooth > 0.3:
-        a = 0.85 * clamp01((gaussian(a, p.smooth) - 0.5) * 2.5 + 0.5) + 0.15 * a
-    if p.feather > 0.3:
-        a = gaussian(a, p.feather)
-    out[inside] = a
+    out[inside] = feather(smooth(a, p.smooth), p.feather)
     return out
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +140,32 @@ def plane_quality(frames: DataFrame, tolerance: int = 2) -> DataFrame:
     return frames.select("clip", "idx", "w", "p", "g").mapInArrow(run, _typed(frames, "iou double, f double"))
 
 
+def plane_totals(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(clip, idx, total, weighted): sums over ``kernel`` of whole planes (clip, idx, w, plane), plain and by the pixel's number; no shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            made = [kernel(p.astype(np.float64)).reshape(-1) for (p,) in _arrays(batch, ["plane"])]
+            sums = [pa.array([float(f(m)) for m in made], pa.float64()) for f in (np.sum, lambda m: m @ np.arange(len(m)))]
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), *sums], names=["clip", "idx", "total", "weighted"])
+
+    return frames.select("clip", "idx", "w", "plane").mapInArrow(run, _typed(frames, "total double, weighted double"))
+
+
+def plane_leak(frames: DataFrame, least: float, sigma: float = 1.5) -> DataFrame:
+    """(clip, idx, leak): the share of the mask ``m`` whose likelihood (``lik``, arrays ``w`` wide), blurred, is under ``least``; an empty mask gives 0."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lik, m in _arrays(batch, ["lik", "m"]):
+                inside = kernels.true_gaussian(lik.astype(np.float64), sigma)[m > 0]
+                out.append(float((inside < least).mean()) if len(inside) else 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), pa.array(out, pa.float64())], names=["clip", "idx", "leak"])
+
+    return frames.select("clip", "idx", "w", "lik", "m").mapInArrow(run, _typed(frames, "leak double"))
+
+
 def plane_changes(frames: DataFrame) -> DataFrame:
     """(clip, idx, dp, dg, area, jump): mean changes of the masks ``p`` and ``g`` from the frame before and the relative change of p's area + 1; nulls for a first frame.
 
