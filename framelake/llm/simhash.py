@@ -244,19 +244,21 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _links_batch(*bucket_links(np.concatenate(held_k), np.concatenate(held_f)))
 
 
-def large_buckets(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(key, n) of the buckets of over ``bucket_rows`` fingerprints, as a written table.
+def large_buckets(keyed: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame | None:
+    """(key, n) of the buckets of over ``bucket_rows`` fingerprints, as a written table; None if there are none.
 
     Cells of keys are counted with map-side sums; only in cells that hold more
     than ``bucket_rows`` are keys counted, which at any size loses none.
     """
-    cell = F.pmod(F.xxhash64("key"), F.lit(CELLS)).alias("cell")
-    # at most CELLS rows
-    full = runtime.stage(keyed.groupBy(cell).count().filter(F.col("count") > bucket_rows).select("cell"), "cells")
-    if full.isEmpty():
-        return keyed.sparkSession.createDataFrame([], "key long, n long")
-    rows = keyed.withColumn("cell", cell).join(F.broadcast(full), "cell", "left_semi")
-    return runtime.stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows), "large-buckets")
+    cell = F.pmod(F.xxhash64("key"), F.lit(CELLS)).cast("int").alias("cell")
+    # at most CELLS numbers, on the driver and in the broadcast
+    full = [(r.cell,) for r in keyed.groupBy(cell).count().filter(F.col("count") > bucket_rows).select("cell").collect()]
+    if not full:
+        return None
+    cells = F.broadcast(keyed.sparkSession.createDataFrame(full, "cell int"))
+    rows = keyed.withColumn("cell", cell).join(cells, "cell", "left_semi")
+    large = runtime.stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows), "large-buckets")
+    return None if large.isEmpty() else large
 
 
 def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -268,10 +270,9 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     keyed = fps.select("fp").mapInArrow(runtime.frugal(_expand), "key long, fp long")
     with runtime.large_batches(fps.sparkSession):
         large = large_buckets(keyed, bucket_rows)
-        none_large = large.isEmpty()
-        small = keyed if none_large else keyed.join(large, "key", "left_anti")
+        small = keyed if large is None else keyed.join(large, "key", "left_anti")
         edges = runtime.stage(small.repartition("key").sortWithinPartitions("key").mapInArrow(runtime.frugal(_compare), LINKS), "links")
-    if none_large:
+    if large is None:
         return edges
     # the exact way for large buckets: every pair of blocks of a bucket is a group of its own
     n_blocks = F.ceil(F.col("n") / max(1, bucket_rows // 2)).cast("int").alias("n_blocks")
