@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -731,7 +732,8 @@ SELECT c.clip, c.idx, c.y, c.x, round(sum(coalesce(p.v, 0) * w), 6) AS v FROM co
 
 @query(PX + _bilinear_sql("SELECT clip, idx, (y * 2 + dy)::INT AS y, (x * 2 + dx)::INT AS x FROM px, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)", "(y + 0.5::DOUBLE) / 2 - 0.5::DOUBLE", "(x + 0.5::DOUBLE) / 2 - 0.5::DOUBLE", True))
 def upsample(spark, sf_dir):
-    return six(plane.upsample(lenses.planes(spark, sf_dir), "v", 2), "v")
+    """From whole planes; ``plane.upsample`` is its pixel form."""
+    return six(metrics.plane_pixels(lenses.plane_blobs(spark, sf_dir), lambda a: kernels.upsample(a, 2, 2 * a.shape[0], 2 * a.shape[1]), "v"), "v")
 
 
 @query(PX + _bilinear_sql("SELECT clip, idx, y, x FROM px", "y - 0.25::DOUBLE", "x + 0.5::DOUBLE", False))
@@ -751,8 +753,14 @@ def _means_sql(source: str, columns: dict[str, str], name: str) -> str:
        + ", ab AS (SELECT clip, idx, y, x, (mgp - mg * mp) / (mgg - mg * mg + 0.01::DOUBLE) AS a, mp - (mgp - mg * mp) / (mgg - mg * mg + 0.01::DOUBLE) * mg AS b FROM mean)"
        + _means_sql("ab", {"a": "ma", "b": "mb"}, "coef") + " SELECT clip, idx, y, x, round(ma * g + mb, 4) + 0 AS q FROM coef JOIN pl USING (clip, idx, y, x)")
 def guided(spark, sf_dir):
-    px = _dealt(spark, sf_dir).select("clip", "idx", "y", "x", (F.col("v") / 255.0).alias("p"), ((F.col("x") * 7 + F.col("y") * 3) % 11 / 10.0).alias("g"))
-    return plane.guided(px, "g", "p", "q", 1, 0.01).select("clip", "idx", "y", "x", (F.round("q", 4) + F.lit(0.0)).alias("q"))
+    """From whole planes; ``plane.guided`` is its pixel form."""
+
+    def filtered(a: np.ndarray) -> np.ndarray:
+        y, x = np.indices(a.shape)
+        return kernels.guided((x * 7 + y * 3) % 11 / 10, a / 255, 1, 0.01)
+
+    px = metrics.plane_pixels(lenses.plane_blobs(spark, sf_dir), filtered, "q")
+    return px.withColumn("q", F.round("q", 4) + F.lit(0.0))
 
 
 @query(DISC + """, bx AS (SELECT clip, idx, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px WHERE v > 2 GROUP BY ALL), m AS (SELECT 0.012::DOUBLE * 160 * 2 + 8 + 3 AS around)

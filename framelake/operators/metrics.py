@@ -152,6 +152,22 @@ def plane_totals(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray])
     return frames.select("clip", "idx", "w", "plane").mapInArrow(run, _typed(frames, "total double, weighted double"))
 
 
+def plane_pixels(frames: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """The pixel lens (clip, idx, y, x, ``name``) of ``kernel`` of whole planes (clip, idx, w, plane); no shuffle, one frame's rows at a time."""
+    types = _typed(frames, f"y int, x int, `{name}` double")
+
+    def run(batches):
+        for batch in batches:
+            for k, (p,) in enumerate(_arrays(batch, ["plane"])):
+                made = kernel(p.astype(np.float64))
+                y, x = np.indices(made.shape, np.int32)
+                own = pa.array(np.full(made.size, k))
+                columns = [batch.column("clip").take(own), batch.column("idx").take(own), pa.array(y.reshape(-1)), pa.array(x.reshape(-1)), pa.array(made.reshape(-1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["clip", "idx", "y", "x", name])
+
+    return frames.select("clip", "idx", "w", "plane").mapInArrow(run, types)
+
+
 def plane_leak(frames: DataFrame, least: float, sigma: float = 1.5) -> DataFrame:
     """(clip, idx, leak): the share of the mask ``m`` whose likelihood (``lik``, arrays ``w`` wide), blurred, is under ``least``; an empty mask gives 0."""
 
