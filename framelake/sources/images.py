@@ -19,15 +19,36 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def png(plane: np.ndarray) -> bytes:
-    """A (h, w) or (h, w, 4) array of 8- or 16-bit samples."""
+    """A (h, w), (h, w, 3) or (h, w, 4) array of 8- or 16-bit samples."""
     height, width = plane.shape[:2]
-    depth, kind = 8 * plane.dtype.itemsize, 6 if plane.ndim == 3 else 0
+    depth, kind = 8 * plane.dtype.itemsize, 0 if plane.ndim == 2 else {3: 2, 4: 6}[plane.shape[2]]
     rows = plane.astype(plane.dtype.newbyteorder(">")).reshape(height, -1).view(np.uint8)
     lines = np.concatenate([np.zeros((height, 1), np.uint8), rows], axis=1)
     head = struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
+def from_png(data: bytes) -> np.ndarray:
+    """The samples of a file that ``png`` made; anything else is an error."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or data[12:16] != b"IHDR":
+        raise ValueError("not a PNG")
+    width, height, depth, kind = struct.unpack(">IIBB", data[16:26])
+    at, packed = 8, []
+    while at < len(data):
+        size = struct.unpack_from(">I", data, at)[0]
+        body = data[at + 4 : at + 8 + size]
+        if len(data) < at + 12 + size or zlib.crc32(body) != struct.unpack_from(">I", data, at + 8 + size)[0]:
+            raise ValueError("damaged PNG")
+        if body[:4] == b"IDAT":
+            packed.append(body[4:])
+        at += 12 + size
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(height, -1)
+    if lines[:, 0].any():
+        raise ValueError("filtered rows")
+    channels = {0: (), 2: (3,), 6: (4,)}[kind]
+    return np.ascontiguousarray(lines[:, 1:]).view(f">u{depth // 8}").reshape(height, width, *channels).astype(f"u{depth // 8}")
+
+
 def _placed(files, folder: str, idx: int, data: bytes) -> str:
     """Write a file by way of a rename; its path."""
     files.create_dir(folder, recursive=True)

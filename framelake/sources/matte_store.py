@@ -44,7 +44,7 @@ def _folder(files: fs.FileSystem, path: str) -> list[fs.FileInfo]:
     return files.get_file_info(fs.FileSelector(path, allow_not_found=True))
 
 
-def _put(files: fs.FileSystem, path: str, data: bytes) -> None:
+def put(files: fs.FileSystem, path: str, data: bytes) -> None:
     """Write a file by way of a rename, so that readers see all of it or what was there before."""
     folder, name = path.rsplit("/", 1)
     files.create_dir(folder, recursive=True)
@@ -54,7 +54,7 @@ def _put(files: fs.FileSystem, path: str, data: bytes) -> None:
     files.move(draft, path)
 
 
-def _get(files: fs.FileSystem, path: str) -> bytes | None:
+def get(files: fs.FileSystem, path: str) -> bytes | None:
     try:
         with files.open_input_stream(path) as f:
             return f.read()
@@ -85,7 +85,7 @@ class MatteReader(DataSourceReader):
     def read(self, partition: Files) -> Iterator[tuple]:
         files, base = filesystem(self.path)
         for name in partition.paths:
-            got = codec.unpack(_get(files, f"{base}/{name}") or b"")
+            got = codec.unpack(get(files, f"{base}/{name}") or b"")
             if got is not None:
                 yield _set_of(f"{base}/{name}"), int(NAME.match(name)[1]), got["w"], got["h"], got["alpha"], got["confidence"], got["flags"]
 
@@ -250,13 +250,13 @@ def create(root: str, name: str, meta: Mapping[str, object], schema: int = 1) ->
 
 def write_meta(root: str, name: str, meta: Mapping[str, object]) -> None:
     files, base = filesystem(root)
-    _put(files, f"{base}/{name}/{META}", "".join(f"{k}={v}\n" for k, v in meta.items()).encode())
+    put(files, f"{base}/{name}/{META}", "".join(f"{k}={v}\n" for k, v in meta.items()).encode())
 
 
 def read_meta(root: str, name: str) -> dict[str, str] | None:
     """A set's properties; None if there is no such set."""
     files, base = filesystem(root)
-    raw = _get(files, f"{base}/{name}/{META}")
+    raw = get(files, f"{base}/{name}/{META}")
     return None if raw is None else dict(line.split("=", 1) for line in raw.decode().split("\n") if "=" in line)
 
 
@@ -270,23 +270,23 @@ def sets(root: str) -> list[str]:
 
 def activate(root: str, name: str) -> None:
     files, base = filesystem(root)
-    _put(files, f"{base}/{ACTIVE}", name.encode())
+    put(files, f"{base}/{ACTIVE}", name.encode())
 
 
 def active(root: str) -> str | None:
     files, base = filesystem(root)
-    return (_get(files, f"{base}/{ACTIVE}") or b"").decode().strip() or None
+    return (get(files, f"{base}/{ACTIVE}") or b"").decode().strip() or None
 
 
 def write_sidecar(root: str, name: str, file: str, value: object) -> None:
     files, base = filesystem(root)
-    _put(files, f"{base}/{name}/{file}", json.dumps(value, indent=1).encode())
+    put(files, f"{base}/{name}/{file}", json.dumps(value, indent=1).encode())
 
 
 def read_sidecar(root: str, name: str, file: str, default: object = None) -> object:
     """A sidecar's value; the default if it is missing or not JSON."""
     files, base = filesystem(root)
-    raw = _get(files, f"{base}/{name}/{file}")
+    raw = get(files, f"{base}/{name}/{file}")
     try:
         return default if raw is None else json.loads(raw)
     except ValueError:

@@ -36,6 +36,24 @@ def proxy_frames(files: DataFrame, decode: Callable[[bytes], Iterable[np.ndarray
     return files.select("path", "content").mapInArrow(run, FRAMES)
 
 
+def frames(files: DataFrame, decode: Callable[[bytes], Iterable[np.ndarray]]) -> DataFrame:
+    """(clip, idx, w, h, bgr) of ``binaryFile`` rows: the frames at full size and in colour, a row at a time; grey ones count as colours.
+
+    ``proxy.build`` makes a clip's proxy of them.
+    """
+    schema = pa.schema([("clip", pa.string()), ("idx", pa.int64()), ("w", pa.int32()), ("h", pa.int32()), ("bgr", pa.binary())])
+
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                for idx, image in enumerate(decode(content)):
+                    colours = image if image.ndim == 3 else np.repeat(image[..., None], 3, axis=2)
+                    row = {"clip": path.rsplit("/", 1)[-1], "idx": idx, "w": image.shape[1], "h": image.shape[0], "bgr": np.ascontiguousarray(colours, np.uint8).tobytes()}
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, "clip string, idx long, w int, h int, bgr binary")
+
+
 def verified_models(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """The manifest (name, sha256) with ``state``: ok, damaged or missing, from ``binaryFile`` rows."""
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))

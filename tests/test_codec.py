@@ -158,3 +158,37 @@ def test_names(spark):
 
     two = spark.range(1).select(h([("a1", "2"), ("a", "1")]).alias("x")).first()
     assert two.x == hashlib.sha256(b"a=1|a1=2").hexdigest()[:8]
+
+
+def test_proxy_round_trip(spark, tmp_path):
+    from framelake.operators import kernels
+
+    rng = np.random.default_rng(5)
+    frames = {(c, k): rng.integers(0, 256, (30, 50, 3), dtype=np.uint8) for c, n in (("a", 5), ("b", 2)) for k in range(n)}
+    rows = [(c, k, 50, 30, f.tobytes()) for (c, k), f in frames.items()]
+    root = f"file://{tmp_path}/proxies"
+    built = proxy.build(spark.createDataFrame(rows, "clip string, idx long, w int, h int, bgr binary").repartition(3), root, 25.0, 20).collect()
+    assert sorted((r.clip, r.frames, r.w, r.h) for r in built) == [("a", 5, 20, 12), ("b", 2, 20, 12)]
+    assert proxy.exists(root, "a") and not proxy.exists(root, "c")
+    wanted = spark.createDataFrame([("a", 3), ("a", -4), ("a", 99), ("b", 1), ("c", 0)], "clip string, idx long")
+    got = {(r.clip, r.idx): r for r in proxy.read(wanted, root).collect()}
+    for (clip, idx), frame in {("a", 3): 3, ("a", -4): 0, ("a", 99): 4, ("b", 1): 1}.items():
+        r = got[clip, idx]
+        want = np.stack([kernels.resize_area(frames[clip, frame][..., c].astype(float), 12, 20) for c in range(3)], axis=-1)
+        assert r.frame == frame and np.abs(np.frombuffer(r.bgr, np.uint8).reshape(12, 20, 3) - want).max() <= 0.5
+    assert got["c", 0].frame is None
+    clip = {r.path.rsplit("/", 2)[1]: r for r in proxy.clips(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.idx").load(root)).collect()}
+    assert (clip["a"].frames, clip["a"].source_width, clip["a"].source_height) == (5, 50, 30)
+    assert proxy.size(1920, 1080, 768) == (768, 432) and proxy.size(10, 3, 768) == (10, 4)
+
+
+@pytest.mark.parametrize("shape, kind", [((3, 5), np.uint8), ((3, 5), np.uint16), ((4, 2, 3), np.uint8), ((4, 2, 4), np.uint16)])
+def test_png_round_trip(shape, kind):
+    from framelake.sources import images
+
+    plane = np.random.default_rng(1).integers(0, 256, shape).astype(kind) * (257 if kind is np.uint16 else 1)
+    data = images.png(plane)
+    assert (images.from_png(data) == plane).all()
+    for broken in (data[:-20], data[:45] + bytes([data[45] ^ 1]) + data[46:], b"x" + data):
+        with pytest.raises(ValueError):
+            images.from_png(broken)

@@ -215,6 +215,8 @@ def test_video_boundary(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path))
     out = video.proxy_frames(files, lambda raw: [np.full((20, 40), b) for b in raw], most=16).orderBy("idx").collect()
     assert [(r.idx, r.w, r.h, r.plane[0]) for r in out] == [(0, 16, 8, 0.0), (1, 16, 8, 1.0)]
+    whole = video.frames(files, lambda raw: [np.full((4, 6), b, np.uint8) for b in raw]).orderBy("idx").collect()
+    assert [(r.clip, r.idx, r.w, r.h, r.bgr) for r in whole] == [("a.bin", k, 6, 4, bytes([k] * 72)) for k in range(2)]
     import hashlib
 
     manifest = spark.createDataFrame([("a.bin", hashlib.sha256(bytes(range(2))).hexdigest()), ("b.bin", "00")], "name string, sha256 string")
