@@ -75,12 +75,13 @@ class Sizes:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """The size difference normalised by the text's length and by both sizes, each shrunk; then what is to be
-    expected of a difference at that length, so that none at all speaks against a long text and not against a short one.
+    """The size difference normalised by the text's length, by both sizes and by the length's root (a rate, and how sure
+    it is), each shrunk; then what is to be expected of a difference at that length, so that none at all speaks against a
+    long text and not against a short one.
     """
     good, bad, n = sizes[:, 0], sizes[:, 1], sizes[:, 2]
     more = bad - good
-    return np.stack([np.ones(len(n)), 20 * more / (n + SHRINK), 10 * more / (good + bad + SHRINK / 2), 4 * n / (n + SHRINK)], axis=1)
+    return np.stack([np.ones(len(n)), 20 * more / (n + SHRINK), 10 * more / (good + bad + SHRINK / 2), more / np.sqrt(n + SHRINK), 4 * n / (n + SHRINK)], axis=1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = fitting.FIT_ROWS) -> Model:
