@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.functions import codec, scalars
-from framelake.operators import components, edge, kernels, metrics, plane, relational, sequence
+from framelake.operators import components, edge, follower, kernels, metrics, plane, relational, sequence
 from framelake.plans import lenses, session, track
 from framelake.sources import matte_store, scenes
 
@@ -251,6 +251,47 @@ def leak_blurred(spark, sf_dir):
     return six(metrics.plane_leak(frames, 0.5), "leak")
 
 
+def _box_sql(source: str, expression: str, name: str, r: int) -> str:
+    """A CTE ``name`` (clip, idx, y, x, a): box means of an expression over the source's columns."""
+    taps = dict.fromkeys(range(-r, r + 1), 1 / (2 * r + 1))
+    start = f", {name}_s AS (SELECT clip, idx, y, x, {expression} AS a FROM {source})"
+    return start + _along_sql(f"{name}_s", f"{name}_y", "y", taps, "edge") + _along_sql(f"{name}_y", name, "x", taps, "edge")
+
+
+def _fusion_sql(source: str, name: str, r: int) -> str:
+    """A step of blur fusion of the source's im, al, f and b: the same with new f and b."""
+    means = _box_sql(source, "al", f"{name}_w", r) + _box_sql(source, "f * al", f"{name}_f", r) + _box_sql(source, "b * (1 - al)", f"{name}_b", r)
+    near = f"SELECT u.clip, u.idx, u.y, u.x, u.im, u.al, f.a / (w.a + 1e-5::DOUBLE) AS nf, b.a / (1 - w.a + 1e-5::DOUBLE) AS nb FROM {source} u JOIN {name}_w w USING (clip, idx, y, x) JOIN {name}_f f USING (clip, idx, y, x) JOIN {name}_b b USING (clip, idx, y, x)"
+    return means + f", {name} AS (SELECT clip, idx, y, x, im, al, nf + al * (im - al * nf - (1 - al) * nb) AS f, nb AS b FROM ({near}))"
+
+
+@query(PX + ", u0 AS (SELECT *, im AS f, im AS b FROM (SELECT clip, idx, y, x, ((x * 7 + y * 3) % 11) / 10.0::DOUBLE AS im, least(greatest(v / 255.0::DOUBLE, 0), 1) AS al FROM px))" + _fusion_sql("u0", "u1", 6)
+       + ", u2 AS (SELECT clip, idx, y, x, im, al, greatest(f, 0) AS f, b FROM u1)" + _fusion_sql("u2", "u3", 2)
+       + ", done AS (SELECT clip, idx, y, x, im + 0.8::DOUBLE * (greatest(f, 0) - im) AS a FROM u3)" + TOTALS.format("done"))
+def decontaminated(spark, sf_dir):
+    """Edge colours by two steps of blur fusion; three equal channels, of which one is summed."""
+
+    def one(a: np.ndarray) -> np.ndarray:
+        y, x = np.indices(a.shape)
+        image = np.repeat(((x * 7 + y * 3) % 11 / 10)[..., None], 3, axis=2)
+        return kernels.decontaminate(image, kernels.clamp01(a / 255), kernels.EdgeParams(decontaminate=0.8, spill=0.0))[..., 0]
+
+    return _totals(spark, sf_dir, one)
+
+
+@query(PX + ", msk AS (SELECT clip, idx, y, x, (v > 127)::INT AS m FROM px)" + _square_sql("msk", "m", "mi", 1, "min") + _square_sql("mi_c", "m", "mn", 2, "max") + _square_sql("mn_c", "m", "mf", 4, "max")
+       + """, n AS (SELECT clip, idx, sum(mi) AS inner_n, sum(mf * (1 - mn)) AS ring_n FROM mf_c GROUP BY ALL),
+  r AS (SELECT clip, idx, y, x, CASE WHEN inner_n >= 5 THEN mi ELSE m END + 2 * CASE WHEN ring_n >= 5 THEN mf * (1 - mn) ELSE 1 - mn END AS a FROM mf_c JOIN n USING (clip, idx))""" + TOTALS.format("r"))
+def colour_regions(spark, sf_dir):
+    """Where the tracker learns the subject's colours (1) and its surroundings' (2)."""
+
+    def parts(a: np.ndarray) -> np.ndarray:
+        subject, ring = follower.Colours.regions((a > 127).astype(float), 5)
+        return subject + 2.0 * ring
+
+    return _totals(spark, sf_dir, parts)
+
+
 def _le(n: str, size: int) -> str:
     return f"printf('{'%02x' * size}', {', '.join(f'(({n}) // {256**k}) % 256' for k in range(size))})"
 
